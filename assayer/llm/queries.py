@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from assayer.llm import license_scan, line_dedup
+from assayer.llm import ctph, language_id, license_scan, line_dedup, lm_score
 
 
 def queries() -> dict:
     return {
+        "op2_lm_score": lm_score.op2,
         "op3_line_dedup": line_dedup.op3,
+        "op5_language_id": language_id.op5,
+        "op7_fingerprints": ctph.op7,
         "op10_license_scan": license_scan.op10,
     }
 
