@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.llm import ctph, language_id, license_scan, line_dedup, lm_score, simhash
+from assayer.llm import ctph, decontaminate, language_id, license_scan, line_dedup, lm_score, simhash
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_lm_score": lm_score.op2,
         "op3_line_dedup": line_dedup.op3,
         "op5_language_id": language_id.op5,
+        "op6_decontamination": decontaminate.op6,
         "op7_fingerprints": ctph.op7,
         "op8_simhash": simhash.op8,
         "op10_license_scan": license_scan.op10,
