@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from assayer.llm import ctph, decontaminate, language_id, license_scan, line_dedup, lm_score, simhash
+from assayer.llm import ctph, decontaminate, language_id, license_scan, line_dedup, lm_score, packing, simhash
 
 
 def queries() -> dict:
     return {
         "op2_lm_score": lm_score.op2,
         "op3_line_dedup": line_dedup.op3,
+        "op4_packing": packing.op4,
         "op5_language_id": language_id.op5,
         "op6_decontamination": decontaminate.op6,
         "op7_fingerprints": ctph.op7,
