@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.llm import ctph, decontaminate, language_id, license_scan, line_dedup, lm_score, packing, simhash
+from assayer.llm import ctph, decontaminate, html_extract, language_id, license_scan, line_dedup, lm_score, packing, simhash
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_decontamination": decontaminate.op6,
         "op7_fingerprints": ctph.op7,
         "op8_simhash": simhash.op8,
+        "op9_html_extract": html_extract.op9,
         "op10_license_scan": license_scan.op10,
     }
 
