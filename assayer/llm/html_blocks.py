@@ -26,7 +26,7 @@ _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 FEATURES = ["bias", *(f"in:{t}" for t in TAGS), *(f"own:{t}" for t in TAGS), *(f"word:{w}" for w in WORDS), *(f"near:{w}" for w in WORDS)]
-FEATURES += [f"words:{k}" for k in range(7)] + [f"links:{k}" for k in range(4)] + ["stop", "mark", "bars", "colon", "digits", "capitals", "copyright", "first", "last", "no tags"]
+FEATURES += [f"words:{k}" for k in range(7)] + [f"links:{k}" for k in range(4)] + ["stop", "mark", "bars", "colon", "digits", "capitals", "copyright", "no tags"]
 NUMBER = {f: k for k, f in enumerate(FEATURES)}
 _TAGS, _WORDS = frozenset(TAGS), frozenset(WORDS)
 _known: dict[tuple, frozenset] = {}
@@ -60,7 +60,7 @@ def _text_features(text: str, linked: int) -> list[int]:
         out.append(NUMBER["stop"])
     if any(c in text for c in ".,;"):
         out.append(NUMBER["mark"])
-    if "|" in text or "·" in text or "»" in text or "›" in text:
+    if "·" in text or "»" in text or "›" in text:
         out.append(NUMBER["bars"])
     if text[-1] == ":":
         out.append(NUMBER["colon"])
@@ -142,6 +142,5 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
         if not attributes.endswith("/"):
             stack.append((tag, _context(stack[-1][1], tag, attributes)))
     flush()
-    last = len(out) - 1
     plain = NUMBER["no tags"]
-    return [(t, f + ([plain] if not c else list(c)) + ([NUMBER["first"]] if k == 0 else []) + ([NUMBER["last"]] if k == last else [])) for k, (t, f, c) in enumerate(out)]
+    return [(t, f + ([plain] if not c else list(c))) for t, f, c in out]
