@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from assayer.llm import ctph, decontaminate, html_extract, language_id, license_scan, line_dedup, lm_score, packing, simhash
+from assayer.llm import ctph, decontaminate, html_extract, language_id, license_scan, line_dedup, lm_score, packing, simhash, suffix_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffix_dedup.op1,
         "op2_lm_score": lm_score.op2,
         "op3_line_dedup": line_dedup.op3,
         "op4_packing": packing.op4,
