@@ -2,26 +2,58 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from assayer.llm.common import stored, table
-from assayer.llm.line_dedup import drop_boilerplate
+from assayer.llm import decontaminate, language_id, line_dedup, packing, simhash
+from assayer.llm.common import held_out, stored, table
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts boilerplate lines out of the texts."""
-    kept = drop_boilerplate(docs)
-    return kept.select(*docs.columns)
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language two codewords fit about as well, go."""
+    coder = language_id.train(docs.filter(~F.coalesce(held_out("doc_id", 4, 2), F.lit(False))))
+    return language_id.identify(docs, coder).filter(~F.col("ambiguous") & (F.col("lang_pred") != language_id.UNDETERMINED)).select(*docs.columns)
 
 
-STAGES = [("line dedup", line_dedup)]
+def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines of each source go out of the texts; n_chars follows."""
+    return line_dedup.drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group stays."""
+    groups = stored(simhash.near_duplicates(docs))
+    losers = stored(groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    kept = docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+    repeated = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return decontaminate.mark(docs, table(spark, sf_dir, "benchmark")).filter(F.size("leaks") == 0).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of what is left, in sequences of 4096 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language identification", identify_languages),
+    ("line dedup", drop_boilerplate_lines),
+    ("near-duplicates", keep_one_of_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
+]
+#: SQL can't express the stages; tests hold the result against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the documents of sf_dir."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
