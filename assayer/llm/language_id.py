@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm.common import as_bytes, held_out, rows, table
 
-FEATURES, SMOOTHING, SHARP, AMBIGUOUS = 8192, 0.5, 4.0, 0.02
+FEATURES, SMOOTHING, SHARP, AMBIGUOUS = 8192, 0.5, 4.0, 0.005
 CHUNK = 1 << 19
 UNDETERMINED = "und"
 
@@ -152,7 +152,7 @@ def identify(docs: DataFrame, coder: Coder, text_col: str = "text") -> DataFrame
     """docs with lang_pred, score (0 to 1) and ambiguous behind; columns of these names are replaced.
 
     `und` with score 0 stands for null texts, texts without a letter, and all texts where nothing was learned. Rows stay
-    one for one, repeated rows too. ambiguous: the two least losses differ by under 0.02.
+    one for one, repeated rows too. ambiguous: the two least losses differ by under 0.005.
     """
     shared = docs.sparkSession.sparkContext.broadcast(coder)  # languages by features, whatever the input's size
     own = docs.drop(*PREDICTED.names)

@@ -7,7 +7,9 @@ its shard, and the best unused neighbours follow until the window is full; what
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 
@@ -24,11 +26,11 @@ WINDOW, END = 4096, 2
 K1, SLOPE, QUERY_TERMS = 1.2, 0.75, 24
 SHARD_TOKENS, TASK_TOKENS = 1_500_000, 8_000_000
 SIGNS = 31
-#: Tokens of so many words are held by a worker; beyond that, the older half is given up.
-WORDS = 400_000
+#: Tokens of so many parts of text are held by a worker; beyond that, they are met anew.
+WORDS = 700_000
 
-_words: dict[str, dict[str, bytes]] = {}
 _tokenizers: dict[str, object] = {}
+_known: dict[str, Known] = {}
 
 
 def tokenizer(path: str):
@@ -40,29 +42,73 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
-def _separated(text: str) -> list[str]:
-    """The text in parts that a tokenizer that drops white space and case encodes one by one."""
-    if text.isascii() or not ("İ" in text or "Σ" in text):  # elsewhere, case doesn't depend on neighbours
-        text = text.lower()
-    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+#: Lower-case Latin letters that composition leaves as they are; a part of them alone is one word to the tokenizer.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+_STOPPED = re.compile("([a-zß-öø-ÿ]+)([.,])")
+
+
+class Known(dict):
+    """The tokens of parts of text that a worker has met, for a tokenizer that drops white space and case and marks word ends."""
+
+    def __init__(self, path: str, kind: str):
+        super().__init__()
+        self.kind, self.whole = kind, tokenizer(path)
+        made = json.loads(self.whole.to_str())
+        made |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}, "post_processor": None, "added_tokens": []}
+        self.words = type(self.whole).from_str(json.dumps(made))
+        suffix = made["model"].get("end_of_word_suffix") or ""
+        size = self.whole.get_vocab_size()
+        self.ends = np.zeros(size, bool)
+        for token, k in made["model"]["vocab"].items():
+            self.ends[k] = bool(suffix) and token.endswith(suffix)
+
+    def _whole(self, parts: list[str]) -> None:
+        for p, e in zip(parts, self.whole.encode_batch_fast(parts, add_special_tokens=False), strict=True):
+            self[p] = array(self.kind, e.ids).tobytes()
+
+    def learn(self, parts: set[str]) -> None:
+        words, stopped, other = [], [], []
+        for p in parts:
+            if _PLAIN.fullmatch(p):
+                words.append(p)
+            elif m := _STOPPED.fullmatch(p):
+                stopped.append((p, m[1], m[2]))
+            else:
+                other.append(p)
+        have = set(words)
+        words += [w for w in dict.fromkeys(w for _, w, _ in stopped) if w not in self and w not in have]
+        other += [c for c in {c for _, _, c in stopped} if c not in self]
+        if words:  # all in one text, and apart again behind the tokens that end a word
+            ids = np.array(self.words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(words):
+                raw, width = ids.tobytes(), ids.itemsize
+                self.update(zip(words, [raw[a * width : b * width] for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)], strict=True))
+            else:
+                self._whole(words)
+        self._whole(other)
+        for p, w, c in stopped:
+            self[p] = self[w] + self[c]
 
 
 def encode(texts: list[str], path: str, kind: str, by_word: bool = True) -> list[bytes]:
     """The token ids of each text, packed as `kind` ('H' or 'I'); by_word: the tokenizer drops white space and case."""
-    made = tokenizer(path)
     if not by_word:
-        return [array(kind, e.ids).tobytes() for e in made.encode_batch_fast(texts, add_special_tokens=False)]
-    known = _words.setdefault(path, {"": b""})
-    parts = [_separated(t) for t in texts]
-    new = list(dict.fromkeys(w for p in parts for w in p if w not in known))
-    for at in range(0, len(new), 4096):
-        some = new[at : at + 4096]
-        known.update(zip(some, (array(kind, e.ids).tobytes() for e in made.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-    out = [b"".join(map(known.__getitem__, p)) for p in parts]
+        return [array(kind, e.ids).tobytes() for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+    known = _known.get(path + kind)
+    if known is None:
+        known = _known[path + kind] = Known(path, kind)
+    # Case doesn't depend on neighbours but for two letters; texts with them stay as they are.
+    folded = (t if "\u0130" in t or "\u03a3" in t else t.lower() for t in texts)
+    parts = [t.replace("\n", " ").split(" ") for t in folded]
     if len(known) > WORDS:
-        for w in list(known)[1 : len(known) // 2]:
-            del known[w]
-    return out
+        known.clear()
+    found = [list(map(known.get, p)) for p in parts]
+    short = [k for k, f in enumerate(found) if None in f]
+    known.learn({w for k in short for w, ids in zip(parts[k], found[k], strict=True) if ids is None})
+    for k in short:
+        found[k] = [known[w] if ids is None else ids for w, ids in zip(parts[k], found[k], strict=True)]
+    return list(map(b"".join, found))
 
 
 ENCODED = pa.schema([("id", pa.int64()), ("place", pa.int32()), ("n", pa.int64()), ("ids", pa.binary())])
