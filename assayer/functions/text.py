@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayer.functions.lexicon import DIRECTIVE_STARTS, DIRECTIVES, IMPERATIVES
 
@@ -46,7 +47,7 @@ def _plain(text: str | None) -> str | None:
     return text if text.isascii() else unicodedata.normalize("NFKC", text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def plain_text(texts: pd.Series) -> pd.Series:
     return texts.map(_plain, na_action="ignore").astype(object).where(texts.notna(), None)
 
