@@ -27,7 +27,7 @@ K1, SLOPE, QUERY_TERMS = 1.2, 0.75, 24
 SHARD_TOKENS, TASK_TOKENS = 1_500_000, 8_000_000
 SIGNS = 31
 #: Tokens of so many parts of text are held by a worker; beyond that, they are met anew.
-WORDS = 700_000
+WORDS = 1_000_000
 
 _tokenizers: dict[str, object] = {}
 _known: dict[str, Known] = {}
@@ -45,6 +45,10 @@ def tokenizer(path: str):
 #: Lower-case Latin letters that composition leaves as they are; a part of them alone is one word to the tokenizer.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
 _STOPPED = re.compile("([a-zß-öø-ÿ]+)([.,])")
+#: Texts of such characters alone: each run of marks is a word to the tokenizer, so spaces around it change nothing.
+_SIMPLE = re.compile("[a-z0-9ß-öø-ÿœ \\n!-&(-/:-@\\[-`{-~]*")
+_PROSE = re.compile("[a-z0-9ß-öø-ÿœ \\n.,]*")
+_MARKS = re.compile("([!-&(-/:-@\\[-`{-~]+)")
 
 
 class Known(dict):
@@ -91,6 +95,19 @@ class Known(dict):
             self[p] = self[w] + self[c]
 
 
+def _parts(text: str) -> list[str]:
+    """Parts that the tokenizer takes one by one to the same ids as the whole text."""
+    if "<|" in text:  # special tokens are found as they are written
+        return [text]
+    if "\u0130" not in text and "\u03a3" not in text:  # elsewhere, case doesn't depend on neighbours
+        text = text.lower()
+    if _PROSE.fullmatch(text) and not any(two in text for two in ("..", ",,", ".,", ",.")):
+        return text.replace(".", " . ").replace(",", " , ").split()
+    if _SIMPLE.fullmatch(text):
+        return _MARKS.sub(r" \1 ", text).split()
+    return text.replace("\n", " ").split(" ")
+
+
 def encode(texts: list[str], path: str, kind: str, by_word: bool = True) -> list[bytes]:
     """The token ids of each text, packed as `kind` ('H' or 'I'); by_word: the tokenizer drops white space and case."""
     if not by_word:
@@ -98,9 +115,7 @@ def encode(texts: list[str], path: str, kind: str, by_word: bool = True) -> list
     known = _known.get(path + kind)
     if known is None:
         known = _known[path + kind] = Known(path, kind)
-    # Case doesn't depend on neighbours but for two letters; texts with them stay as they are.
-    folded = (t if "\u0130" in t or "\u03a3" in t else t.lower() for t in texts)
-    parts = [t.replace("\n", " ").split(" ") for t in folded]
+    parts = [_parts(t) for t in texts]
     if len(known) > WORDS:
         known.clear()
     found = [list(map(known.get, p)) for p in parts]
