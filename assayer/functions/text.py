@@ -87,3 +87,15 @@ def sentences(docs: DataFrame, text_col: str = "text") -> DataFrame:
     parts = docs.withColumn("cleaned", clean(text_col)).withColumn("__parts", F.coalesce(sentence_parts("cleaned"), F.array().cast("array<string>")))
     kept = F.filter("__parts", lambda p: ~is_directive(p))
     return parts.withColumn("sentences", kept).withColumn("dropped", (F.size("__parts") - F.size("sentences")).cast("long")).drop("__parts")
+
+
+def sql_parts(x: str) -> str:
+    """sentence_parts in DuckDB's SQL, whose patterns look neither ahead nor behind."""
+    cut = f"string_split_regex(regexp_replace({x}, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+|[;:]')"
+    return f"list_filter(list_transform({cut}, lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(13))), lambda p: length(p) BETWEEN {SHORT} AND {LONG})"
+
+
+def sql_is_directive(s: str) -> str:
+    quoted = "|".join(f"(?:{p})" for p in DIRECTIVES).replace("'", "''")
+    opener = rf"^[,.]*(?:{'|'.join(IMPERATIVES)})[,.]*(?: |$)"
+    return f"(regexp_matches(lower(trim({s})), '{opener}') OR regexp_matches(lower(trim({s})), '^(?:{'|'.join(DIRECTIVE_STARTS)})') OR regexp_matches(lower(trim({s})), '{quoted}'))"

@@ -5,31 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from assayer.operators import score
-from assayer.plans import sample
-
-SHARES = ("for_share", "against_share", "neutral_share")
-
-
-def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = sample.claims(spark)
-    out = score.verdicts(score.tally(asked, score.evidence(asked, sample.weighed(spark, sf_dir), sample.NOW)))
-    return out.select("claim_id", *[F.round(s, 6).alias(s) for s in SHARES], "n_full", "hosts", "items", "leader", "resolved", "verdict")
-
-
-VERDICTS_SQL = f"""WITH {sample.TALLY_SQL}
-SELECT claim_id, {", ".join(f"round({s}, 6) AS {s}" for s in SHARES)}, n_full, hosts, items, leader, resolved, CASE WHEN resolved THEN leader ELSE 'unresolved' END AS verdict FROM verdicts"""
+from assayer.plans import texts, weighing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"evidence_verdicts": _verdicts}
+    return weighing.QUERIES | texts.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"evidence_verdicts": VERDICTS_SQL}
+    return weighing.SQL | texts.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _verdicts(spark, sf_dir)
+    return weighing.verdicts(spark, sf_dir)
