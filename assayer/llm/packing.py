@@ -7,7 +7,6 @@ its shard, and the best unused neighbours follow until the window is full; what
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import zlib
@@ -43,8 +42,7 @@ def tokenizer(path: str):
 
 
 #: Lower-case Latin letters that composition leaves as they are; a part of them alone is one word to the tokenizer.
-_PLAIN = re.compile("[a-zß-öø-ÿ]+")
-_STOPPED = re.compile("([a-zß-öø-ÿ]+)([.,])")
+_PLAIN = re.compile("[a-zß-öø-ÿœ]+")
 #: Texts of such characters alone: each run of marks is a word to the tokenizer, so spaces around it change nothing.
 _SIMPLE = re.compile("[a-z0-9ß-öø-ÿœ \\n!-&(-/:-@\\[-`{-~]*")
 _PROSE = re.compile("[a-z0-9ß-öø-ÿœ \\n.,]*")
@@ -52,47 +50,22 @@ _MARKS = re.compile("([!-&(-/:-@\\[-`{-~]+)")
 
 
 class Known(dict):
-    """The tokens of parts of text that a worker has met, for a tokenizer that drops white space and case and marks word ends."""
+    """The tokens of parts of text that a worker has met, for a tokenizer that drops white space and case."""
 
     def __init__(self, path: str, kind: str):
         super().__init__()
+        from tokenizers import pre_tokenizers
+
         self.kind, self.whole = kind, tokenizer(path)
-        made = json.loads(self.whole.to_str())
-        made |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}, "post_processor": None, "added_tokens": []}
-        self.words = type(self.whole).from_str(json.dumps(made))
-        suffix = made["model"].get("end_of_word_suffix") or ""
-        size = self.whole.get_vocab_size()
-        self.ends = np.zeros(size, bool)
-        for token, k in made["model"]["vocab"].items():
-            self.ends[k] = bool(suffix) and token.endswith(suffix)
-
-    def _whole(self, parts: list[str]) -> None:
-        for p, e in zip(parts, self.whole.encode_batch_fast(parts, add_special_tokens=False), strict=True):
-            self[p] = array(self.kind, e.ids).tobytes()
-
-    def learn(self, parts: set[str]) -> None:
-        words, stopped, other = [], [], []
-        for p in parts:
-            if _PLAIN.fullmatch(p):
-                words.append(p)
-            elif m := _STOPPED.fullmatch(p):
-                stopped.append((p, m[1], m[2]))
-            else:
-                other.append(p)
-        have = set(words)
-        words += [w for w in dict.fromkeys(w for _, w, _ in stopped) if w not in self and w not in have]
-        other += [c for c in {c for _, _, c in stopped} if c not in self]
-        if words:  # all in one text, and apart again behind the tokens that end a word
-            ids = np.array(self.words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(words):
-                raw, width = ids.tobytes(), ids.itemsize
-                self.update(zip(words, [raw[a * width : b * width] for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)], strict=True))
-            else:
-                self._whole(words)
-        self._whole(other)
-        for p, w, c in stopped:
-            self[p] = self[w] + self[c]
+        self.word, self.letters = self.whole.model.tokenize, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+
+    def __missing__(self, part: str) -> bytes:
+        if _PLAIN.fullmatch(part):
+            ids = [t.id for t in self.word(part if part.isascii() else self.letters(part)[0][0])]
+        else:
+            ids = self.whole.encode(part, add_special_tokens=False).ids
+        self[part] = found = array(self.kind, ids).tobytes()
+        return found
 
 
 def _parts(text: str) -> list[str]:
@@ -115,15 +88,9 @@ def encode(texts: list[str], path: str, kind: str, by_word: bool = True) -> list
     known = _known.get(path + kind)
     if known is None:
         known = _known[path + kind] = Known(path, kind)
-    parts = [_parts(t) for t in texts]
     if len(known) > WORDS:
         known.clear()
-    found = [list(map(known.get, p)) for p in parts]
-    short = [k for k, f in enumerate(found) if None in f]
-    known.learn({w for k in short for w, ids in zip(parts[k], found[k], strict=True) if ids is None})
-    for k in short:
-        found[k] = [known[w] if ids is None else ids for w, ids in zip(parts[k], found[k], strict=True)]
-    return list(map(b"".join, found))
+    return [b"".join(map(known.__getitem__, _parts(t))) for t in texts]
 
 
 ENCODED = pa.schema([("id", pa.int64()), ("place", pa.int32()), ("n", pa.int64()), ("ids", pa.binary())])
