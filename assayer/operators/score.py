@@ -54,14 +54,14 @@ def candidates(claims: DataFrame, triples: DataFrame) -> DataFrame:
 def evidence(claims: DataFrame, triples: DataFrame, now: float) -> DataFrame:
     """The best triple of each voice (claim, host, topic, stance): claim_id, row, the triple, stance, weight, corr, first_row.
 
-    Ties keep the triple with the least row; first_row is the least row of the voice, which orders evidence of equal weight.
+    Weights have 12 places. Ties keep the triple with the least row; first_row is the least row of the voice, which orders evidence of equal weight.
     triples need topics and corr.
     """
     met = candidates(claims, triples)
     none = F.size("co") == 0
     full = none | F.arrays_overlap("co", F.array_union("os", "ss"))
     stance = F.when(~full | (F.col("pol") == 0) | (F.col("cpol") == 0), "neutral").when(F.col("pol") == F.col("cpol"), "for").otherwise("against")
-    weight = F.col("trust") * F.col("corr") * nlp.recency("added", now) * F.when(full, 1.0).otherwise(PARTIAL)
+    weight = F.round(F.col("trust") * F.col("corr") * nlp.recency("added", now) * F.when(full, 1.0).otherwise(PARTIAL), 12)
     topic = F.when(full & ~none, F.array_sort(F.array_intersect("os", "co"))).otherwise(F.col("os"))
     weighed = met.withColumns({"stance": stance, "weight": weight, "topic": topic})
     fields = ["row", "subject", "predicate", "object", "source", "added", "trust", "pol", "corr", "weight"]

@@ -67,12 +67,12 @@ def logical_size(triples: DataFrame) -> DataFrame:
 def evict(triples: DataFrame, cap: int, now: float) -> DataFrame:
     """The triples that stay under the cap, renumbered by score, heaviest first; all, where they fit.
 
-    Triples enter by trust, recency and hits (ties: by row), each charged for its row and for the strings it is the first
+    Triples enter by trust, recency and hits (to 12 places; ties: by row), each charged for its row and for the strings it is the first
     to use, up to the first that would pass nine tenths of the cap with four bytes more for each letter of its subject.
     The running sizes are summed over score buckets first, so no task orders the whole table.
     """
     size = logical_size(triples).first()["bytes"]
-    score = F.col("trust_q") / 255.0 * nlp.recency("added", now) * (1 + F.col("hits"))
+    score = F.round(F.col("trust_q") / 255.0 * nlp.recency("added", now) * (1 + F.col("hits")), 12)
     if size <= cap:
         return triples.withColumn("score", score)
     scored = triples.withColumn("score", score)

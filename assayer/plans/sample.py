@@ -100,7 +100,7 @@ met AS (
   FROM claims c JOIN weighed t ON list_has_any(c.s, t.ss)),
 graded AS (
   SELECT *, CASE WHEN NOT is_full OR pol = 0 OR cpol = 0 THEN 'neutral' WHEN pol = cpol THEN 'for' ELSE 'against' END AS stance,
-    trust * corr * {nlp.sql_recency("added", NOW)} * CASE WHEN is_full THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS weight,
+    round(trust * corr * {nlp.sql_recency("added", NOW)} * CASE WHEN is_full THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END, 12) AS weight,
     CASE WHEN is_full AND len(co) > 0 THEN list_sort(list_intersect(os, co)) ELSE os END AS topic FROM met),
 ordered AS (
   SELECT *, row_number() OVER (PARTITION BY claim_id, host, ss, topic, stance ORDER BY weight DESC, row) AS nth,

@@ -151,7 +151,7 @@ def resolve_long(spark, sf_dir):
 def _event_attempts(events: DataFrame) -> DataFrame:
     said = F.when(F.col("value") > 50, "improve").otherwise("reduce")
     return events.select(
-        F.regexp_replace(F.lower("event_type"), "[^a-z0-9]+", " ").alias("subject"), said.alias("predicate"), F.concat(F.lit("user "), (F.col("user_id") % 50).cast("string")).alias("object"),
+        F.concat(F.lit("event "), F.regexp_replace(F.lower("event_type"), "[^a-z0-9]+", " ")).alias("subject"), said.alias("predicate"), F.concat(F.lit("user "), (F.col("user_id") % 50).cast("string")).alias("object"),
         F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string"), F.lit(".example.org/e")).alias("source"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("added"), (F.col("user_id") % 256).cast("int").alias("trust_q"),
     )
 
@@ -187,6 +187,6 @@ SQL = {
     "tfidf_topk": f"""WITH {_IDF}, asked AS (SELECT item_id AS query_id, unnest(list_distinct(list_transform({nlp.sql_stems('text')}, lambda w: {nlp.sql_stem('w')}))) AS stem FROM benchmark),
         scored AS (SELECT query_id, doc, round(sum(idf), 9) AS score FROM asked JOIN postings USING (stem) JOIN idf USING (stem) GROUP BY query_id, doc),
         placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc DESC) AS place FROM scored) SELECT query_id, doc, round(score, 6) AS score, place FROM placed WHERE place <= 5""",
-    "stream_ingest_upsert": """SELECT regexp_replace(lower(event_type), '[^a-z0-9]+', ' ', 'g') AS subject, CASE WHEN value > 50 THEN 'improve' ELSE 'reduce' END AS predicate, 'user ' || (user_id % 50) AS object,
+    "stream_ingest_upsert": """SELECT 'event ' || regexp_replace(lower(event_type), '[^a-z0-9]+', ' ', 'g') AS subject, CASE WHEN value > 50 THEN 'improve' ELSE 'reduce' END AS predicate, 'user ' || (user_id % 50) AS object,
         'u' || (user_id % 10) || '.example.org/e' AS source, max(epoch(ts))::DOUBLE AS added, max(user_id % 256)::INTEGER AS trust_q FROM events GROUP BY ALL""",
 }

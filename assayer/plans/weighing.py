@@ -180,7 +180,7 @@ SQL = {
     "store_size": f"""WITH {sample.TRIPLES_SQL}, strings AS (SELECT DISTINCT unnest([subject, predicate, object, source]) AS value FROM triples)
         SELECT (SELECT count(*) FROM triples) AS rows, (SELECT count(*) FROM strings) AS strings, (12 + (SELECT sum(strlen(value) + 4) FROM strings) + 29 * (SELECT count(*) FROM triples))::BIGINT AS bytes""",
     "eviction_survivors": f"""WITH {sample.TRIPLES_SQL},
-        scored AS (SELECT *, (row % 5)::INTEGER AS hits, row_number() OVER (ORDER BY trust_q / 255.0::DOUBLE * {_REC} * (1 + row % 5) DESC, row) AS place FROM triples),
+        scored AS (SELECT *, (row % 5)::INTEGER AS hits, row_number() OVER (ORDER BY round(trust_q / 255.0::DOUBLE * {_REC} * (1 + row % 5), 12) DESC, row) AS place FROM triples),
         used AS (SELECT place, unnest([subject, predicate, object, source]) AS value FROM scored), firsts AS (SELECT value, min(place) AS place FROM used GROUP BY value),
         texts AS (SELECT place, sum(strlen(value) + 4) AS text FROM firsts GROUP BY place),
         summed AS (SELECT s.*, 12 + coalesce(sum(29 + coalesce(text, 0)) OVER (ORDER BY s.place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM scored s LEFT JOIN texts x ON x.place = s.place),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # The lines of an outline.
 ROUTE = r"^- \[\d+\] (.+?) :: verdict=(\S+) for=([\d.]+) against=([\d.]+) neutral=([\d.]+) t=(\d+) hits=(\d+)$"
 STEP, LINK, TOPIC, SECTION = r"^  - \d+\. (.+)$", r"^    - (\S+)$", r"^- (.+?) :: (\d+)$", r"^## (.*)$"
-TITLE = "# retrieva outline v1"
+TITLE = "# outline v1"
 
 
 def _lines(text: DataFrame) -> DataFrame:
