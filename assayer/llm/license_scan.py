@@ -23,7 +23,7 @@ TEMPLATES = [
     ("apache-2.0", "apache license version 2 0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
     ("gpl-3.0", "gnu general public license version 3", "this work is licensed under the gnu general public license version 3"),
     ("gpl-2.0", "gnu general public license version 2", "this program is free software licensed under the gnu general public license version 2"),
-    ("gpl-or-later", "gnu general public license", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version"),
+    ("gpl-or-later", "either version", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version"),
     ("lgpl", "gnu lesser general public license", "under the terms of the gnu lesser general public license as published by the free software foundation"),
     ("mit", "mit license", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
