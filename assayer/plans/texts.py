@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from assayer.functions import nlp, readings, text
 from assayer.operators import claims, gate, ingest, resolve, score, search, store, topics
 from assayer.plans import library, sample
+from assayer.sources import outline
 from assayer.sources.generations import Generations
 from assayer.streaming import ingest as stream
 
@@ -165,7 +166,42 @@ def stream_upsert(spark, sf_dir):
     return Generations(spark, f"{base}/memory").load()[0].select(*store.KEY, "added", "trust_q")
 
 
+_ADDRESS = "concat_ws('.', cast(user_id * 37 % 256 as string), cast(user_id * 101 % 256 as string), cast(event_id % 256 as string), '1')"
+HOSTS = ["tionsh.example.net", "therin.example.net", "thther.example.org"]
+
+
+def ip_policy(spark, sf_dir):
+    found = sample.table(spark, sf_dir, "events").select("event_id", F.expr(_ADDRESS).alias("address"))
+    return found.select("event_id", "address", gate.is_public_ip("address").alias("public"))
+
+
+def url_policy(spark, sf_dir):
+    return sample.table(spark, sf_dir, "pages").select("page_id", gate.is_fetchable("url", HOSTS).alias("fetchable"))
+
+
+def topic_counts(spark, sf_dir):
+    """Event types as topics, counted anew, with the number of documents that the next search of each may return."""
+    events = sample.table(spark, sf_dir, "events").select(F.col("event_type").alias("topic"), "user_id")
+    before = events.filter("user_id % 7 = 0").groupBy("topic").agg(F.count(F.lit(1)).alias("count"))
+    counts = topics.count_topics(before, events.filter("user_id % 7 = 1").select("topic"))
+    return topics.with_limits(counts.select("topic", "count").withColumnRenamed("count", "searched"), counts).select("topic", "searched", F.col("n_docs").cast("long").alias("n_docs"))
+
+
+def routes_by_outline(spark, sf_dir):
+    """Customers as routes, written as an outline and read again."""
+    k = F.col("c_custkey")
+    step = F.struct(F.concat(F.lit("topic "), (k % 7).cast("string")).alias("topic"), F.array(F.concat(F.lit("a.example.org/"), k.cast("string"))).alias("links"))
+    routes = sample.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("c"), k.cast("string")).alias("key"), F.lit("for").alias("verdict"), F.lit(0.5).alias("for_share"), F.lit(0.25).alias("against_share"), F.lit(0.25).alias("neutral_share"),
+        (k * 86400).cast("long").alias("t"), (k % 5).cast("int").alias("hits"), F.array_repeat(step, (k % 3).cast("int")).alias("steps"), k.cast("int").alias("place"),
+    )
+    counts = routes.groupBy(F.concat(F.lit("topic "), (F.col("place") % 7).cast("string")).alias("topic")).agg(F.count(F.lit(1)).alias("count"))
+    read, _ = outline.parse(resolve.stored(outline.render(routes, counts)))
+    return outline.counted(read).select("key", "verdict", "for_share", "t", "hits", "n_steps", "n_links")
+
+
 QUERIES = {
+    "ip_policy": ip_policy, "url_policy": url_policy, "topic_counts": topic_counts, "outline_round_trip": routes_by_outline,
     "suffix_gate": suffix_gate, "doc_size_filter": doc_sizes, "sentence_split": sentence_split, "injection_filter": injection_filter, "token_stats": token_stats, "stem_sets": stem_sets, "idf_table": idf_table,
     "tfidf_topk": tfidf_topk, "clean_pages": clean_pages, "parse_report": parse_report, "ensemble_triples": ensemble, "qa_pairs": qa_pairs, "ingest_stats": ingest_stats, "resolve_quick": resolve_quick,
     "resolve_deliberated": deliberated, "voices": voices, "resolve_long": resolve_long, "stream_ingest_upsert": stream_upsert,
@@ -175,7 +211,15 @@ _STEMS = f"stems AS MATERIALIZED (SELECT doc_id, {nlp.sql_stems('text')} AS stem
 _IDF = f"{_STEMS}, postings AS (SELECT doc_id AS doc, unnest(stems) AS stem FROM stems), idf AS (SELECT stem, count(*) AS df, ln(1 + (SELECT count(*) FROM documents) / count(*)::DOUBLE) AS idf FROM postings GROUP BY stem)"
 _TRUST = "trust(suffix, trust) AS (VALUES " + ", ".join(f"('{h}', {t}::DOUBLE)" for h, t in TRUST) + ")"
 
+_N = "list_transform(string_split(address, '.'), lambda x: x::INTEGER)"
+
 SQL = {
+    "ip_policy": f"""WITH e AS (SELECT event_id, concat_ws('.', user_id * 37 % 256, user_id * 101 % 256, event_id % 256, 1) AS address FROM events), n AS (SELECT *, {_N} AS n FROM e)
+        SELECT event_id, address, NOT (n[1] IN (0, 10, 127) OR n[1] >= 224 OR (n[1] = 100 AND n[2] BETWEEN 64 AND 127) OR (n[1] = 169 AND n[2] = 254) OR (n[1] = 172 AND n[2] BETWEEN 16 AND 31) OR (n[1] = 192 AND n[2] = 168)
+          OR (n[1] = 192 AND n[2] = 0 AND n[3] IN (0, 2)) OR (n[1] = 198 AND n[2] IN (18, 19)) OR (n[1] = 198 AND n[2] = 51 AND n[3] = 100) OR (n[1] = 203 AND n[2] = 0 AND n[3] = 113)) AS public FROM n""",
+    "url_policy": f"SELECT page_id, regexp_matches(url, '^https://({'|'.join(h.replace('.', '[.]') for h in HOSTS)})(:443)?([/?#]|$)') AS fetchable FROM pages",
+    "topic_counts": """WITH c AS (SELECT event_type AS topic, count(*) AS searched FROM events WHERE user_id % 7 IN (0, 1) GROUP BY event_type) SELECT topic, searched, 3 + least(searched, 5) AS n_docs FROM c""",
+    "outline_round_trip": """SELECT 'c' || c_custkey AS key, 'for' AS verdict, 0.5::DOUBLE AS for_share, (c_custkey * 86400)::BIGINT AS t, (c_custkey % 5)::INTEGER AS hits, (c_custkey % 3)::BIGINT AS n_steps, (c_custkey % 3)::BIGINT AS n_links FROM customer""",
     "suffix_gate": f"""WITH {_TRUST}, p AS (SELECT page_id, regexp_extract(url, '{HOST}', 1) AS host FROM pages)
         SELECT page_id, host, coalesce((SELECT arg_max(t.trust, length(suffix)) FROM trust t WHERE lower(host) = suffix OR ends_with(lower(host), '.' || suffix)), 0.0::DOUBLE) AS trust FROM p""",
     "doc_size_filter": "SELECT doc_id, strlen(text) AS n_bytes, strlen(text) <= 262144 AS fits FROM documents",

@@ -1,0 +1,59 @@
+import hashlib
+import json
+import struct
+
+import pyarrow as pa
+
+from assayer.operators import score, store
+from assayer.sources import imports, reports
+from assayer.streaming import ingest as stream
+
+STRINGS = ["coffee", "improve", "memory", "journal.example.org/coffee", "not improve", "news.example.com/myth", "<b>"]
+RECORDS = [(0, 1, 2, 3, 1.75e9, 230, 3), (0, 4, 2, 5, 1.70e9, 128, 0), (6, 1, 2, 3, 0.0, 1, 0), (99, 1, 2, 3, 0.0, 1, 0)]
+WANTED = [("coffee", "improve", "memory", "journal.example.org/coffee", 1.75e9, 230, 3), ("coffee", "not improve", "memory", "news.example.com/myth", 1.70e9, 128, 0)]
+COLUMNS = [*store.KEY, "added", "trust_q", "hits"]
+
+
+def test_packed_file(spark, tmp_path):
+    raw = struct.pack("<4sII", b"RTV1", len(STRINGS), len(RECORDS)) + b"".join(struct.pack("<I", len(s)) + s.encode() for s in STRINGS) + b"".join(struct.pack("<IIIIdBI", *r) for r in RECORDS)
+    (tmp_path / "memory.bin").write_bytes(raw)
+    got = imports.read_packed(spark, str(tmp_path / "memory.bin"))
+    assert sorted(map(tuple, got.select(*COLUMNS).collect())) == WANTED
+
+
+def test_arrow_files(spark, tmp_path):
+    tables = {"strings": pa.table({"value": STRINGS}), "triples": pa.table({n: pa.array(c, t) for n, c, t in zip(("s", "p", "o", "src", "added", "trust_q", "hits"), zip(*RECORDS), [pa.int32()] * 4 + [pa.float64(), pa.int32(), pa.int32()])})}
+    for name, table in tables.items():
+        with pa.OSFile(str(tmp_path / f"{name}.arrow"), "wb") as f, pa.ipc.new_file(f, table.schema) as w:
+            w.write_table(table)
+    assert sorted(map(tuple, imports.read_arrow(spark, str(tmp_path)).select(*COLUMNS).collect())) == WANTED
+    digests = {f"{n}.arrow": hashlib.sha256((tmp_path / f"{n}.arrow").read_bytes()).hexdigest() for n in tables}
+    (tmp_path / "MANIFEST.json").write_text(json.dumps({"version": 1, "sha256": digests}))
+    assert imports.is_intact(spark, str(tmp_path))
+    (tmp_path / "triples.arrow").write_bytes(b"damaged")
+    assert not imports.is_intact(spark, str(tmp_path))
+
+
+def test_reports(spark):
+    facts = score.with_topics(spark.createDataFrame(WANTED, "subject string, predicate string, object string, source string, added double, trust_q int, hits int"))
+    routes = spark.createDataFrame([("a b", "for", 3, 2), ("c", "for", 5, 9)], "key string, verdict string, n_steps int, hits int")
+    told = json.loads(reports.memory_report(facts, routes).first()["report"])
+    assert told["triples"] == 2 and len(told["hosts"]) == 2 and told["contested"][0]["subject"] == "coffee"
+    assert told["routes"] == {"routes": 2, "mean_steps": 4.0, "verdicts": {"for": 2}, "most_replayed": ["c", "a b"]}
+    counters = spark.createDataFrame([("b_total", 1), ("a_total", 2), ("b_total", 3)], "name string, value long")
+    assert reports.metrics(counters).first()["text"] == "# TYPE a_total counter\na_total 2\n# TYPE b_total counter\nb_total 4\n"
+
+
+def test_document_stream_is_idempotent(spark, tmp_path):
+    rows = [json.dumps({"doc": 1, "locator": "a.example.org/x", "text": "Tea improves focus. Milk harms teeth.", "added": 1.0}), json.dumps({"doc": 2, "locator": "b.example.org/x", "text": "Tea improves focus.", "added": 2.0})]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/one.json").write_text("\n".join(rows))
+    trust = spark.createDataFrame([("example.org", 0.5)], "host string, trust double")
+
+    def run(name):
+        docs = spark.readStream.schema("doc long, locator string, text string, added double").json(str(tmp_path / "in"))
+        stream.start_documents(docs, trust, str(tmp_path / "memory"), str(tmp_path / name)).awaitTermination()
+        return sorted(map(tuple, stream.Generations(spark, str(tmp_path / "memory")).load()[0].select(*COLUMNS).collect()))
+
+    first = run("c1")
+    assert len(first) == 3 and run("c2") == first  # a new checkpoint takes all documents again
