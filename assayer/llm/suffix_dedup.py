@@ -11,6 +11,7 @@ compared by their first `length` bytes. Names with very many different blocks ha
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,63 +69,128 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     return grams[at].view(np.int64), block.view(np.int64), at, first, last
 
 
-ANCHORS = pa.schema([("name", pa.int64()), ("block", pa.int64()), ("key", pa.int64()), ("size", pa.int32()), ("place", pa.int64())])
-_ANCHORS = "name long, block long, key long, size int, place long"
+_FIELDS = [("name", pa.int64()), ("block", pa.int64()), ("key", pa.int64()), ("size", pa.int32()), ("place", pa.int64())]
+ANCHORS = pa.schema([*_FIELDS, ("state", pa.int8()), ("hot", pa.bool_()), ("deal", pa.int64())])
+_ANCHORS = "name long, block long, key long, size int, place long, state byte, hot boolean, deal long"
+#: States of a row: one anchor, one of several with its block, or a run of starts that are settled.
+SINGLE, SEVERAL, RUN = 0, 1, 2
+HELD = 400_000
 
 
-def _found(length: int, gram: int):
+def _reduced(name, block, key, size, place, hot: np.ndarray) -> pa.RecordBatch:
+    """The rows that a task sends for its anchors: one for each block, and the starts of blocks that it has met twice as runs.
+
+    So rows that are alike are dealt by name once a task, and runs by where they are.
+    """
+    order = np.lexsort((block, name))
+    name, block, key, size, place = (x[order] for x in (name, block, key, size, place))
+    new = np.ones(len(name), bool)
+    new[1:] = (name[1:] != name[:-1]) | (block[1:] != block[:-1])
+    begin = np.flatnonzero(new)
+    count = np.diff(np.append(begin, len(name)))
+    state = np.where(count > 1, SEVERAL, SINGLE).astype(np.int8)
+    busy = np.isin(name[begin], hot)
+    own = [x[begin] for x in (name, block, key, size, place)]
+    met = np.flatnonzero(np.repeat(count > 1, count))
+    at = place[met] >> 16
+    first, last = at - (place[met] >> 8 & 255), at - (place[met] & 255)
+    order = np.lexsort((first, size[met], key[met]))
+    k, n, first, last = key[met][order], size[met][order], first[order], last[order]
+    fresh = np.ones(len(k), bool)
+    fresh[1:] = (k[1:] != k[:-1]) | (n[1:] != n[:-1]) | (first[1:] > last[:-1] + 1)
+    start = np.flatnonzero(fresh)
+    last = np.maximum.reduceat(last, start) if len(start) else last
+    k, n, first = k[start], n[start], first[start]
+    with np.errstate(over="ignore"):
+        spread = (k ^ (first << 20)) * np.int64(0x5851F42D4C957F2D)
+    columns = [np.concatenate(c) for c in zip(own, [spread, np.zeros_like(spread), k, n, (first << 31) | last], strict=True)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c) for c in columns] + [pa.array(np.concatenate([state, np.full(len(k), RUN, np.int8)])), pa.array(np.concatenate([busy, np.zeros(len(k), bool)])), pa.array(np.concatenate([np.where(busy, own[1], own[0]), spread]))], schema=ANCHORS
+    )
+
+
+def _found(length: int, gram: int, hot):
     def run(batches):
-        for key, size, text in rows(batches, "key", "size", "text"):
-            if size >= length:
+        held: list[tuple] = []
+        size = 0
+
+        def reduced():
+            return _reduced(*(np.concatenate(c) for c in zip(*held, strict=True)), hot.value)
+
+        for key, n, text in rows(batches, "key", "size", "text"):
+            if n >= length:
                 name, block, at, first, last = anchors(text, length, gram)
-                place = (at << 16) | ((at - first) << 8) | (at - last)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(block), pa.array(np.full(n, key)), pa.array(np.full(n, size, np.int32)), pa.array(place)], schema=ANCHORS)
+                held.append((name, block, np.full(len(at), key), np.full(len(at), n, np.int32), (at << 16) | ((at - first) << 8) | (at - last)))
+                size += len(at)
+                if size >= HELD:
+                    yield reduced()
+                    held, size = [], 0
+        if held:
+            yield reduced()
 
     return run
 
 
-REPEATED, ALONE, WITNESS = 1, 2, 3
-KINDS = pa.schema([("kind", pa.int32()), *ANCHORS])
+def _names(length: int, gram: int):
+    def run(batches):
+        for _, n, text in rows(batches, "key", "size", "text"):
+            if n >= length:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(anchors(text, length, gram)[0]))], names=["name"])
+
+    return run
+
+
+def hot_names(texts: DataFrame, length: int, gram: int) -> np.ndarray:
+    """Names that a thousandth of a sample of a 64th of the texts has, 64 of them at least. They are dealt by block.
+
+    Which names these are changes no result. The list has at most a thousand times the names of a text on average.
+    """
+    sample = texts.filter((F.col("size") >= length) & (F.pmod("key", F.lit(64)) == 0))
+    least = max(64, sample.count() // 1000)
+    named = sample.select("key", "size", "text").mapInArrow(_names(length, gram), "name long")
+    return np.sort(named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("name").toArrow().column("name").to_numpy())
+
+
+REPEATED, ALONE, WITNESS, SETTLED = 1, 2, 3, 4
+KINDS = pa.schema([("kind", pa.int32()), *_FIELDS])
+_KINDS = "kind int, name long, block long, key long, size int, place long"
 
 
 def _kinds(batches):
-    """Of anchors sorted by name and block: blocks that repeat, blocks alone among others of their name, one witness of each repeated block there.
+    """Of rows sorted by name and block: blocks that repeat, blocks alone among others of their name, one witness of each repeated block there, settled runs.
 
-    Only the last row and what came before it is held, so a name can have any number of rows.
+    Only the last row and what came before it is held, so a name can have any number of rows. Names that are dealt by
+    block count as having others.
     """
-    held = None  # columns of one row; whether the row before has its name, its block; whether its block has others of its name before it
+    held = None  # the columns of one row; whether the row before has its name, its block; whether its block has others of its name before it
+
+    def told(kind: int, flags: np.ndarray, columns: list) -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(flags)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), *(pa.array(x[at]) for x in columns[:5])], schema=KINDS)
 
-    def decided(columns, same_name, same_block, others, last):
-        """Flags are about the row before each; the rows but the last (all at the end) are decided."""
+    def decided(columns, same_name, same_block, others, upto):
         n = len(same_name)
         ahead_name, ahead_block = np.append(same_name[1:], False), np.append(same_block[1:], False)
-        start = np.flatnonzero(~same_block)
-        block_of = np.searchsorted(start, np.arange(n), side="right") - 1
-        starts_inside = same_name & ~same_block
-        other = np.where(block_of >= 0, starts_inside[start[np.maximum(block_of, 0)]] if len(start) else False, False)
-        other = np.where(block_of < 0, others, other) if n else other
-        if n and not same_block[0] and others:
-            other = np.where(block_of == 0, True, other)
-        repeats = same_block | ahead_block
-        in_company = ~repeats & (same_name | ahead_name)
-        witness = repeats & ~ahead_block & (other | ahead_name)
-        upto = n if last else n - 1
-        for kind, flags in ((REPEATED, repeats), (ALONE, in_company), (WITNESS, witness)):
-            at = np.flatnonzero(flags[:upto])
-            if kind == REPEATED and len(at):  # rows of equal texts are alike
-                c = [x[at] for x in columns]
-                fresh = np.ones(len(at), bool)
-                fresh[1:] = (c[2][1:] != c[2][:-1]) | (c[4][1:] != c[4][:-1]) | (c[1][1:] != c[1][:-1])
-                at = at[fresh]
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), *(pa.array(x[at]) for x in columns)], schema=KINDS)
-        return other
+        # A block has others before it where its first row stands behind a row of the same name.
+        led = same_name & ~same_block
+        led[0] |= bool(same_block[0] and others)
+        start = np.maximum.accumulate(np.where(~same_block | (np.arange(n) == 0), np.arange(n), 0))
+        other = led[start]
+        state, hot = columns[5], columns[6]
+        settled = state == RUN
+        repeats = ~settled & (same_block | ahead_block | (state == SEVERAL))
+        alone = ~settled & ~repeats & (hot | same_name | ahead_name)
+        witness = repeats & ~ahead_block & (hot | other | ahead_name)
+        open_ = np.arange(n) < upto
+        for kind, flags in ((REPEATED, repeats), (ALONE, alone), (WITNESS, witness), (SETTLED, settled)):
+            yield from told(kind, flags & open_, columns)
+        return bool(other[-1])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(k).to_numpy() for k in range(5)]
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
         if held is not None:
             columns = [np.concatenate([a, b]) for a, b in zip(held[0], columns, strict=True)]
         name, block = columns[0], columns[1]
@@ -133,10 +199,10 @@ def _kinds(batches):
         others = False
         if held is not None:
             same_name[0], same_block[0], others = held[1:]
-        other = yield from decided(columns, same_name, same_block, others, False)
-        held = ([x[-1:] for x in columns], bool(same_name[-1]), bool(same_block[-1]), bool(other[-1]))
+        other = yield from decided(columns, same_name, same_block, others, len(name) - 1)
+        held = ([x[-1:] for x in columns], bool(same_name[-1]), bool(same_block[-1]), other)
     if held is not None:
-        yield from decided(held[0], np.array([held[1]]), np.array([held[2]]), held[3], True)
+        yield from decided(held[0], np.array([held[1]]), np.array([held[2]]), held[3], 1)
 
 
 BLOCKS = pa.schema([("name", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("size", pa.int32()), ("place", pa.int64()), ("bytes", pa.binary())])
@@ -235,12 +301,15 @@ def _starts(length: int):
 def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST_BLOCKS) -> DataFrame:
     """(key, size, first, last): runs of starts of strings that start elsewhere too; texts: (id, key, size, text)."""
     spark = texts.sparkSession
-    found = texts.filter(F.col("size") >= length).select("key", "size", "text").mapInArrow(_found(length, gram), _ANCHORS)
-    kinds = stored(found.repartition("name").sortWithinPartitions("name", "block", "key", "place").mapInArrow(_kinds, f"kind int, {_ANCHORS}"))
-    whole = kinds.filter(F.col("kind") == REPEATED)
+    long_ = texts.filter(F.col("size") >= length).select("key", "size", "text")
+    hot = spark.sparkContext.broadcast(hot_names(texts, length, gram))
+    found = long_.mapInArrow(_found(length, gram, hot), _ANCHORS)
+    kinds = stored(found.repartition("deal").sortWithinPartitions("name", "block", "key", "place").mapInArrow(_kinds, _KINDS))
     at, before, behind = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(255)), F.col("place").bitwiseAND(F.lit(255))
-    whole = whole.select("key", "size", (at - before).alias("first"), (at - behind).alias("last"))
-    open_ = kinds.filter(F.col("kind") != REPEATED)
+    whole = kinds.filter(F.col("kind") == REPEATED).select("key", "size", (at - before).alias("first"), (at - behind).alias("last"))
+    settled = kinds.filter(F.col("kind") == SETTLED).select("key", "size", F.shiftright("place", 31).alias("first"), F.col("place").bitwiseAND(F.lit(_PLACE)).alias("last"))
+    whole = whole.unionByName(settled)
+    open_ = kinds.filter(F.col("kind").isin(ALONE, WITNESS))
     crowded = stored(open_.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("name"))
     one = texts.groupBy("key", "size").agg(F.min("id").alias("chosen"))  # of equal texts, one gives the blocks
     marks = open_.groupBy("key", "size").agg(F.collect_list(F.struct("name", "kind", "place")).alias("marks")).join(one, ["key", "size"])

@@ -42,7 +42,11 @@ def test_against_brute_force(docs, documents, length, gram, most):
     assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == sorted((d[0], *w) for d, w in zip(documents, want, strict=True))
 
 
-def test_small_batches(spark, docs, documents):
+@pytest.mark.parametrize("share", [1, 2])
+def test_small_batches_and_hot_names(spark, docs, documents, monkeypatch, share):
+    names = lambda t: suffix_dedup.anchors(t, 30, 8)[0]
+    every = np.unique(np.concatenate([names(r[1].encode()) for r in documents if r[1] and len(r[1].encode()) >= 30]))
+    monkeypatch.setattr(suffix_dedup, "hot_names", lambda *_: every[every % 2 < share])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         got = suffix_dedup.cut_repeats(docs, length=30, gram=8, most=3).collect()
