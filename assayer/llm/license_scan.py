@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import ascii_lower, stored, table
+from assayer.llm.common import LOWER, UPPER, ascii_lower, stored, table
 
 #: Phrases of the base labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -111,3 +111,39 @@ def _label(seen: DataFrame, counts: dict[str, int], total: int, postings: dict,
 
 def op10(spark, sf_dir):
     return scan(table(spark, sf_dir, "documents"))
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+def twin() -> str:
+    """The query in DuckDB's SQL."""
+    every = [(t, pos, w) for t, (_, _, wording) in enumerate(TEMPLATES) for pos, w in enumerate(wording.split())]
+    base = [(p, label, len(p.split())) for p, label in BASE.items()]
+    lower = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+    return f"""
+WITH templates(t, label, phrase) AS (VALUES {_values([(t, x[0], x[1]) for t, x in enumerate(TEMPLATES)])}),
+postings(t, place, word) AS (VALUES {_values(every)}),
+base(phrase, label, size) AS (VALUES {_values(base)}),
+files AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex({lower}, '{SEPARATORS}'), lambda x: x <> '') AS words FROM documents),
+tokens AS MATERIALIZED (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM files),
+places AS (
+  SELECT k.doc_id, k.pos, b.label FROM base b JOIN tokens k ON k.word = split_part(b.phrase, ' ', 1) JOIN files f ON f.doc_id = k.doc_id
+  WHERE array_to_string(f.words[k.pos + 1 : k.pos + b.size], ' ') = b.phrase),
+found AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY doc_id),
+counts AS (SELECT word, count(DISTINCT doc_id) AS n FROM tokens WHERE word IN (SELECT word FROM postings) GROUP BY word),
+idf AS (SELECT word, ln(1 + (SELECT count(*) FROM files) / n::DOUBLE) AS idf FROM counts WHERE n <= greatest(1, {RARE_SHARE} * (SELECT count(*) FROM files))),
+ordered AS (SELECT t, word, idf, row_number() OVER (PARTITION BY t ORDER BY idf DESC, word) AS nth FROM (SELECT DISTINCT t, word FROM postings) JOIN idf USING (word)),
+chosen AS (SELECT p.t, p.place, p.word, o.idf FROM postings p JOIN ordered o ON o.t = p.t AND o.word = p.word WHERE nth <= {RARE_WORDS}),
+weights AS (SELECT t, sum(idf) AS weight FROM chosen GROUP BY t),
+votes AS (SELECT k.doc_id, c.t, k.pos - c.place AS begin, sum(c.idf) AS votes FROM tokens k JOIN chosen c ON c.word = k.word GROUP BY ALL),
+best AS (SELECT doc_id, t, round(least(1.0, max(votes) / any_value(weight)), 6) AS share FROM votes JOIN weights USING (t) GROUP BY doc_id, t),
+own AS (
+  SELECT b.doc_id, list_sort(list(DISTINCT label)) AS labels, max(share) AS best, count(*) AS n FROM best b JOIN templates USING (t) JOIN files f ON f.doc_id = b.doc_id
+  WHERE share >= {LEAST} AND contains(' ' || array_to_string(f.words, ' ') || ' ', ' ' || phrase || ' ') GROUP BY b.doc_id)
+SELECT f.doc_id, len(f.words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(d.labels, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(d.labels, []), coalesce(o.labels, [])))), ','), '') AS labels,
+  greatest(coalesce(o.best, 0.0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score, coalesce(o.n, 0)::BIGINT AS n_templates
+FROM files f LEFT JOIN found d ON d.doc_id = f.doc_id LEFT JOIN own o ON o.doc_id = f.doc_id
+"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.SQL}
+    return {"op3_line_dedup": line_dedup.SQL, "op10_license_scan": license_scan.twin()}
