@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import nlp
+from assayer.operators import resolve, score, store
 
 NOW = 1009843200.0
 #: Subject, object and polarity of the claims.
@@ -31,9 +32,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The attempts upserted; row is the rank of the key, so that results don't depend on the order of arrival."""
-    from assayer.operators.store import upsert
-
-    return numbered(upsert(attempts(spark, sf_dir)))
+    return numbered(store.upsert(attempts(spark, sf_dir)))
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -41,8 +40,6 @@ def numbered(rows: DataFrame) -> DataFrame:
 
     The order is found by ranges: a rank within each subject, behind the rows of the subjects before it.
     """
-    from pyspark.sql import Window
-
     per = rows.groupBy("subject").agg(F.count(F.lit(1)).alias("n"))
     before = per.withColumn("before", F.sum("n").over(Window.orderBy("subject").rowsBetween(Window.unboundedPreceding, -1))).select("subject", F.coalesce("before", F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("subject").orderBy("predicate", "object", "source"))
@@ -55,9 +52,8 @@ def claims(spark: SparkSession) -> DataFrame:
 
 
 def weighed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from assayer.operators import score
-
-    return score.corroborate(score.with_topics(triples(spark, sf_dir)))
+    """The triples with topics, written once, and their corroboration."""
+    return score.corroborate(resolve.stored(score.with_topics(triples(spark, sf_dir))))
 
 
 ATTEMPTS_SQL = """attempts AS (
