@@ -162,6 +162,6 @@ def identify(docs: DataFrame, coder: Coder, text_col: str = "text") -> DataFrame
 
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    out = held_out("doc_id", 4, 2)
+    out = F.coalesce(held_out("doc_id", 4, 2), F.lit(False))
     coder = train(docs.filter(~out))
     return identify(docs.select("doc_id", out.alias("held_out"), "text"), coder).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
