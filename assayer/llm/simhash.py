@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import as_bytes, rows, stored, table
+from assayer.llm.common import as_bytes, stored, table
 from assayer.llm.components import components
 
 BITS, SHINGLE, SEED, NEAR = 64, 3, 42, 2
