@@ -83,7 +83,11 @@ def look_up(library: Library, asked: DataFrame, memory: DataFrame, counts: DataF
     keyed = tried.filter("valid").join(order, "doc").groupBy(*store.KEY).agg(F.max("added").alias("added"), F.max("trust_q").alias("trust_q"), F.min(F.struct("o", "at")).alias("o"))
     fresh = keyed.join(memory.select(*store.KEY), store.KEY, "left_anti")
     last = memory.agg(F.coalesce(F.max("row"), F.lit(0)).alias("last"))
-    numbered = fresh.withColumn("n", F.row_number().over(Window.orderBy("o"))).crossJoin(last).select(*store.KEY, "added", "trust_q", F.lit(0).alias("hits"), (F.col("last") + F.col("n")).cast("long").alias("row"))
+    # Rows are numbered within their claim, behind those of the claims before it; only the claims' counts meet in one task.
+    fresh = fresh.withColumn("claim", F.col("o.o.claim_id"))
+    ahead = fresh.groupBy("claim").agg(F.count(F.lit(1)).alias("c")).withColumn("ahead", F.coalesce(F.sum("c").over(Window.orderBy("claim").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = fresh.withColumn("k", F.row_number().over(Window.partitionBy("claim").orderBy("o"))).join(ahead, "claim").withColumn("n", F.col("ahead") + F.col("k"))
+    numbered = placed.crossJoin(last).select(*store.KEY, "added", "trust_q", F.lit(0).alias("hits"), (F.col("last") + F.col("n")).cast("long").alias("row"))
     known = keyed.select(*store.KEY, F.col("added").alias("a"), F.col("trust_q").alias("q"))
     kept = memory.join(known, store.KEY, "left").select(*store.KEY, F.greatest("added", "a").alias("added"), F.greatest("trust_q", "q").alias("trust_q"), "hits", "row")
     grown = stored(kept.unionByName(numbered))

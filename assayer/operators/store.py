@@ -10,6 +10,7 @@ from assayer.functions.text import is_directive
 
 KEY = ["subject", "predicate", "object", "source"]
 HEADER_BYTES, ROW_BYTES, STRING_BYTES, KEPT_SHARE = 12, 29, 4, 0.9
+ROWS_A_BUCKET = 500_000
 FIELD = r"\A[a-z0-9' -]{1,80}\z"
 LOCATOR = r"\A[a-z0-9.-]{1,120}(?:/[A-Za-z0-9._~%()-]{0,120}){0,4}\z"
 
@@ -71,15 +72,14 @@ def evict(triples: DataFrame, cap: int, now: float) -> DataFrame:
     to use, up to the first that would pass nine tenths of the cap with four bytes more for each letter of its subject.
     The running sizes are summed over score buckets first, so no task orders the whole table.
     """
-    size = logical_size(triples).first()["bytes"]
+    whole = logical_size(triples).first()
     score = F.round(F.col("trust_q") / 255.0 * nlp.recency("added", now) * (1 + F.col("hits")), 12)
-    if size <= cap:
+    if whole["bytes"] <= cap:
         return triples.withColumn("score", score)
     scored = triples.withColumn("score", score)
-    cuts = sorted(set(scored.agg(F.percentile_approx("score", [k / 64 for k in range(1, 64)], 10_000)).first()[0]), reverse=True)
-    bucket = F.lit(len(cuts))
-    for k in range(len(cuts) - 1, -1, -1):
-        bucket = F.when(F.col("score") > cuts[k], F.lit(k)).otherwise(bucket)
+    n = max(64, whole["rows"] // ROWS_A_BUCKET)
+    cuts = sorted(set(scored.agg(F.percentile_approx("score", [k / n for k in range(1, n)], 10 * n)).first()[0]))
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c >= F.col("score")))
     scored = scored.withColumn("bucket", bucket)
     inside = Window.partitionBy("bucket").orderBy(F.desc("score"), "row")
     placed = scored.withColumn("at", F.row_number().over(inside))
