@@ -14,7 +14,10 @@ CLAIMS = [(["cold", "widget"], ["economy"], 1), (["blue"], ["promo", "small"], -
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer files than there are cores is spread over them, as a file can be a single unit of reading."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
