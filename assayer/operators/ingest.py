@@ -12,8 +12,12 @@ MOST_PER_DOC = 200
 
 
 def parse(sentences: DataFrame) -> DataFrame:
-    """(sentence, readings) of the distinct sentences, so that each is read once."""
-    return sentences.select("sentence").distinct().withColumn("readings", readings.voted_readings("sentence"))
+    """(sentence, readings) of the distinct sentences, so that each is read once.
+
+    They are dealt anew, as reading costs more than their size tells.
+    """
+    n = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sentences.select("sentence").distinct().repartition(n).withColumn("readings", readings.voted_readings("sentence"))
 
 
 def found_triples(docs: DataFrame, doc_col: str = "doc") -> DataFrame:

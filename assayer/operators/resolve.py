@@ -6,35 +6,17 @@ find is merged in the order of claims and topics, so results don't depend on tim
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assayer.functions.shared import stored
 from assayer.operators import ingest, score, search, store, topics
 
 MEMORY = "subject string, predicate string, object string, source string, added double, trust_q int, hits int, row long"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that executors share, spark.checkpoint.dir; where it is unset, as in tests, a new local one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/resolve-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @dataclass
 class Library:
     """What can be searched: docs (doc, locator, text, added), trust (host, trust), their number, and the index of stems."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import nlp
+from assayer.functions.shared import stored
 from assayer.functions.text import is_directive
 
 KEY = ["subject", "predicate", "object", "source"]
@@ -72,6 +73,7 @@ def evict(triples: DataFrame, cap: int, now: float) -> DataFrame:
     to use, up to the first that would pass nine tenths of the cap with four bytes more for each letter of its subject.
     The running sizes are summed over score buckets first, so no task orders the whole table.
     """
+    triples = stored(triples)
     whole = logical_size(triples).first()
     score = F.round(F.col("trust_q") / 255.0 * nlp.recency("added", now) * (1 + F.col("hits")), 12)
     if whole["bytes"] <= cap:
@@ -82,12 +84,12 @@ def evict(triples: DataFrame, cap: int, now: float) -> DataFrame:
     bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c >= F.col("score")))
     scored = scored.withColumn("bucket", bucket)
     inside = Window.partitionBy("bucket").orderBy(F.desc("score"), "row")
-    placed = scored.withColumn("at", F.row_number().over(inside))
+    placed = stored(scored.withColumn("at", F.row_number().over(inside)))
     # A string is charged where it is met first; within a row, fields come in order.
     used = placed.select("bucket", "at", F.posexplode(F.array(*KEY)).alias("field", "value"))
     first = used.groupBy("value").agg(F.min(F.struct("bucket", "at", "field")).alias("first"))
     new = first.groupBy("first.bucket", "first.at").agg(F.sum(F.octet_length("value") + STRING_BYTES).alias("text"))
-    charged = placed.join(new, ["bucket", "at"], "left").withColumn("bytes", F.lit(ROW_BYTES) + F.coalesce("text", F.lit(0))).drop("text")
+    charged = stored(placed.join(new, ["bucket", "at"], "left").withColumn("bytes", F.lit(ROW_BYTES) + F.coalesce("text", F.lit(0))).drop("text"))
     per = charged.groupBy("bucket").agg(F.sum("bytes").alias("all"), F.count(F.lit(1)).alias("n"))
     ahead = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are buckets
     base = per.select("bucket", F.coalesce(F.sum("all").over(ahead), F.lit(0)).alias("base"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("rows_before"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assayer.functions import nlp
-from assayer.operators import resolve, score, store
+from assayer.functions import nlp, shared
+from assayer.operators import score, store
 
 NOW = 1009843200.0
 #: Subject, object and polarity of the claims.
@@ -56,7 +56,7 @@ def claims(spark: SparkSession) -> DataFrame:
 
 def weighed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The triples with topics, written once, and their corroboration."""
-    return score.corroborate(resolve.stored(score.with_topics(triples(spark, sf_dir))))
+    return score.corroborate(shared.stored(score.with_topics(triples(spark, sf_dir))))
 
 
 ATTEMPTS_SQL = """attempts AS (

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions import nlp, readings, text
+from assayer.functions import nlp, readings, shared, text
 from assayer.operators import claims, gate, ingest, resolve, score, search, store, topics
 from assayer.plans import library, sample
 from assayer.sources import outline
@@ -107,7 +107,7 @@ def qa_pairs(spark, sf_dir):
 
 def ingest_stats(spark, sf_dir):
     docs, trust = _docs(spark, sf_dir), _source_trust(spark)
-    tried = resolve.stored(ingest.attempts(docs, trust))
+    tried = shared.stored(ingest.attempts(docs, trust))
     return ingest.stats(docs, trust, tried)
 
 
@@ -160,7 +160,7 @@ def _event_attempts(events: DataFrame) -> DataFrame:
 def stream_upsert(spark, sf_dir):
     """The events as a stream of attempts, merged batch by batch."""
     path = f"{sf_dir}/[e]vents.parquet"  # a pattern, which a stream also takes for a single file
-    base = f"{resolve.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{shared.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = spark.readStream.schema(sample.table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 4).parquet(path)
     stream.start(_event_attempts(events), f"{base}/memory", f"{base}/checkpoint").awaitTermination()
     return Generations(spark, f"{base}/memory").load()[0].select(*store.KEY, "added", "trust_q")
@@ -196,7 +196,7 @@ def routes_by_outline(spark, sf_dir):
         (k * 86400).cast("long").alias("t"), (k % 5).cast("int").alias("hits"), F.array_repeat(step, (k % 3).cast("int")).alias("steps"), k.cast("int").alias("place"),
     )
     counts = routes.groupBy(F.concat(F.lit("topic "), (F.col("place") % 7).cast("string")).alias("topic")).agg(F.count(F.lit(1)).alias("count"))
-    read, _ = outline.parse(resolve.stored(outline.render(routes, counts)))
+    read, _ = outline.parse(shared.stored(outline.render(routes, counts)))
     return outline.counted(read).select("key", "verdict", "for_share", "t", "hits", "n_steps", "n_links")
 
 
