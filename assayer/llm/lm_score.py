@@ -1,19 +1,20 @@
 """Prediction by partial matching: a byte-context trie with escape estimation and symbol exclusion scores documents.
 
-Training counts every symbol after every context of five symbols; shorter contexts are their sums. A context is a node
-of the trie where it holds at least 2^-18 of all training symbols, so an order has at most 2^18 nodes at any input size,
-which bounds what is broadcast; longer contexts fall back on their longest node. Escapes follow method C (distinct
-symbols over total plus distinct), and symbols seen in a longer context are excluded from the shorter ones.
+Training counts every symbol after every context of five symbols; shorter contexts are their sums, and every context that
+training met is a node of the trie. Orders up to UPPER, which have a fixed largest size, are broadcast. Longer contexts
+are dealt to buckets by their last three symbols: chunks of texts ask for their distinct grams, each bucket answers from
+its own part of the trie, and the answers return to the chunks. Escapes follow method C (distinct symbols over total plus
+distinct), and symbols seen in a longer context are excluded from the shorter ones.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +22,12 @@ from assayer.llm.common import as_bytes, held_out, rows, stored, table
 
 ORDER, BITS, EDGE = 5, 9, 256
 NODE_SHARE = 2.0**-18
-CHUNK = 1 << 20
-COUNTED = pa.schema([("word", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
+UPPER, BUCKET_BITS = 2, 10
+#: Symbols that are counted at once; symbols of the texts that ask together.
+CHUNK, ASKING = 1 << 20, 1 << 23
+CODED = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.binary()), ("word", pa.string()), ("gram", pa.int64()), ("n", pa.int64()), ("bucket", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
+TEXT, WORD, LOW, ASKED = range(4)
+ANSWERED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("logs", pa.binary())])
 SCORED = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())])))])
 
 
@@ -42,13 +47,32 @@ def stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return s, np.flatnonzero(predicted), np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of ORDER + 1 symbols, the last of them predicted, and their counts."""
-    s, at, _ = stream(texts)
+def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The code of ORDER + 1 symbols, the last of them predicted, at each symbol to predict; each text's first."""
+    s, at, first = stream(texts)
     code = s[at]
     for k in range(1, ORDER + 1):
         code |= s[at - k] << (BITS * k)
-    return np.unique(code, return_counts=True)
+    return code, first
+
+
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes and their counts."""
+    return np.unique(codes(texts)[0], return_counts=True)
+
+
+def shorter(code: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes at a lower order and their sums."""
+    own, where = np.unique(code & ((1 << (BITS * (order + 1))) - 1), return_inverse=True)
+    total = np.zeros(len(own), np.int64)
+    np.add.at(total, where, n)
+    return own, total
+
+
+def bucket(code: np.ndarray) -> np.ndarray:
+    """The bucket of a code, by the last UPPER + 1 symbols of its context."""
+    key = (code >> BITS) & ((1 << (BITS * (UPPER + 1))) - 1)
+    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,143 +95,174 @@ def _chunks(records: Iterator[tuple], at: int) -> Iterator[list[tuple]]:
         yield held
 
 
+def _record(kind: int, size: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind), pa.int32()) if f.name == "kind" else columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in CODED], schema=CODED)
+
+
+def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    offsets = (bounds * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+
 def _count(batches):
-    """Sums over a partition, sent on early where they grow large."""
+    """Texts in chunks, each chunk's distinct grams with their counts in training by bucket, and sums of words and of low orders."""
     words: Counter = Counter()
+    low: list[tuple[np.ndarray, np.ndarray]] = []
     parts: list[tuple[np.ndarray, np.ndarray]] = []
+    own: list[tuple] = []
+    ends = size = 0
+    chunk = TaskContext.get().partitionId() << 32
 
-    def drained():
+    def said():
         if words:
-            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], schema=COUNTED)
-        if parts:
-            code, n = _merged(parts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(code), pa.string()), pa.array(code), pa.array(n)], schema=COUNTED)
+            yield _record(WORD, len(words), word=pa.array([w.decode() for w in words], pa.string()), n=pa.array(list(words.values()), pa.int64()))
         words.clear()
-        parts.clear()
 
-    ends = 0
-    for held in _chunks(rows(batches, "text"), 0):
-        texts = [t.lower() for (t,) in held]
-        for t in texts:
+    def asked():
+        code, n = _merged(parts)
+        parts.clear()
+        known = n > 0
+        low.append(shorter(code[known], n[known], UPPER))
+        if len(low) >= 8:
+            low[:] = [_merged(low)]
+        at = bucket(code)
+        order = np.argsort(at, kind="stable")
+        found, first = np.unique(at[order], return_index=True)
+        bounds = np.append(first, len(code))
+        yield _record(ASKED, len(found), chunk=pa.array(np.full(len(found), chunk)), bucket=pa.array(found), grams=_packed(code[order], bounds), counts=_packed(n[order].astype(np.int32), bounds))
+
+    for held in _chunks(rows(batches, "id", "held_out", "train", "text"), 3):
+        texts = [r[3].lower() for r in held]
+        learnt = [t for t, r in zip(texts, held, strict=True) if r[2]]
+        for t in learnt:
             words.update(t.split())
-        ends += len(texts)
-        parts.append(grams(texts))
+        ends += len(learnt)
+        if learnt:
+            parts.append(grams(learnt))
+        if len(learnt) < len(held):
+            code, n = grams([t for t, r in zip(texts, held, strict=True) if not r[2]])
+            parts.append((code, np.zeros_like(n)))
+        yield _record(TEXT, len(held), chunk=pa.array(np.full(len(held), chunk)), id=pa.array([r[0] for r in held], pa.int64()), held_out=pa.array([r[1] for r in held], pa.bool_()), text=pa.array(texts, pa.binary()))
+        size += sum(map(len, texts))
         if len(parts) >= 8:
             parts[:] = [_merged(parts)]
-        if len(words) > 400_000 or len(parts[0][0]) > 2_000_000:
-            yield from drained()
-    yield from drained()
-    if ends:  # the end of a text is the token with neither word nor gram
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([ends], pa.int64())], schema=COUNTED)
+        if size >= ASKING:
+            yield from asked()
+            size, chunk = 0, chunk + 1
+        if len(words) > 400_000:
+            yield from said()
+    if parts:
+        yield from asked()
+    yield from said()
+    if low:
+        code, n = _merged(low) if sum(len(c) for c, _ in low) else low[0]
+        yield _record(LOW, len(code), gram=pa.array(code), n=pa.array(n))
+    if ends:  # the end of a text is the token without a word
+        yield _record(WORD, 1, n=pa.array([ends], pa.int64()))
+
+
+def _at(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The places of wanted in the sorted keys, and their length for what isn't there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.searchsorted(keys, wanted)
+    return np.where(keys[np.minimum(at, len(keys) - 1)] == wanted, at, len(keys))
 
 
 class Model:
-    """Log10 probabilities by trie node and symbol. counts: for each order from 0, codes (context and symbol) and their numbers."""
-
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
-        seen = np.unique(counts[0][0]) if len(counts[0][0]) else np.zeros(0, np.int64)
-        self.size = len(seen) + 1  # the last symbol stands for all that training never saw
-        self.symbol = np.full(EDGE + 1, len(seen), np.int64)
-        self.symbol[seen] = np.arange(len(seen))
-        low = (1 << BITS) - 1
-        nodes, dense = [np.zeros(1, np.int64)], []
-        for k, (code, n) in enumerate(counts):
-            context = code >> BITS
-            if k:
-                nodes.append(np.unique(context))
-            held = np.zeros((max(1, len(nodes[k])), self.size), np.float32)
-            held[np.searchsorted(nodes[k], context), self.symbol[code & low]] = n
-            dense.append(held)
-        self.steps, tables, self.first = [], [], [0]
-        for k in range(len(counts)):
-            tables.append(self._log_probabilities(k, nodes, dense))
-            self.first.append(self.first[-1] + len(tables[-1]))
-            if k:  # from the node of the context's prefix, by its last symbol; node 0 of an order is none
-                step = np.zeros((1 + len(nodes[k - 1]) if k > 1 else 1, EDGE + 1), np.int32)
-                if len(nodes[k]):
-                    before, last = nodes[k] >> BITS, nodes[k] & low
-                    if k == 1:
-                        step[0, last] = 1 + np.arange(len(nodes[k]))
-                    else:
-                        at = np.minimum(np.searchsorted(nodes[k - 1], before), len(nodes[k - 1]) - 1)
-                        ok = nodes[k - 1][at] == before
-                        step[1 + at[ok], last[ok]] = (1 + np.arange(len(nodes[k])))[ok]
-                self.steps.append(step)
-        self.table = np.concatenate(tables)
-
-    def _log_probabilities(self, k: int, nodes: list, dense: list) -> np.ndarray:
-        out = np.zeros((len(nodes[k]), self.size), np.float32)
-        for at in range(0, len(nodes[k]), 4096):
-            context = nodes[k][at : at + 4096]
-            chance, escape = np.zeros((len(context), self.size)), np.ones(len(context))
-            excluded = np.zeros(chance.shape, bool)
-            for j in range(k, -1, -1):
-                n = dense[j][np.searchsorted(nodes[j], context & ((1 << (BITS * j)) - 1))].astype(np.float64)
-                n[excluded] = 0
-                new = n > 0
-                total, distinct = n.sum(1), new.sum(1)
-                whole = np.maximum(total + distinct, 1)
-                chance += (escape / whole)[:, None] * n
-                escape = np.where(distinct > 0, escape * distinct / whole, escape)
-                excluded |= new
-            left = np.maximum(EDGE + 1 - excluded.sum(1), 1)  # at the end, all symbols not yet seen are alike
-            out[at : at + 4096] = np.log10(np.where(excluded, chance, (escape / left)[:, None]))
-        return out
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """Log10 probability of each text with its end."""
-        s, at, first = stream(texts)
-        node = self.steps[0][0][s] if self.steps else None
-        best = np.zeros(len(s), np.int64)
-        for k in range(1, len(self.steps) + 1):
-            if k > 1:
-                node = np.concatenate([[0], self.steps[k - 1][node[:-1], s[1:]]])
-            best = np.where(node > 0, self.first[k] + node - 1, best)
-        found = self.table[best[at - 1], self.symbol[s[at]]].astype(np.float64)
-        return np.add.reduceat(found, first)
-
-
-def train(docs: DataFrame) -> tuple[DataFrame, dict, dict]:
-    """Word counts (word, c) as a stored table, the frequent words, and the model's counts.
+    """Log10 probabilities from counts: for each order from 0, sorted codes (context and symbol) and their numbers.
+
+    What follows a context also follows its shorter ones, so excluding at an order takes the symbols of the next longer
+    node, if there is one. upper: a model of the lowest orders, which counts go on from.
+    """
+
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], upper: Model | None = None):
+        self.counts, self.nodes = (list(upper.counts), list(upper.nodes)) if upper else ([], [])
+        for code, n in counts:
+            k = len(self.counts)
+            nodes, first = np.unique(code >> BITS, return_index=True)
+            below = self._number(k - 1, code) if k else np.zeros(len(code), np.int64)
+            total, below = (np.add.reduceat(x, first) if len(code) else np.zeros(0, np.int64) for x in (n, below))
+            # nodes, and of each: all its counts, its symbols, and their counts one order lower; 0 where there is no node
+            self.nodes.append((nodes, np.append(total, 0), np.append(np.diff(np.append(first, len(code))), 0), np.append(below, 0)))
+            self.counts.append((code, np.append(n, 0)))
+
+    def _number(self, k: int, code: np.ndarray) -> np.ndarray:
+        own, n = self.counts[k]
+        return n[_at(own, code & ((1 << (BITS * (k + 1))) - 1))]
+
+    @property
+    def size(self) -> int:
+        return len(self.counts[0][0]) + 1
+
+    @property
+    def table(self) -> np.ndarray:
+        """Of each node of each order, the chances of the symbols of training and of one that it never saw."""
+        seen = self.counts[0][0]
+        symbols = np.append(seen, np.setdiff1d(np.arange(EDGE + 1), seen)[:1])
+        return np.concatenate([self.logs((x[0][:, None] << BITS | symbols).ravel(), k).reshape(len(x[0]), len(symbols)) for k, x in enumerate(self.nodes)])
+
+    def logs(self, code: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """Log10 probability of each code's symbol after its context of `order` symbols."""
+        chance, escape, left = np.zeros(len(code)), np.ones(len(code)), np.ones(len(code), bool)
+        gone, excluded = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+        for k in range(order, -1, -1):
+            nodes, total, distinct, below = self.nodes[k]
+            at = _at(nodes, (code >> BITS) & ((1 << (BITS * k)) - 1))
+            n, new = self._number(k, code), distinct[at] - excluded
+            whole = np.maximum(total[at] - gone + new, 1)
+            chance = np.where(left & (n > 0), escape * n / whole, chance)
+            left &= n == 0
+            escape = np.where(new > 0, escape * new / whole, escape)
+            gone, excluded = below[at], distinct[at]
+        return np.log10(np.where(left, escape / np.maximum(EDGE + 1 - excluded, 1), chance))  # at the end, all symbols not yet seen are alike
+
+
+def train(coded: DataFrame) -> tuple[DataFrame, dict, Model]:
+    """Word counts (word, c), the frequent words, and the model of the orders up to UPPER, of a stored table of _count.
 
     Frequent are words with at least 2^-18 of all tokens, so there are at most 2^18 of them.
     """
-    counted = stored(docs.select(as_bytes("text").alias("text")).mapInArrow(_count, "word string, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n")))
-    words, codes = counted.filter("gram IS NULL").select("word", F.col("n").alias("c")), counted.filter("gram IS NOT NULL").select("gram", "n")
+    words = stored(coded.filter(F.col("kind") == WORD).groupBy("word").agg(F.sum("n").alias("c")))
     total, distinct, ends = words.agg(F.sum("c"), F.count(F.lit(1)), F.max(F.when(F.col("word").isNull(), F.col("c")))).first()
     words, total = words.filter("word IS NOT NULL"), total or 0
     frequent = words.filter(F.col("c") >= max(1, total * NODE_SHARE)).select("word", "c").toArrow()
-    symbols = codes.agg(F.sum("n")).first()[0] or 0
-    every = codes.select(F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("k"), "gram", "n").select("k", F.col("gram").bitwiseAND(F.expr(f"shiftleft(1L, {BITS} * (k + 1)) - 1")).alias("gram"), "n").groupBy("k", "gram").agg(F.sum("n").alias("n"))
-    every = stored(every.withColumn("context", F.shiftright("gram", BITS)))
-    nodes = every.groupBy("k", "context").agg(F.sum("n").alias("all")).filter(F.col("all") >= max(1, symbols * NODE_SHARE))
-    kept = every.join(nodes, ["k", "context"], "left_semi").select("k", "gram", "n").toArrow()
-    of, gram, n = (kept.column(name).to_numpy() for name in ("k", "gram", "n"))
-    counts = []
-    for k in range(ORDER + 1):
-        own = np.flatnonzero(of == k)
-        own = own[np.argsort(gram[own])]
-        counts.append((gram[own].astype(np.int64), n[own].astype(np.int64)))
-    return words, {"frequent": frequent, "total": int(total), "distinct": int(distinct or 0), "ends": int(ends or 0)}, {"counts": counts}
-
-
-#: The model that this worker built last, by the name of its training run.
-_models: dict[str, Model] = {}
-
-
-def _score(shared, name: str):
-    def run(batches):
-        known, counts = shared.value
-        if name not in _models:
-            _models.clear()
-            _models[name] = Model(counts["counts"])
-        model, below = _models[name], known["total"] + 0.5 * (known["distinct"] + 1)
-        logs = {w: float(np.log10((c + 0.5) / below)) for w, c in zip(known["frequent"].column("word").cast(pa.binary()).to_pylist(), known["frequent"].column("c").to_pylist(), strict=True)}
+    low = coded.filter(F.col("kind") == LOW).groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    code, n = (low.column(name).to_numpy().astype(np.int64) for name in ("gram", "n"))
+    return words, {"frequent": frequent, "total": int(total), "distinct": int(distinct or 0), "ends": int(ends or 0)}, Model([shorter(code, n, k) for k in range(UPPER + 1)])
+
+
+def _answer(shared):
+    """The log10 probabilities of the grams that all chunks ask of a bucket."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        wanted = [np.frombuffer(x, np.int64) for x in asked.column("grams").to_pylist()]
+        code, n = _merged(list(zip(wanted, (np.frombuffer(x, np.int32).astype(np.int64) for x in asked.column("counts").to_pylist()), strict=True)))
+        known = n > 0
+        model = Model([shorter(code[known], n[known], k) for k in range(UPPER + 1, ORDER + 1)], shared.value)
+        logs = model.logs(code).astype(np.float32)
+        return pa.table([asked.column("chunk"), asked.column("bucket"), pa.chunked_array([pa.array([logs[np.searchsorted(code, x)].tobytes() for x in wanted], pa.binary())])], schema=ANSWERED)
+
+    return run
+
+
+def _score(shared):
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        known = shared.value
+        below = known["total"] + 0.5 * (known["distinct"] + 1)
+        logs = _word_logs(known, below)
         end = float(np.log10((known["ends"] + 0.5) / below))
-        for held in _chunks(rows(batches, "id", "held_out", "text"), 2):
-            texts = [r[2].lower() for r in held]
+        asked = [([r[0] for r in held], [r[1] for r in held], [r[2] for r in held]) for held in _chunks(rows(texts.to_batches(), "id", "held_out", "text"), 2)]
+        distinct = [np.unique(codes(t)[0]) for _, _, t in asked]
+        code = np.unique(np.concatenate(distinct))
+        found = np.empty(len(code), np.float32)
+        found[np.argsort(bucket(code), kind="stable")] = np.concatenate([np.frombuffer(x, np.float32) for x in answers.sort_by("bucket").column("logs").to_pylist()])
+        out = []
+        for (ids, held_out, own), part in zip(asked, distinct, strict=True):
+            at, first = codes(own)
+            scores = np.add.reduceat(found[np.searchsorted(code, part)].astype(np.float64)[np.searchsorted(part, at)], first)
             tokens, sure, base, rare = [], [], [], []
-            for t in texts:
+            for t in own:
                 words = t.split()
                 n_known, sum_, left = int(known["ends"] > 0), end, []
                 for w, n in Counter(words).items():
@@ -221,11 +276,19 @@ def _score(shared, name: str):
                 sure.append(n_known)
                 base.append(sum_)
                 rare.append(left)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.bool_()), pa.array(tokens, pa.int64()), pa.array(sure, pa.int64()), pa.array(base, pa.float64()), pa.array(model.scores(texts)), pa.array(rare, SCORED.field("rare").type)], schema=SCORED)
+            out.append(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held_out, pa.bool_()), pa.array(tokens, pa.int64()), pa.array(sure, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.array(rare, SCORED.field("rare").type)], schema=SCORED))
+        return pa.Table.from_batches(out, SCORED)
 
     return run
 
 
+def _word_logs(known: dict, below: float) -> dict[bytes, float]:
+    """Log10 shares of the frequent words, made once a worker."""
+    if "logs" not in known:
+        known["logs"] = {w: float(np.log10((c + 0.5) / below)) for w, c in zip(known["frequent"].column("word").cast(pa.binary()).to_pylist(), known["frequent"].column("c").to_pylist(), strict=True)}
+    return known["logs"]
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, remainder: int = 1) -> DataFrame:
     """One row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -234,10 +297,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     trains nothing and isn't held out. Other columns are left out.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out(id_col, modulus, remainder), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    words, known, counts = train(own.filter(~F.col("held_out") & F.col("id").isNotNull()))
-    shared = docs.sparkSession.sparkContext.broadcast((known, counts))
+    train_col = (~F.col("held_out") & F.col("id").isNotNull()).alias("train")
+    coded = stored(own.select("id", "held_out", train_col, as_bytes("text").alias("text")).mapInArrow(_count, "kind int, chunk long, id long, held_out boolean, text binary, word string, gram long, n long, bucket int, grams binary, counts binary"))
+    words, known, upper = train(coded)
+    context = docs.sparkSession.sparkContext
+    asked = coded.filter(F.col("kind") == ASKED).select("chunk", "bucket", "grams", "counts")
+    answers = asked.groupBy("bucket").applyInArrow(_answer(context.broadcast(upper)), "chunk long, bucket int, logs binary")
+    texts = coded.filter(F.col("kind") == TEXT).select("chunk", "id", "held_out", "text")
     schema = "id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word: string, n: int>>"
-    scored = stored(own.select("id", "held_out", as_bytes("text").alias("text")).mapInArrow(_score(shared, uuid.uuid4().hex), schema).withColumn("at", F.monotonically_increasing_id()))
+    scored = stored(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(context.broadcast(known)), schema).withColumn("at", F.monotonically_increasing_id()))
     log = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / (known["total"] + 0.5 * (known["distinct"] + 1)))
     rare = scored.select("at", F.inline("rare")).join(words, "word", "left").groupBy("at").agg(F.sum(F.col("n") * log).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("also"))
     return scored.drop("rare").join(rare, "at", "left").select(

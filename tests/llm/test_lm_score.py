@@ -79,3 +79,18 @@ def test_without_training_rows(spark):
 
 def test_empty_table(no_docs):
     assert lm_score.score(no_docs).collect() == []
+
+
+def test_rare_contexts_are_kept(spark):
+    """Past 2^18 symbols, a context that training met twice still predicts."""
+    rng = np.random.default_rng(5)
+    noise = ["".join(chr(97 + c) for c in rng.integers(0, 26, 2000)) for _ in range(400)]
+    docs = [(k, t) for k, t in enumerate(noise)] + [(1000 + k, "#zq!%x@") for k in range(8)]
+    out = [zlib.crc32(str(k).encode()) % 5 == 1 for k, _ in docs]
+    train = [t.encode() for (_, t), h in zip(docs, out) if not h]
+    assert sum(map(len, train)) > 2 * 2**18
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    plain = Plain(train)
+    plain.nodes = plain.counts.keys()
+    for key, text in [*docs[:3], *docs[-2:]]:
+        assert got[key] == pytest.approx(plain.score(text.encode()), rel=1e-4)
