@@ -1,7 +1,7 @@
 """Licence scan by a positional index of rare licence words.
 
-A file's licence words with the highest inverse document frequency are looked up in the postings of the templates; each
-hit votes for the place where the template would begin in the file. A template is found where the votes of one place
+Each template's words with the highest inverse document frequency in the corpus, however common, are looked up in the
+files; each hit votes for the place where the template would begin in the file. A template is found where the votes of one place
 carry enough of its weight and its mandatory phrase stands in the file.
 """
 
@@ -34,7 +34,7 @@ TEMPLATES = [
     ("cc-by-nc-4.0", "cc by nc 4 0", "licensed under cc by nc 4 0"),
     ("cc-by", "creative commons attribution", "this work is licensed under a creative commons attribution 4 0 international license"),
 ]
-#: Rare words looked up for a template, the largest share of files that a rare word may stand in, the least score.
+#: Rare words looked up for a template, the largest share of files that a rare word may stand in (in the twin in SQL alone), the least score.
 RARE_WORDS, RARE_SHARE, LEAST = 8, 0.2, 0.5
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -58,11 +58,10 @@ def _postings() -> dict[str, list[tuple[int, int]]]:
     return found
 
 
-def scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_words: int = RARE_WORDS, rare_share: float = RARE_SHARE, least: float = LEAST) -> DataFrame:
+def scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_words: int = RARE_WORDS, least: float = LEAST) -> DataFrame:
     """One row per file: id, n_words, n_base, first_word, last_word, base_labels, labels, score, templates.
 
-    A file's rare words are, of the licence words in it that at most `rare_share` of all files hold, the `rare_words` of
-    the highest idf (ties by word) for each template. A template's score at a place is the idf of the rare words that
+    A template's rare words are the `rare_words` of its words that have the highest idf in all files (ties by word). A template's score at a place is the idf of the rare words that
     stand where it has them, over the idf of all its rare words; labels need `least` and its mandatory phrase. score is the best template's, 0.5 where only base phrases stand, else 0. A null or empty text has no words and no labels;
     repeated rows each get their row; other columns are left out.
     """
@@ -75,12 +74,12 @@ def scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_
     # The vocabulary has a fixed length, so its document frequencies are a bounded result.
     counts = {r["word"]: r["n"] for r in seen.select(F.explode("held").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = max(1, seen.count())
-    return _label(seen, counts, total, postings, rare_words, rare_share, least)
+    return _label(seen, counts, total, postings, rare_words, least)
 
 
-def _label(seen: DataFrame, counts: dict[str, int], total: int, postings: dict, rare_words: int, rare_share: float, least: float) -> DataFrame:
+def _label(seen: DataFrame, counts: dict[str, int], total: int, postings: dict, rare_words: int, least: float) -> DataFrame:
     spark = seen.sparkSession
-    idf = {w: math.log(1 + total / n) for w, n in counts.items() if n <= max(1, rare_share * total)}
+    idf = {w: math.log(1 + total / n) for w, n in counts.items()}
     chosen = {t: sorted((w for w in set(wording.split()) if w in idf), key=lambda w: (-idf[w], w))[:rare_words] for t, (_, _, wording) in enumerate(TEMPLATES)}
     index = [(w, t, pos, idf[w]) for w, at in postings.items() for t, pos in at if w in chosen[t]]
     weight = {t: sum(idf[w] * TEMPLATES[t][2].split().count(w) for w in ws) for t, ws in chosen.items()}

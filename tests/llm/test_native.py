@@ -78,5 +78,16 @@ def test_licence_labels(spark, text, labels):
     assert (row["score"] > 0) == bool(labels)
 
 
+@pytest.mark.parametrize("share", [1, 3])
+def test_licence_of_many_files(spark, share):
+    """A notice that a third of the files or all of them carry keeps its label."""
+    notices = {t[0]: t[2] for t in reversed(license_scan.TEMPLATES) if t[0] in ("bsd", "mpl-2.0", "apache-2.0", "cc-by-nc-4.0")}
+    for label, notice in notices.items():
+        df = spark.createDataFrame([(k, f"plain words {k} " + (notice if k % share == 0 else "")) for k in range(12)], "doc_id long, text string")
+        for row in license_scan.scan(df).collect():
+            assert (label in row["labels"].split(",")) == (row["doc_id"] % share == 0)
+            assert row["score"] == (1.0 if row["doc_id"] % share == 0 else 0.0)
+
+
 def test_empty_tables(no_docs):
     assert line_dedup.drop_boilerplate(no_docs).collect() == [] and license_scan.scan(no_docs).collect() == []
