@@ -18,28 +18,31 @@ def _key(line: Column) -> Column:
     return F.unhex(F.md5(line.cast("binary")))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """(host, line keys) of the hosts that have boilerplate lines.
 
     A line counts once a page; a key is the line's MD5 digest. Of a host with P pages and L distinct lines a page on
     average, at most L / ratio lines can exceed the ratio, which bounds the array. Blank lines are never boilerplate.
+    Without `copies`, equal texts of a host are one page, so that a group of copies doesn't make its own lines boilerplate.
     """
-    pages = docs.select(F.col(host).alias("host"), F.col(text).alias("text"))
+    keys = F.transform(F.filter(F.array_distinct(_lines(F.col(text))), lambda x: F.trim(x) != ""), _key)
+    pages = docs.select(F.col(host).alias("host"), keys.alias("keys"), _key(F.col(text)).alias("page"))
+    if not copies:
+        pages = stored(pages.groupBy("host", "page").agg(F.first("keys").alias("keys")))
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    keys = F.transform(F.filter(F.array_distinct(_lines(F.col("text"))), lambda x: F.trim(x) != ""), _key)
-    seen = pages.select("host", F.explode(keys).alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
+    seen = pages.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
     over = seen.join(totals, seen["host"].eqNullSafe(totals["host"])).filter(F.col("n") > ratio * F.col("pages"))
     return over.groupBy(seen["host"].alias("host")).agg(F.collect_list("key").alias("keys"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """docs with boilerplate lines cut from the text, and n_lines and n_dropped (long) behind.
 
     Lines are split at \\n and compared exactly. A line goes where over `ratio` of its host's rows, and `min_pages` at
-    least, hold it. Null hosts are one host; a null text stays null with no lines; an empty text has one blank line; rows
+    least, hold it; without `copies`, of its host's distinct texts. Null hosts are one host; a null text stays null with no lines; an empty text has one blank line; rows
     stay one for one, repeated rows and unknown columns too; columns called n_lines or n_dropped are replaced.
     """
-    found = stored(boilerplate(docs, host, text, ratio, min_pages)).select(F.col("host").alias("__host"), F.col("keys").alias("__keys"))
+    found = stored(boilerplate(docs, host, text, ratio, min_pages, copies)).select(F.col("host").alias("__host"), F.col("keys").alias("__keys"))
     lines = _lines(F.col(text))
     kept = F.when(F.col("__keys").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("__keys"), _key(x))))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]

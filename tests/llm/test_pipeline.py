@@ -64,3 +64,17 @@ def test_repeated_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, SF).collect()
     assert sorted((r["doc_id"] for r in kept), key=str) == [1, None]
+
+
+def test_copies_survive_line_dedup(spark):
+    """Of two large groups of copies one whole text each reaches packing, and a line of many distinct texts goes."""
+    copied = ["amber rivers carry quiet stones\npast seven sleeping villages", "nobody counted lanterns along\nthat crooked northern harbour"]
+    rows = [(k, copied[k % 2], "en", "a", 0) for k in range(12)]
+    rows += [(100 + k, f"Menu home about\nstory number {k} tells of w{k}x and v{k}y with u{k}z", "en", "a", 0) for k in range(24)]
+    docs = stored(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stored(stage(spark, docs, SF))
+    kept = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert [kept.get(k) for k in range(12)] == copied + [None] * 10
+    assert all("Menu" not in t for t in kept.values())
+    assert {0, 1} <= {r["doc_id"] for r in corpus_pipeline.STAGES[4][1](spark, docs, SF).collect()}
