@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 #: Elements whose content isn't text of the page; elements without content; elements that stay inside a block.
-UNSEEN = frozenset("script style noscript template iframe svg math object head title canvas audio video select datalist textarea".split())
+UNSEEN = frozenset("script style noscript template iframe svg math object title canvas audio video select datalist textarea".split())
+#: Elements whose content has no tags.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style", "textarea", "title")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img button input".split())
 #: Tags and words of class, id and role that are features.
@@ -77,7 +80,7 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
     """(text, features) of the page's leaf blocks in order, white space squeezed and character references decoded; empty blocks are left out.
 
     A start or end tag of an element that isn't inline ends a block; br is a space; unclosed elements, stray end tags, cut-off
-    tags and comments are borne.
+    tags and comments are borne. A skipped element that isn't closed ends with an element around it; all that head shows is skipped by itself, so head needs no end.
     """
     root = frozenset()
     stack: list[tuple[str, frozenset]] = [("", root)]
@@ -85,6 +88,8 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
     held: list[str] = []
     linked = in_link = 0
     skip: str | None = None
+    inner: Counter = Counter()
+    at = 0
 
     def flush():
         nonlocal linked, in_link
@@ -96,7 +101,8 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
                 out.append((text, _text_features(text, linked), stack[-1][1]))
         linked = in_link = 0
 
-    for m in _PARTS.finditer(page):
+    while m := _PARTS.match(page, at):
+        at = m.end()
         tag = m[2] or m[5]
         if tag is None:
             if skip is None and m[0][:2] != "<!" and m[0][:2] not in ("<?", "</"):
@@ -105,13 +111,22 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
                     linked += len(m[0])
             continue
         tag, closing, attributes = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        if tag in RAW and not closing and not attributes.endswith("/"):
+            end = RAW[tag].search(page, at)
+            at = end.start() if end else len(page)
+            continue
         if skip is not None:
             if closing and tag == skip:
                 skip = None
-            continue
+                continue
+            if not closing or inner[tag] or all(tag != t for t, _ in stack):
+                inner[tag] += -(inner[tag] > 0) if closing else not attributes.endswith("/")
+                continue
+            skip = None
         if tag in UNSEEN:
             if not closing and not attributes.endswith("/"):
                 skip = tag
+                inner.clear()
             continue
         if tag in INLINE:
             if tag == "a":
@@ -120,7 +135,7 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
                 held.append(" ")
             continue
         flush()
-        if tag in VOID:
+        if tag in VOID or tag == "head":
             continue
         if closing:
             for k in range(len(stack) - 1, 0, -1):

@@ -58,6 +58,22 @@ def test_blocks(page, texts):
     assert [t for t, _ in html_blocks.blocks(page)] == texts
 
 
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<script>for(i=0;i<n;i++)go();</script><p>t<script>x</script>", ["t"]),
+        ("<style>a<b{}</style><title>a <b</title><p>t</p><textarea><q</textarea>", ["t"]),
+        ("<html><head><title>no</title><meta charset=x><body><p>t", ["t"]),
+        ("<head><script>'</head><p>no'</script><title>no</title><p>t</p>", ["t"]),
+        ("<head><noscript><p>no</p></noscript></head><p>t</p>", ["t"]),
+        ("<div><noscript><div>no</div>no</div><p>t</p>", ["t"]),
+        ("<article><p>a<svg><path></article><p>t</p>", ["a", "t"]),
+    ],
+)
+def test_skipped_elements_end(page, texts):
+    assert [t for t, _ in html_blocks.blocks(page)] == texts
+
+
 def test_unclosed_quotes_take_linear_time():
     html_blocks.blocks("<p title='" + "a b=\"c " * 50_000)
     html_blocks.blocks("<div " * 50_000)
