@@ -34,6 +34,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_join(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
+    """left joined with right (stored, one row per key; `rows`: how many rows of left have it), so that no task gets all rows of a hot key.
+
+    Keys that hold over a thousandth of the rows, which are fewer than a thousand, are broadcast; the rest is left to Spark.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    few = F.broadcast(right.filter(F.col(rows) * 1000 > total).drop(rows))
+    return left.join(few, key).unionByName(left.join(few.select(key), key, "left_anti").join(right.drop(rows), key))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

@@ -1,9 +1,10 @@
-"""SimHash near-duplicates by a hierarchical index over fingerprints in Gray order.
+"""SimHash near-duplicates by one hierarchical index over all fingerprints in Gray order.
 
-Two fingerprints that differ in at most two bits agree on one of three blocks of bits, and in the rest on one of three
-blocks again. So each distinct fingerprint goes to nine top nodes, each named by the bits that all below it share. Below
-a top node the fingerprints stand in Gray order, in leaves of 64; a node's mask marks the bits that its members share,
-and a whole node is pruned where the fingerprint differs from more than two of those. Leaves that stay are compared.
+The distinct fingerprints are sorted by their place in the Gray sequence, where neighbours share most bits, and dealt to
+tasks by ranges of it: a range is a node, and below it stand leaves of 64 neighbours. Each group keeps the bits that its
+members share; what a group above shares already isn't kept again. A leaf goes down the tree as a whole and adds up the
+bits in which it differs from each group; groups that differ in more than two are pruned with all that they hold. The
+tree above the ranges is broadcast (65,536 nodes at most); the leaf is then sent to the ranges that are left.
 """
 
 from __future__ import annotations
@@ -11,14 +12,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import as_bytes, stored, table
+from assayer.llm.common import as_bytes, hot_join, stored, table
 from assayer.llm.components import components
 
 BITS, SHINGLE, SEED, NEAR = 64, 3, 42, 2
-LEAF = 64
+#: Fingerprints of a leaf, groups of a group above; fingerprints of a range at least, ranges at most.
+LEAF, RANGE, MOST_RANGES = 64, 16_384, 1 << 16
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -57,22 +60,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("text")).mapInArrow(_fingerprints(size), "id long, print long")
 
 
-def _blocks(first: int, last: int) -> list[tuple[int, int]]:
-    """Three (first bit, bits) that cover the bits from first to last."""
-    cuts = [first + (last - first) * k // 3 for k in range(4)]
-    return list(zip(cuts[:-1], [b - a for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
-
-
-def top_nodes() -> list[int]:
-    """The masks of the shared bits of the nine kinds of top node."""
-    found = []
-    for k, (at, n) in enumerate(_blocks(0, BITS)):
-        own = ((1 << n) - 1) << at
-        rest = [b for j, (s, m) in enumerate(_blocks(0, BITS)) if j != k for b in range(s, s + m)]
-        found += [own | sum(1 << b for b in rest[s : s + m]) for s, m in _blocks(0, len(rest))]
-    return found
-
-
 def gray_rank(v: np.ndarray) -> np.ndarray:
     """Places of the codes v in the binary reflected Gray sequence."""
     out = v.copy()
@@ -81,107 +68,181 @@ def gray_rank(v: np.ndarray) -> np.ndarray:
     return out
 
 
-def links(prints: np.ndarray, near: int = NEAR) -> np.ndarray:
-    """For distinct fingerprints, the index of one earlier that each is linked with directly or not (its own: none), linear in size.
-
-    Every pair within `near` bits is found, but only those that join two groups are kept.
-    """
-    order = np.argsort(gray_rank(prints), kind="stable")
-    v, n = prints[order], len(prints)
-    root = np.arange(n)
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    begins = np.arange(0, n, LEAF)
-    levels = [(np.bitwise_and.reduceat(v, begins), np.bitwise_or.reduceat(v, begins))]
-    while len(levels[-1][0]) > LEAF:
-        low, high = levels[-1]
-        at = np.arange(0, len(low), LEAF)
-        levels.append((np.bitwise_and.reduceat(low, at), np.bitwise_or.reduceat(high, at)))
-    for leaf, begin in enumerate(begins.tolist()):
-        own = v[begin : begin + LEAF]
-        common, any_ = np.bitwise_and.reduce(own), np.bitwise_or.reduce(own)
-        fixed, nodes = ~(common ^ any_), None
-        for depth in range(len(levels) - 1, -1, -1):
-            low, high = levels[depth]
-            nodes = np.arange(len(low)) if nodes is None else np.concatenate([np.arange(k * LEAF, min(len(low), (k + 1) * LEAF)) for k in nodes.tolist()] or [np.zeros(0, int)])
-            shared = ~(low[nodes] ^ high[nodes]) & fixed
-            nodes = nodes[np.bitwise_count((low[nodes] ^ common) & shared) <= near]
-        for other in nodes[nodes >= leaf].tolist():
-            theirs = v[other * LEAF : other * LEAF + LEAF]
-            a, b = np.nonzero(np.bitwise_count(own[:, None] ^ theirs[None]) <= near)
-            a, b = a + begin, b + other * LEAF
-            for i, j in zip(a[a < b].tolist(), b[a < b].tolist(), strict=True):
-                x, y = top(i), top(j)
+def gray_order(print_: Column) -> Column:
+    """A column that orders fingerprints by their places in the Gray sequence."""
+    out = print_
+    for k in (1, 2, 4, 8, 16, 32):
+        out = out.bitwiseXOR(F.shiftrightunsigned(out, k))
+    return out.bitwiseXOR(F.lit(-(1 << 63)))  # as unsigned numbers
+
+
+class Tree:
+    """Groups in order, LEAF of which make a group above; low and high: the AND and the OR of what each holds."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray):
+        self.bits, self.shared = [low], [~(low ^ high)]
+        while len(low) > LEAF:
+            at = np.arange(0, len(low), LEAF)
+            low, high = np.bitwise_and.reduceat(low, at), np.bitwise_or.reduceat(high, at)
+            self.bits.append(low)
+            self.shared.append(~(low ^ high))
+        # What the group above shares is left out below it.
+        self.own = [s & ~np.repeat(up, LEAF)[: len(s)] for s, up in zip(self.shared, self.shared[1:], strict=False)] + [self.shared[-1]]
+
+    def near(self, bits: np.uint64, shared: np.uint64, most: int) -> np.ndarray:
+        """The groups that may hold a fingerprint within `most` bits of one with these bits where `shared` has them."""
+        at = np.arange(len(self.own[-1]))
+        gone = np.zeros(len(at), np.uint8)
+        for level in range(len(self.own) - 1, -1, -1):
+            gone = gone + np.bitwise_count((self.bits[level][at] ^ bits) & self.own[level][at] & shared)
+            keep = gone <= most
+            at, gone = at[keep], gone[keep]
+            if level:
+                at, gone = (at[:, None] * LEAF + np.arange(LEAF)).ravel(), np.repeat(gone, LEAF)
+                real = at < len(self.own[level - 1])
+                at, gone = at[real], gone[real]
+        return at
+
+
+class Groups(dict):
+    """Fingerprints that are linked, by one of each group."""
+
+    def top(self, v: int) -> int:
+        up = self.setdefault(v, v)
+        while up != self[up]:
+            self[v] = self[up]
+            v, up = up, self[up]
+        return up
+
+    def link(self, a: int, b: int) -> None:
+        a, b = self.top(a), self.top(b)
+        if a != b:
+            self[max(a, b)] = min(a, b)
+
+
+class Range:
+    """The leaves of one range; finds what is near to further leaves."""
+
+    def __init__(self, leaves: list[np.ndarray], near: int):
+        self.leaves, self.near, self.groups = leaves, near, Groups()
+        self.tree = Tree(np.array([np.bitwise_and.reduce(x) for x in leaves]), np.array([np.bitwise_or.reduce(x) for x in leaves]))
+        for k in range(len(leaves)):
+            self.meet(leaves[k], k)
+
+    def meet(self, leaf: np.ndarray, first: int = 0) -> None:
+        """Links a leaf with the own leaves from the first on."""
+        low, high = np.bitwise_and.reduce(leaf), np.bitwise_or.reduce(leaf)
+        found = self.tree.near(low, ~(low ^ high), self.near)
+        found = found[found >= first]
+        for at in range(0, len(found), 64):
+            other = np.concatenate([self.leaves[k] for k in found[at : at + 64].tolist()])
+            a, b = np.nonzero(np.bitwise_count(leaf[:, None] ^ other[None]) <= self.near)
+            for x, y in zip(leaf[a].tolist(), other[b].tolist(), strict=True):
                 if x != y:
-                    root[max(x, y)] = min(x, y)
-    found = np.empty(n, np.int64)
-    found[order] = order[[top(i) for i in range(n)]]
-    return found
+                    self.groups.link(x, y)
 
 
+LEAVES = pa.schema([("range", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("prints", pa.binary())])
+SENT = pa.schema([("target", pa.int32()), ("other", pa.bool_()), ("prints", pa.binary())])
 LINKED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _linked(near: int):
+def _leaves(batches):
+    """Of one range's fingerprints in Gray order, the leaves."""
+    number, held = TaskContext.get().partitionId(), np.zeros(0, np.uint64)
+
+    def grouped(v: np.ndarray) -> pa.RecordBatch:
+        at = np.arange(0, len(v), LEAF)
+        low, high = np.bitwise_and.reduceat(v, at), np.bitwise_or.reduceat(v, at)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number), pa.int32()), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array([v[k : k + LEAF].tobytes() for k in at.tolist()], pa.binary())], schema=LEAVES)
+
+    for batch in batches:
+        held = np.concatenate([held, batch.column(0).to_numpy().view(np.uint64)])
+        whole = len(held) // LEAF * LEAF
+        if whole:
+            yield grouped(held[:whole])
+            held = held[whole:]
+    if len(held):
+        yield grouped(held)
+
+
+def _sent(shared, near: int):
+    """Each leaf to its own range and to those behind it that may hold something near."""
+
     def run(batches):
-        kind = node = None
-        held: list[np.ndarray] = []
+        numbers, tree = shared.value
+        for batch in batches:
+            own, low, high = (batch.column(k).to_numpy() for k in range(3))
+            low, high = low.view(np.uint64), high.view(np.uint64)
+            to = [numbers[tree.near(a, ~(a ^ b), near)] for a, b in zip(low, high, strict=True)]
+            to = [x[x >= n] for x, n in zip(to, own.tolist(), strict=True)]
+            row = np.repeat(np.arange(len(own)), [len(x) for x in to])
+            target = np.concatenate(to) if to else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(target, pa.int32()), pa.array(target != own[row]), batch.column(3).take(pa.array(row))], schema=SENT)
+
+    return run
+
 
-        def edges():
-            prints = np.unique(np.concatenate(held))
-            if len(prints) > 1:
-                to = links(prints, near)
-                away = np.flatnonzero(to != np.arange(len(to)))
-                if len(away):
-                    yield pa.RecordBatch.from_arrays([pa.array(prints[away].view(np.int64)), pa.array(prints[to[away]].view(np.int64))], schema=LINKED)
+def _linked(near: int):
+    """Of rows sorted by target, the own leaves first: one link for each fingerprint that isn't its group's first. Only a range's own leaves are held."""
+
+    def run(batches):
+        target, own, found = None, [], None
+
+        def ended():
+            nonlocal found
+            if own and found is None:
+                found = Range(own, near)
+            if found is not None:
+                links = [(v, found.groups.top(v)) for v in list(found.groups)]
+                links = np.array([x for x in links if x[0] != x[1]], np.uint64).reshape(-1, 2).view(np.int64)
+                if len(links):
+                    yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], schema=LINKED)
 
         for batch in batches:
-            kinds, nodes, prints = (batch.column(k).to_numpy() for k in range(3))
-            cut = np.flatnonzero((kinds[1:] != kinds[:-1]) | (nodes[1:] != nodes[:-1])) + 1
-            for at, to in zip([0, *cut.tolist()], [*cut.tolist(), len(kinds)], strict=True):
-                if at == to:
-                    continue
-                if (kinds[at], nodes[at]) != (kind, node):
-                    if len(held) > 1 or held and len(held[0]) > 1:
-                        yield from edges()
-                    kind, node, held = kinds[at], nodes[at], []
-                held.append(prints[at:to].view(np.uint64))
-        if held:
-            yield from edges()
+            for at, (t, other, prints) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
+                if t != target:
+                    yield from ended()
+                    target, own, found = t, [], None
+                leaf = np.frombuffer(prints.as_py(), np.uint64)
+                if not other:
+                    own.append(leaf)
+                else:
+                    if found is None:
+                        found = Range(own, near)
+                    found.meet(leaf)
+        yield from ended()
 
     return run
 
 
-def clusters(prints: DataFrame, near: int = NEAR) -> DataFrame:
-    """(print, root) for the fingerprints of (id, print) that have a link with another one; root is one of the group's."""
-    distinct = prints.select("print").distinct()
-    keys = F.array(*[F.struct(F.lit(k).alias("kind"), F.col("print").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("node")) for k, m in enumerate(top_nodes())])
-    spread = distinct.select("print", F.inline(keys)).select("kind", "node", "print")
-    met = spread.repartition("kind", "node").sortWithinPartitions("kind", "node").mapInArrow(_linked(near), "a long, b long")
+def clusters(distinct: DataFrame, near: int = NEAR) -> DataFrame:
+    """(print, root) for those of the distinct fingerprints (print) that have a link with another one; root is one of the group's."""
+    size = distinct.count()
+    parts = max(1, min(MOST_RANGES, -(-size // RANGE)))
+    ordered = distinct.select("print", gray_order(F.col("print")).alias("rank")).repartitionByRange(parts, "rank").sortWithinPartitions("rank")
+    leaves = stored(ordered.select("print").mapInArrow(_leaves, "range int, low long, high long, prints binary"))
+    upper = leaves.groupBy("range").agg(F.expr("bit_and(low)").alias("low"), F.expr("bit_or(high)").alias("high")).toArrow().sort_by("range")  # MOST_RANGES rows at most
+    numbers, low, high = (upper.column(k).to_numpy() for k in ("range", "low", "high"))
+    shared = distinct.sparkSession.sparkContext.broadcast((numbers, Tree(low.view(np.uint64), high.view(np.uint64))))
+    sent = leaves.mapInArrow(_sent(shared, near), "target int, other boolean, prints binary")
+    met = sent.repartition(parts, "target").sortWithinPartitions("target", "other").mapInArrow(_linked(near), "a long, b long")
     return components(met).withColumnsRenamed({"v": "print"})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, near: int = NEAR) -> DataFrame:
     """One row per row: doc_id, fingerprint (16 hexadecimal digits), component_id, the smallest id that links reach.
 
-    Fingerprints that differ in at most `near` (2 at most) bits are linked, also those of texts without words, which are
+    Fingerprints that differ in at most `near` bits are linked, also those of texts without words, which are
     0. Equal fingerprints are one vertex, whatever their number. Repeated rows each get their row; null ids stay null and
     aren't the smallest of a group. Other columns are left out.
     """
-    if not 0 <= near <= 2:
-        raise ValueError("the top nodes find pairs of up to two differing bits")
     prints = stored(fingerprints(docs, id_col, text_col, size))
-    least = prints.groupBy("print").agg(F.min("id").alias("least"))
-    roots = clusters(prints, near)
-    known = stored(least.join(roots, "print", "left").select("print", "least", F.coalesce("root", "print").alias("root")))
+    least = stored(prints.groupBy("print").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")))
+    known = stored(least.join(clusters(least, near), "print", "left").select("print", "least", "rows", F.coalesce("root", "print").alias("root")))
     groups = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = known.join(groups, "root").select("print", "component_id")
-    return prints.join(named, "print").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    named = stored(known.join(groups, "root").select("print", "component_id", "rows"))
+    return hot_join(prints, named, "print", "rows").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8(spark, sf_dir):

@@ -38,25 +38,74 @@ def test_documents(docs, documents):
     assert got == {k: {(f"{p:016x}", rows[root[i]][0])} for i, (k, p) in enumerate(rows)}
 
 
-def test_top_nodes_hold_every_near_pair():
-    rng, masks = random.Random(1), simhash.top_nodes()
-    for _ in range(3000):
-        a = rng.getrandbits(64)
-        b = a ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 2)))
-        assert any(a & m == b & m for m in masks)
+def some_prints(n, seed, spread=4):
+    """Fingerprints in groups around common ones, and some far from all."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**63, max(1, n // 12), dtype=np.uint64)
+    flips = [sum(1 << int(k) for k in set(rng.integers(0, 64, rng.integers(0, spread)).tolist())) for _ in range(n)]
+    return np.unique([int(b) ^ f for b, f in zip(np.repeat(base, 14)[:n], flips, strict=False)]).astype(np.uint64)
 
 
-@pytest.mark.parametrize("n", [1, 2, 63, 65, 900])
-def test_links(n):
-    rng = np.random.default_rng(n)
-    base = rng.integers(0, 2**63, max(1, n // 12), dtype=np.uint64)
-    prints = np.unique([int(b) ^ sum(1 << int(k) for k in set(rng.integers(0, 64, rng.integers(0, 4)).tolist())) for b in np.repeat(base, 14)[:n]]).astype(np.uint64)
-    got = simhash.links(prints).tolist()
+def wanted_groups(prints):
     near = np.bitwise_count(prints[:, None] ^ prints[None]) <= 2
-    want = roots(len(prints), [(int(i), int(j)) for i, j in zip(*np.nonzero(near), strict=True) if i > j])
+    return roots(len(prints), [(int(i), int(j)) for i, j in zip(*np.nonzero(near), strict=True) if i > j])
+
+
+@pytest.mark.parametrize("n", [1, 2, 63, 65, 900])
+def test_range(n):
+    prints = some_prints(n, n)
+    ordered = prints[np.argsort(simhash.gray_rank(prints))]
+    groups = simhash.Range([ordered[k : k + 64] for k in range(0, len(ordered), 64)], 2).groups
+    got = [groups.top(int(p)) for p in prints]
+    want = wanted_groups(prints)
     assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
 
 
+def test_tree_prunes_only_what_is_far():
+    rng = np.random.default_rng(3)
+    v = np.sort(rng.integers(0, 2**63, 64 * 300, dtype=np.uint64))
+    v = v[np.argsort(simhash.gray_rank(v))]
+    leaves = v.reshape(-1, 64)
+    tree = simhash.Tree(np.bitwise_and.reduce(leaves, 1), np.bitwise_or.reduce(leaves, 1))
+    assert len(tree.own) == 2 and not any(int(a & b) for a, b in zip(tree.own[0], np.repeat(tree.own[1], 64), strict=False))
+    for k in rng.integers(0, len(v), 40).tolist():
+        asked = int(v[k]) ^ (1 << 60) ^ (1 << 3)
+        found = set(tree.near(np.uint64(asked), np.uint64(2**64 - 1), 2).tolist())
+        assert {int(x) // 64 for x in np.flatnonzero(np.bitwise_count(v ^ np.uint64(asked)) <= 2)} <= found
+        assert len(found) < 150
+
+
+@pytest.mark.parametrize("size", [40, 16_384])
+def test_ranges_and_tree_find_every_link(spark, monkeypatch, size):
+    """Many small ranges, whose leaves meet across tasks, and one; a group of over a thousand near fingerprints."""
+    monkeypatch.setattr(simhash, "RANGE", size)
+    base = 0x0F0F_1234_5678_9ABC
+    hot = [base ^ (1 << a) ^ (1 << b) for a in range(45) for b in range(a)]
+    prints = np.unique(np.concatenate([some_prints(1500, 8), np.array(hot, np.uint64)]))
+    df = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "print long").repartition(3)
+    got = {r["print"] & 2**64 - 1: r["root"] for r in simhash.clusters(df).collect()}
+    want = wanted_groups(prints)
+    named = [got.get(int(p), ("alone", int(p))) for p in prints]
+    assert len(set(zip(named, want, strict=True))) == len(set(named)) == len(set(want))
+
+
+def test_hot_and_equal_fingerprints(spark):
+    """A fingerprint that most rows have, texts without words, null ids and a column of another operator's name."""
+    rows = [(k, "one common text of words", "x") for k in range(3000)] + [(5000, None, "x"), (5001, "", "x"), (None, "one common text of words", "x"), (9000, "quite another text stands here alone", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rows string")
+    got = simhash.near_duplicates(df).collect()
+    assert len(got) == len(rows)
+    assert {r["component_id"] for r in got if r["doc_id"] is None or r["doc_id"] < 3000} == {0}
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None and r["doc_id"] >= 5000} == {5000: 5000, 5001: 5000, 9000: 9000}
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{k % 977}" for k in range(60_000)) + " " + "x" * 30_000
+    df = spark.createDataFrame([(1, text), (2, text + "!"), (3, "y" * 40_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_gray_rank_orders_neighbours_one_bit_apart():
     v = np.arange(1024, dtype=np.uint64)
     ordered = v[np.argsort(simhash.gray_rank(v))]
