@@ -42,22 +42,21 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-PRINTED = pa.schema([("id", pa.int64()), ("print", pa.int64())])
-
-
 def _fingerprints(size: int):
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            *kept, texts = batch.columns
             out = [fingerprint(t, size) for at in range(0, batch.num_rows, 256) for t in texts.slice(at, 256).to_pylist()]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.array(out, np.uint64).view(np.int64))], schema=PRINTED)
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.array(out, np.uint64).view(np.int64))], names=[*batch.schema.names[:-1], "print"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(id, print long with the fingerprint's 64 bits); null texts are empty."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("text")).mapInArrow(_fingerprints(size), "id long, print long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, the columns to carry, print long with the fingerprint's 64 bits); null texts are empty."""
+    own = docs.select(F.col(id_col).cast("long").alias("id"), *carry)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
+    return docs.select(F.col(id_col).cast("long").alias("id"), *carry, as_bytes(text_col).alias("text")).mapInArrow(_fingerprints(size), f"{fields}, print long")
 
 
 def gray_rank(v: np.ndarray) -> np.ndarray:
@@ -230,20 +229,22 @@ def clusters(distinct: DataFrame, near: int = NEAR) -> DataFrame:
     return components(met).withColumnsRenamed({"v": "print"})
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, near: int = NEAR) -> DataFrame:
-    """One row per row: doc_id, fingerprint (16 hexadecimal digits), component_id, the smallest id that links reach.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, near: int = NEAR, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row: doc_id, fingerprint (16 hexadecimal digits), component_id, the smallest id that links reach, root, and the columns to carry.
 
     Fingerprints that differ in at most `near` bits are linked, also those of texts without words, which are
     0. Equal fingerprints are one vertex, whatever their number. Repeated rows each get their row; null ids stay null and
-    aren't the smallest of a group. Other columns are left out.
+    aren't the smallest of a group, which has no component_id where all its ids are null, but a root (a fingerprint of the
+    group) of its own. Other columns are left out.
     """
-    prints = stored(fingerprints(docs, id_col, text_col, size))
+    prints = stored(fingerprints(docs, id_col, text_col, size, carry))
     least = stored(prints.groupBy("print").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")))
     known = stored(least.join(clusters(least, near), "print", "left").select("print", "least", "rows", F.coalesce("root", "print").alias("root")))
     groups = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(known.join(groups, "root").select("print", "component_id", "rows"))
-    return hot_join(prints, named, "print", "rows").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    named = stored(known.join(groups, "root").select("print", "component_id", "rows", "root"))
+    digits = F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint")
+    return hot_join(prints, named, "print", "rows").select(F.col("id").alias("doc_id"), digits, "component_id", "root", *carry)
 
 
 def op8(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("root")

@@ -66,6 +66,22 @@ def test_repeated_rows(spark):
     assert sorted((r["doc_id"] for r in kept), key=str) == [1, None]
 
 
+def test_ids_of_different_texts(spark):
+    """A document goes for its own text's sake, not for that of another with its id; so do those without an id."""
+    same, other = "one two three four five six", "a wholly different text of other words"
+    rows = [(3, same), (5, same), (5, other), (5, other), (None, same), (None, "words that no other row has"), (None, "words that no other row has"), (7, None), (7, ""), (8, " ")]
+    docs = spark.createDataFrame([(k, t, "en", "a", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, SF).collect()
+    assert sorted(((r["doc_id"], (r["text"] or "").strip()) for r in kept), key=str) == sorted([(3, same), (5, other), (None, "words that no other row has"), (7, "")], key=str)
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, SF))
+        assert docs.count() == 0
+
+
 def test_copies_survive_line_dedup(spark):
     """Of two large groups of copies one whole text each reaches packing, and a line of many distinct texts goes."""
     copied = ["amber rivers carry quiet stones\npast seven sleeping villages", "nobody counted lanterns along\nthat crooked northern harbour"]
