@@ -22,12 +22,20 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group stays."""
-    groups = stored(simhash.near_duplicates(docs))
-    losers = stored(groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    kept = docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
-    repeated = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    """The document with the smallest doc_id of each group stays, without ids the one with the least digest of its text.
+
+    Documents are told apart by id and text: one that shares only its id with another stays or goes by its own group, and
+    of rows with the same id and text one stays.
+    """
+    key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    groups = stored(simhash.near_duplicates(docs.withColumn("text_key", key), carry=("text_key",)).select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key").alias("own")))
+    first = groups.groupBy("root").agg(F.min("own").alias("first"))
+    losers = stored(groups.join(first, "root").filter("own <> first").select(F.col("own.doc_id").alias("d"), F.col("own.text_key").alias("k")).distinct())
+    twice = stored(groups.groupBy("own").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("own.doc_id").alias("d"), F.col("own.text_key").alias("k")))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (key == F.col("k"))
+    kept = docs.join(losers, same, "left_anti")
+    repeated = kept.join(twice, same, "left_semi").withColumn("__key", key).dropDuplicates(["doc_id", "__key"])
+    return kept.join(twice, same, "left_anti").unionByName(repeated.drop("__key")).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
