@@ -1,8 +1,9 @@
 """Licence scan by a positional index of rare licence words.
 
-Each template's words with the highest inverse document frequency in the corpus, however common, are looked up in the
-files; each hit votes for the place where the template would begin in the file. A template is found where the votes of one place
-carry enough of its weight and its mandatory phrase stands in the file.
+For each template, a file looks up those of the template's words that it holds and that have the highest inverse document
+frequency in the corpus, however common. Postings are intersected by relative position: each hit votes for the place where
+the template would begin in the file. A template is found where the votes of one place carry enough of the weight of what
+was looked up and its mandatory phrase stands inside the template as placed there.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
 #: Fixed values: (label, mandatory phrase, wording) of well-known licence notices.
 TEMPLATES = [
     ("apache-2.0", "apache license version 2 0", "licensed under the apache license version 2 0"),
-    ("apache-2.0", "apache license version 2 0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache-2.0", "apache org licenses license 2 0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
     ("gpl-3.0", "gnu general public license version 3", "this work is licensed under the gnu general public license version 3"),
     ("gpl-2.0", "gnu general public license version 2", "this program is free software licensed under the gnu general public license version 2"),
     ("gpl-or-later", "either version", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version"),
@@ -34,8 +35,8 @@ TEMPLATES = [
     ("cc-by-nc-4.0", "cc by nc 4 0", "licensed under cc by nc 4 0"),
     ("cc-by", "creative commons attribution", "this work is licensed under a creative commons attribution 4 0 international license"),
 ]
-#: Rare words looked up for a template, the largest share of files that a rare word may stand in (in the twin in SQL alone), the least score.
-RARE_WORDS, RARE_SHARE, LEAST = 8, 0.2, 0.5
+#: Rare words that a file looks up for a template, the least score, and how many words before its place the mandatory phrase may begin.
+RARE_WORDS, LEAST, SLACK = 8, 0.5, 8
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -58,12 +59,25 @@ def _postings() -> dict[str, list[tuple[int, int]]]:
     return found
 
 
+def _rare(t: int, order: list[str], weight: dict[str, float], most: int) -> tuple[Column, Column]:
+    """Of a file's held words, the rank of the last that it looks up for a template, and the weight of those looked up.
+
+    `order` has the template's words from the rarest on, so what is looked up is a prefix of what the file holds of it.
+    """
+    mine = F.filter(F.transform(F.array(*[F.lit(w) for w in order]), lambda w, k: F.when(F.array_contains("held", w), k)), lambda k: k.isNotNull())
+    first = F.slice(mine, 1, most)
+    weights = F.array(*[F.lit(weight[w]) for w in order])
+    return F.coalesce(F.array_max(first), F.lit(-1)), F.aggregate(first, F.lit(0.0), lambda total, k: total + F.get(weights, k))
+
+
 def scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_words: int = RARE_WORDS, least: float = LEAST) -> DataFrame:
     """One row per file: id, n_words, n_base, first_word, last_word, base_labels, labels, score, templates.
 
-    A template's rare words are the `rare_words` of its words that have the highest idf in all files (ties by word). A template's score at a place is the idf of the rare words that
-    stand where it has them, over the idf of all its rare words; labels need `least` and its mandatory phrase. score is the best template's, 0.5 where only base phrases stand, else 0. A null or empty text has no words and no labels;
-    repeated rows each get their row; other columns are left out.
+    For a template, a file looks up the `rare_words` of the words of both that have the highest idf in all files (ties by
+    word). The score at a place is the idf of the lookups that stand where the template has them, over the idf of all the
+    places that the template has for them; labels need `least` and the mandatory phrase in the template's own words from
+    SLACK before the place to its end. score is the best template's, 0.5 where only base phrases stand, else 0. A null
+    or empty text has no words and no labels; repeated rows each get their row; other columns are left out.
     """
     postings = _postings()
     vocabulary = F.array(*[F.lit(w) for w in sorted(postings)])
@@ -74,29 +88,39 @@ def scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_
     # The vocabulary has a fixed length, so its document frequencies are a bounded result.
     counts = {r["word"]: r["n"] for r in seen.select(F.explode("held").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = max(1, seen.count())
-    return _label(seen, counts, total, postings, rare_words, least)
+    return _label(seen, {w: math.log(1 + total / n) for w, n in counts.items()}, rare_words, least)
 
 
-def _label(seen: DataFrame, counts: dict[str, int], total: int, postings: dict, rare_words: int, least: float) -> DataFrame:
+def _found(seen: DataFrame, idf: dict[str, float], rare_words: int, least: float) -> DataFrame:
+    """(i, k, own, best, templates) of the files, by id and key, in which templates are found."""
     spark = seen.sparkSession
-    idf = {w: math.log(1 + total / n) for w, n in counts.items()}
-    chosen = {t: sorted((w for w in set(wording.split()) if w in idf), key=lambda w: (-idf[w], w))[:rare_words] for t, (_, _, wording) in enumerate(TEMPLATES)}
-    index = [(w, t, pos, idf[w]) for w, at in postings.items() for t, pos in at if w in chosen[t]]
-    weight = {t: sum(idf[w] * TEMPLATES[t][2].split().count(w) for w in ws) for t, ws in chosen.items()}
+    split = [wording.split() for _, _, wording in TEMPLATES]
+    order = [sorted((w for w in set(ws) if w in idf), key=lambda w: (-idf[w], w)) for ws in split]
+    rank = {(t, w): n for t, ws in enumerate(order) for n, w in enumerate(ws)}
+    rare = [_rare(t, ws, {w: idf[w] * split[t].count(w) for w in ws}, rare_words) if ws else (F.lit(-1), F.lit(0.0)) for t, ws in enumerate(order)]
+    index = [(w, t, pos, rank[t, w], idf[w]) for t, ws in enumerate(split) for pos, w in enumerate(ws) if w in idf]
+    posted = F.broadcast(spark.createDataFrame(index, "word string, template int, pos int, rank int, idf double"))  # as many rows as the templates have words
+    names = F.broadcast(spark.createDataFrame([(t, x[0], x[1], x[1].split()[0], len(split[t])) for t, x in enumerate(TEMPLATES)], "template int, label string, phrase string, opener string, size int"))
+    some = seen.filter(F.col("words").isNotNull()).dropDuplicates(["id", "key"])
+    asked = some.select("id", "key", F.array(*[upto for upto, _ in rare]).alias("upto"), F.array(*[w for _, w in rare]).alias("weight"), F.posexplode("words").alias("at", "word"))
+    hits = asked.join(posted, "word").filter(F.col("rank") <= F.get("upto", F.col("template")))
+    votes = hits.groupBy("id", "key", "template", (F.col("at") - F.col("pos")).alias("begin")).agg(F.sum("idf").alias("votes"), F.first(F.get("weight", F.col("template"))).alias("weight"))
+    placed = votes.withColumn("share", F.round(F.least(F.lit(1.0), F.col("votes") / F.col("weight")), 6)).filter(F.col("share") >= least).join(names, "template")
+    whole = some.select(F.col("id").alias("i"), F.col("key").alias("k"), "words")
+    met = placed.join(whole, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")))
+    from_ = F.greatest(F.lit(0), F.col("begin") - SLACK)
+    around = F.concat(F.lit(" "), F.array_join(F.slice("words", from_ + 1, F.greatest(F.lit(0), F.col("begin") + F.col("size") - from_)), " "), F.lit(" "))
+    sure = met.filter(F.contains(around, F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))).groupBy("i", "k", "template", "label").agg(F.max("share").alias("share"))
+    return stored(sure.groupBy("i", "k").agg(F.array_sort(F.collect_set("label")).alias("own"), F.max("share").alias("best"), F.count(F.lit(1)).alias("templates")))
+
+
+def _label(seen: DataFrame, idf: dict[str, float], rare_words: int, least: float) -> DataFrame:
     base = [F.expr(_places("words", p)) for p in BASE]
     row = seen.withColumns({f"b{k}": F.when(F.col("words").isNotNull(), b).otherwise(F.array().cast("array<int>")) for k, b in enumerate(base)})
     places = F.concat(*[F.col(f"b{k}") for k in range(len(base))])
     row = row.withColumn("places", places).withColumn("base", F.array_sort(F.array_compact(F.array(*[F.when(F.size(f"b{k}") > 0, F.lit(x)) for k, x in enumerate(BASE.values())]))))
-    if index:
-        posted = spark.createDataFrame(index, "word string, template int, pos int, idf double")
-        names = spark.createDataFrame([(t, x[0], x[1], float(weight[t] or 1.0)) for t, x in enumerate(TEMPLATES)], "template int, label string, phrase string, weight double")
-        some = seen.filter(F.col("words").isNotNull()).dropDuplicates(["id", "key"])
-        hits = some.select("id", "key", F.posexplode("words").alias("at", "word")).join(F.broadcast(posted), "word")  # the index has as many rows as the templates have words
-        votes = hits.groupBy("id", "key", "template", (F.col("at") - F.col("pos")).alias("begin")).agg(F.sum("idf").alias("votes"))
-        best = votes.groupBy("id", "key", "template").agg(F.max("votes").alias("votes")).join(F.broadcast(names), "template").withColumn("share", F.round(F.least(F.lit(1.0), F.col("votes") / F.col("weight")), 6)).filter(F.col("share") >= least)
-        text = some.select(F.col("id").alias("i"), F.col("key").alias("k"), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("joined"))
-        sure = best.join(text, best["id"].eqNullSafe(text["i"]) & (best["key"] == text["k"])).filter(F.contains(F.col("joined"), F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))))
-        found = stored(sure.groupBy("id", "key").agg(F.array_sort(F.collect_set("label")).alias("own"), F.max("share").alias("best"), F.count(F.lit(1)).alias("templates"))).select(F.col("id").alias("i"), F.col("key").alias("k"), "own", "best", "templates")
+    if idf:
+        found = _found(seen, idf, rare_words, least)
         row = row.join(found, row["id"].eqNullSafe(found["i"]) & (row["key"] == found["k"]), "left")
     else:
         row = row.withColumns({"own": F.lit(None).cast("array<string>"), "best": F.lit(None).cast("double"), "templates": F.lit(None).cast("long")})
@@ -122,7 +146,7 @@ def twin() -> str:
     base = [(p, label, len(p.split())) for p, label in BASE.items()]
     lower = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
     return f"""
-WITH templates(t, label, phrase) AS (VALUES {_values([(t, x[0], x[1]) for t, x in enumerate(TEMPLATES)])}),
+WITH templates(t, label, phrase, size) AS (VALUES {_values([(t, x[0], x[1], len(x[2].split())) for t, x in enumerate(TEMPLATES)])}),
 postings(t, place, word) AS (VALUES {_values(every)}),
 base(phrase, label, size) AS (VALUES {_values(base)}),
 files AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex({lower}, '{SEPARATORS}'), lambda x: x <> '') AS words FROM documents),
@@ -132,15 +156,20 @@ places AS (
   WHERE array_to_string(f.words[k.pos + 1 : k.pos + b.size], ' ') = b.phrase),
 found AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY doc_id),
 counts AS (SELECT word, count(DISTINCT doc_id) AS n FROM tokens WHERE word IN (SELECT word FROM postings) GROUP BY word),
-idf AS (SELECT word, ln(1 + (SELECT count(*) FROM files) / n::DOUBLE) AS idf FROM counts WHERE n <= greatest(1, {RARE_SHARE} * (SELECT count(*) FROM files))),
-ordered AS (SELECT t, word, idf, row_number() OVER (PARTITION BY t ORDER BY idf DESC, word) AS nth FROM (SELECT DISTINCT t, word FROM postings) JOIN idf USING (word)),
-chosen AS (SELECT p.t, p.place, p.word, o.idf FROM postings p JOIN ordered o ON o.t = p.t AND o.word = p.word WHERE nth <= {RARE_WORDS}),
-weights AS (SELECT t, sum(idf) AS weight FROM chosen GROUP BY t),
-votes AS (SELECT k.doc_id, c.t, k.pos - c.place AS begin, sum(c.idf) AS votes FROM tokens k JOIN chosen c ON c.word = k.word GROUP BY ALL),
-best AS (SELECT doc_id, t, round(least(1.0, max(votes) / any_value(weight)), 6) AS share FROM votes JOIN weights USING (t) GROUP BY doc_id, t),
-own AS (
-  SELECT b.doc_id, list_sort(list(DISTINCT label)) AS labels, max(share) AS best, count(*) AS n FROM best b JOIN templates USING (t) JOIN files f ON f.doc_id = b.doc_id
-  WHERE share >= {LEAST} AND contains(' ' || array_to_string(f.words, ' ') || ' ', ' ' || phrase || ' ') GROUP BY b.doc_id)
+idf AS (SELECT word, ln(1 + (SELECT count(*) FROM files) / n::DOUBLE) AS idf FROM counts),
+held AS (SELECT DISTINCT k.doc_id, k.word FROM tokens k JOIN idf USING (word)),
+sized AS (SELECT t, word, count(*) AS places FROM postings GROUP BY t, word),
+ordered AS (SELECT h.doc_id, s.t, s.word, i.idf, s.places, row_number() OVER (PARTITION BY h.doc_id, s.t ORDER BY i.idf DESC, s.word) AS nth FROM held h JOIN sized s USING (word) JOIN idf i USING (word)),
+chosen AS (SELECT * FROM ordered WHERE nth <= {RARE_WORDS}),
+weights AS (SELECT doc_id, t, sum(idf * places) AS weight FROM chosen GROUP BY doc_id, t),
+votes AS (
+  SELECT k.doc_id, c.t, k.pos - p.place AS begin, sum(c.idf) AS votes FROM tokens k JOIN chosen c ON c.doc_id = k.doc_id AND c.word = k.word
+  JOIN postings p ON p.t = c.t AND p.word = c.word GROUP BY ALL),
+placed AS (SELECT v.doc_id, v.t, v.begin, round(least(1.0, votes / weight), 6) AS share FROM votes v JOIN weights w ON w.doc_id = v.doc_id AND w.t = v.t),
+sure AS (
+  SELECT b.doc_id, b.t, label, max(share) AS share FROM placed b JOIN templates m ON m.t = b.t JOIN files f ON f.doc_id = b.doc_id
+  WHERE share >= {LEAST} AND contains(' ' || array_to_string(f.words[greatest(0, b.begin - {SLACK}) + 1 : b.begin + m.size], ' ') || ' ', ' ' || phrase || ' ') GROUP BY ALL),
+own AS (SELECT doc_id, list_sort(list(DISTINCT label)) AS labels, max(share) AS best, count(*) AS n FROM sure GROUP BY doc_id)
 SELECT f.doc_id, len(f.words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(d.labels, ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(d.labels, []), coalesce(o.labels, [])))), ','), '') AS labels,
   greatest(coalesce(o.best, 0.0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score, coalesce(o.n, 0)::BIGINT AS n_templates

@@ -1,9 +1,12 @@
+import math
+import random
 import re
 from collections import Counter
 
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from assayer.llm import license_scan, line_dedup
 
@@ -89,5 +92,62 @@ def test_licence_of_many_files(spark, share):
             assert row["score"] == (1.0 if row["doc_id"] % share == 0 else 0.0)
 
 
+def slow_templates(texts, rare=license_scan.RARE_WORDS):
+    """Labels and best score of each text by loops over words."""
+    split = [words_of(t) for t in texts]
+    vocabulary = {w for _, _, wording in license_scan.TEMPLATES for w in wording.split()}
+    idf = {w: math.log(1 + len(split) / n) for w in vocabulary if (n := sum(w in ws for ws in split))}
+    out = []
+    for ws in split:
+        labels, best = set(), 0.0
+        for label, phrase, wording in license_scan.TEMPLATES:
+            own = wording.split()
+            chosen = sorted((w for w in set(own) & set(ws)), key=lambda w: (-idf[w], w))[:rare]
+            weight = sum(idf[w] for w in own if w in chosen)
+            for begin in range(-len(own), len(ws)):
+                votes = sum(idf[w] for k, w in enumerate(own) if w in chosen and 0 <= begin + k < len(ws) and ws[begin + k] == w)
+                around = ws[max(0, begin - license_scan.SLACK) : max(0, begin + len(own))]
+                share = round(min(1.0, votes / weight), 6) if weight else 0.0
+                if share >= license_scan.LEAST and f" {phrase} " in f" {' '.join(around)} ":
+                    labels.add(label)
+                    best = max(best, share)
+        out.append((labels, best))
+    return out
+
+
+def test_licence_templates(spark):
+    """Against loops: notices with words put in, left out and swapped, several in a file, phrases out of place, long texts."""
+    rng = random.Random(4)
+    texts = [None, "", "mozilla public license " * 40, "x" * 30_000, "word " * 20_000 + license_scan.TEMPLATES[8][2]]
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            words += [f"w{rng.randint(0, 50)}" for _ in range(rng.randint(0, 30))]
+            notice = rng.choice(license_scan.TEMPLATES)[2].split()
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                k = rng.randrange(len(notice))
+                notice[k : k + 1] = rng.choice([[], ["other", notice[k]], ["changed"]])
+            words += notice + rng.choice([[], rng.choice(license_scan.TEMPLATES)[1].split()])
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("weight", F.lit("a clashing name")).repartition(3)
+    got = {r["doc_id"]: r for r in license_scan.scan(df).collect()}
+    for k, (labels, best) in enumerate(slow_templates(texts)):
+        base = set(filter(None, got[k]["base_labels"].split(",")))
+        assert set(filter(None, got[k]["labels"].split(","))) == labels | base
+        assert got[k]["score"] == pytest.approx(max(best, 0.5 if base else 0.0), abs=2e-6)
+    assert sum(bool(x) for x, _ in slow_templates(texts)) > 40
+
+
+@pytest.mark.parametrize("share", [1, 3])
+def test_licence_twin_keeps_common_notices(spark, share):
+    notices = [license_scan.TEMPLATES[k][2] for k in (8, 9, 7)]
+    rows = [(k, f"plain words {k} " + (notices[k % 3] if k % share == 0 else "")) for k in range(24)]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    want = con.sql(license_scan.twin()).df().sort_values("doc_id")
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().sort_values("doc_id")
+    assert got["labels"].tolist() == want["labels"].tolist() and (got["labels"] != "").sum() == 24 // share
+
+
 def test_empty_tables(no_docs):
     assert line_dedup.drop_boilerplate(no_docs).collect() == [] and license_scan.scan(no_docs).collect() == []
