@@ -44,6 +44,17 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFram
     return left.join(few, key).unionByName(left.join(few.select(key), key, "left_anti").join(right.drop(rows), key))
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The names wanted, longer by underscores where df has a column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

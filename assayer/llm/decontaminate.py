@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import table
+from assayer.llm.common import free_names, table
 
 Q, EDIT_SHARE = 8, 0.1
 #: An index of q-grams is broadcast for at most so many characters of items; more items go in further blocks.
@@ -23,6 +24,9 @@ LEAKS = "array<struct<item_id: long, start: long, end: long, edits: int, similar
 _LEAK = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32()), ("similarity", pa.float64())]))
 _M = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 22
+_SPAN = np.int64(1) << 40
+#: Pairs of equal q-grams that are listed at once; items with more in a text are counted diagonal by diagonal.
+PAIRS = 1 << 20
 
 
 def letters(text: str) -> np.ndarray:
@@ -68,7 +72,11 @@ class Index:
         self.code, self.first, self.number = np.unique(code, return_index=True, return_counts=True)
         self.slots = np.zeros(1 << _SLOTS, bool)
         self.slots[self.code >> np.uint64(64 - _SLOTS)] = True
-        self.short = [k for k, t in enumerate(self.texts) if len(t) < Q]
+        self.short: dict[str, list[int]] = {}
+        for k, t in enumerate(self.texts):
+            if len(t) < Q:
+                self.short.setdefault(_as_text(t), []).append(k)
+        self.finder = None
 
     def bands(self, grams: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, first diagonal, diagonals) of the bands with enough shared q-grams; overlapping ones are merged."""
@@ -78,39 +86,76 @@ class Index:
         slot = np.minimum(np.searchsorted(self.code, grams[at]), len(self.code) - 1)
         ok = self.code[slot] == grams[at]
         at, slot = at[ok], slot[ok]
-        n = self.number[slot]
-        if n.sum() < self.least.min(initial=1):
+        pairs = int(self.number[slot].sum())
+        if pairs < self.least.min(initial=1):
             return []
-        ref = np.repeat(self.first[slot] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        item = self.item[ref]
-        diagonal = np.repeat(at, n) - self.place[ref]
-        width = self.edits[item] + 1
-        band = diagonal // width
-        span = np.int64(1) << 40
+        strip, count = self._listed(at, slot) if pairs <= PAIRS else self._many(at, slot)
         # Of two neighbouring strips each pair of neighbours is one band, so bands overlap by half.
-        strip, count = np.unique(item * span + band + (span >> 1), return_counts=True)
         following = np.concatenate([np.where(strip[1:] == strip[:-1] + 1, count[1:], 0), [0]]) if len(strip) else count
-        rich = np.flatnonzero(count + following >= self.least[strip // span])
+        rich = np.flatnonzero(count + following >= self.least[strip // _SPAN])
         out: list[tuple[int, int, int]] = []
         for s in strip[rich].tolist():
-            k, b = divmod(s, span)
+            k, b = divmod(s, int(_SPAN))
             w = int(self.edits[k]) + 1
-            begin = (b - (span >> 1)) * w
+            begin = (b - (int(_SPAN) >> 1)) * w
             if out and out[-1][0] == k and begin <= out[-1][1] + out[-1][2]:
                 out[-1] = (k, out[-1][1], begin + 2 * w - out[-1][1])
             else:
-                out.append((int(k), int(begin), 2 * w))
+                out.append((k, begin, 2 * w))
         return out
 
-    def align(self, k: int, s: np.ndarray, begin: int, diagonals: int) -> tuple[int, int, int] | None:
-        """(edits, start, end) of the best passage in s within the band, or None beyond the budget."""
+    def _refs(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The index's rows of each slot, and how many each has."""
+        n = self.number[slot]
+        return np.repeat(self.first[slot] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()), n
+
+    def _listed(self, at: np.ndarray, slot: np.ndarray, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(strip, count) over all pairs of equal q-grams of the text places and the items, without some of the items."""
+        ref, n = self._refs(slot)
+        item, diagonal = self.item[ref], np.repeat(at, n) - self.place[ref]
+        if but is not None:
+            keep = ~but[item]
+            item, diagonal = item[keep], diagonal[keep]
+        return np.unique(item * _SPAN + diagonal // (self.edits[item] + 1) + (_SPAN >> 1), return_counts=True)
+
+    def _many(self, at: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same in bounded memory where a text and the items repeat themselves: PAIRS at once, heavy items by counts on all their diagonals."""
+        own, times = np.unique(slot, return_counts=True)
+        ref, n = self._refs(own)
+        pairs = np.bincount(self.item[ref], np.repeat(times, n), len(self.ids))
+        heavy = pairs > PAIRS
+        parts = []
+        order = np.argsort(slot, kind="stable")
+        places = np.split(at[order], np.cumsum(times)[:-1])
+        where = {int(s): p for s, p in zip(own, places, strict=True)}
+        of_ref = np.repeat(own, n)
+        for k in np.flatnonzero(heavy).tolist():
+            size, mine = len(self.texts[k]), np.flatnonzero(self.item[ref] == k)
+            counts = np.zeros(int(at.max()) + size + 1, np.int64)
+            for s, place in zip(of_ref[mine].tolist(), self.place[ref[mine]].tolist(), strict=True):
+                counts[where[s] + (size - place)] += 1
+            met = np.flatnonzero(counts)
+            strip, which = np.unique((met - size) // (int(self.edits[k]) + 1), return_inverse=True)
+            parts.append((k * _SPAN + strip + (_SPAN >> 1), np.bincount(which, counts[met]).astype(np.int64)))
+        sums = np.cumsum(self.number[slot])
+        begin = 0
+        while begin < len(at):
+            end = max(begin + 1, int(np.searchsorted(sums, (sums[begin - 1] if begin else 0) + PAIRS, "right")))
+            parts.append(self._listed(at[begin:end], slot[begin:end], heavy))
+            if len(parts) >= 16:
+                parts = [_summed(parts)]
+            begin = end
+        return _summed(parts)
+
+    def align(self, k: int, s: np.ndarray, begin: int, diagonals: int) -> list[tuple[int, int, int]]:
+        """(edits, start, end) of the passages in s within the band and the budget, none over another, the best first."""
         item, e = self.texts[k], int(self.edits[k])
         low, width = begin - e, diagonals + 2 * e
         one = np.int64(1) << 32
         padded = np.zeros(len(item) + width, np.uint32)
         a, b = max(0, low), min(len(s), low + len(padded))
         if a >= b:
-            return None
+            return []
         padded[a - low : b - low] = s[a:b]
         cell = np.arange(width, dtype=np.int64)
         steps = np.arange(width, dtype=np.int64) * one
@@ -119,34 +164,53 @@ class Index:
             new = row + np.where(padded[i : i + width] == item[i], 0, one)
             new[:-1] = np.minimum(new[:-1], row[1:] + one)
             row = np.minimum.accumulate(new - steps) + steps
-        best = int(row.argmin())
-        edits, start = int(row[best] >> 32), int(row[best] & 0xFFFFFFFF) + low
-        end = best + low + len(item)
-        return (edits, max(0, start), min(len(s), end)) if edits <= e else None
+        edits = row >> 32
+        ok = np.flatnonzero(edits <= e)
+        return _apart(edits[ok], np.maximum(0, (row[ok] & 0xFFFFFFFF) + low), np.minimum(len(s), ok + low + len(item)))
 
     def leaks(self, text: str) -> list[dict]:
         """The items that stand in the text, each with its places, by item and start."""
         s = letters(text)
         found: dict[int, list[tuple[int, int, int]]] = {}
         for k, begin, diagonals in self.bands(q_grams(s)):
-            if hit := self.align(k, s, begin, diagonals):
-                found.setdefault(k, []).append(hit)
-        for k in self.short:
-            sought, at = self.texts[k].tobytes(), -4
-            whole = s.tobytes()
-            while (at := whole.find(sought, at + 4 - at % 4 if at >= 0 else 0)) >= 0:
-                if at % 4 == 0:
-                    found.setdefault(k, []).append((0, at // 4, at // 4 + len(self.texts[k])))
+            if hits := self.align(k, s, begin, diagonals):
+                found.setdefault(k, []).extend(hits)
+        if self.short:
+            if self.finder is None:
+                self.finder = ahocorasick.Automaton()
+                for t in self.short:
+                    self.finder.add_word(t, t)
+                self.finder.make_automaton()
+            for last, t in self.finder.iter(_as_text(s)):
+                for k in self.short[t]:
+                    found.setdefault(k, []).append((0, last + 1 - len(t), last + 1))
         out = []
         for k, hits in found.items():
-            last = -1
-            for edits, start, end in sorted(hits, key=lambda h: (h[1], h[0])):
-                if start >= last:
-                    out.append({"item_id": self.ids[k], "start": start, "end": end, "edits": edits, "similarity": round(1 - edits / len(self.texts[k]), 6)})
-                    last = end
+            for edits, start, end in _apart(*np.array(hits, np.int64).T):
+                out.append({"item_id": self.ids[k], "start": start, "end": end, "edits": edits, "similarity": round(1 - edits / len(self.texts[k]), 6)})
         return sorted(out, key=lambda x: (x["item_id"], x["start"]))
 
 
+def _as_text(s: np.ndarray) -> str:
+    return s.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    strip, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return strip, np.bincount(which, np.concatenate([p[1] for p in parts]), len(strip)).astype(np.int64)
+
+
+def _apart(edits: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, int, int]]:
+    """Of passages, those with the fewest edits first (ties: by start), none over one taken before."""
+    left, out = np.lexsort((end, start, edits)), []
+    while len(left):
+        k = left[0]
+        out.append((int(edits[k]), int(start[k]), int(end[k])))
+        left = left[1:]
+        left = left[(start[left] >= end[k]) | (end[left] <= start[k])]
+    return out
+
+
 def _marked(shared):
     def run(batches):
         index = shared.value
@@ -180,15 +244,16 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     blocks of 4 million characters, each an index that is broadcast.
     """
     out = docs.drop("leaks")
+    before, copy = free_names(out, "before", "copy")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
     marked = out.withColumn("leaks", F.array().cast(LEAKS))
     for k, items in enumerate(_blocks(benchmark, item_col, "text", most)):
         shared = docs.sparkSession.sparkContext.broadcast(Index(items, share))
         if k == 0:
-            marked = out.select("*", F.col(text_col).cast("string").alias("__text")).mapInArrow(_marked(shared), f"{fields}, leaks {LEAKS}")
+            marked = out.withColumn(copy, F.col(text_col).cast("string")).mapInArrow(_marked(shared), f"{fields}, leaks {LEAKS}")
         else:
-            more = marked.withColumnRenamed("leaks", "__before").select("*", F.col(text_col).cast("string").alias("__text"))
-            marked = more.mapInArrow(_marked(shared), f"{fields}, __before {LEAKS}, leaks {LEAKS}").withColumn("leaks", F.concat("__before", "leaks")).drop("__before")
+            more = marked.withColumnRenamed("leaks", before).withColumn(copy, F.col(text_col).cast("string"))
+            marked = more.mapInArrow(_marked(shared), f"{fields}, {before} {LEAKS}, leaks {LEAKS}").withColumn("leaks", F.concat(before, "leaks")).drop(before)
     return marked
 
 

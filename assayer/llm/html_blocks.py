@@ -7,11 +7,14 @@ import re
 from collections import Counter
 
 #: Elements whose content isn't text of the page; elements without content; elements that stay inside a block.
-UNSEEN = frozenset("script style noscript template iframe svg math object title canvas audio video select datalist textarea".split())
+UNSEEN = frozenset("script style noscript template iframe svg annotation title canvas audio video select datalist textarea".split())
 #: Elements whose content has no tags.
 RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style", "textarea", "title")}
+#: Where a script or the like without an end tag is taken to end; what may stand in a list of choices.
+BODY = re.compile(r"</?(?:p|div|h[1-6]|article|section|main|ul|ol|dl|table|blockquote|body|html|header|footer|nav|aside)(?=[\s/>])", re.I)
+CHOICES = frozenset("option optgroup hr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img button input".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img button input math mi mn mo ms mrow mtext mspace mfrac msqrt mroot msup msub msubsup mover munder munderover mfenced mstyle mtable mtr mtd semantics".split())
 #: Tags and words of class, id and role that are features.
 TAGS = "nav header footer aside article main section div form fieldset ul ol li dl dt dd table tr td th p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption details summary address dialog menu center body".split()
 WORDS = (
@@ -33,6 +36,7 @@ FEATURES += [f"words:{k}" for k in range(7)] + [f"links:{k}" for k in range(4)]
 NUMBER = {f: k for k, f in enumerate(FEATURES)}
 _TAGS, _WORDS = frozenset(TAGS), frozenset(WORDS)
 _known: dict[tuple, frozenset] = {}
+_ENDS = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in UNSEEN}
 
 
 def _context(above: frozenset, tag: str, attributes: str) -> frozenset:
@@ -80,7 +84,9 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
     """(text, features) of the page's leaf blocks in order, white space squeezed and character references decoded; empty blocks are left out.
 
     A start or end tag of an element that isn't inline ends a block; br is a space; unclosed elements, stray end tags, cut-off
-    tags and comments are borne. A skipped element that isn't closed ends with an element around it; all that head shows is skipped by itself, so head needs no end.
+    tags and comments are borne. All that head shows is skipped by itself, so head needs no end. Elements without an end tag
+    hide nothing, but for noscript, which ends with an element around it, and scripts and the like, which end at the next tag
+    of a body; a list of choices ends at any tag that can't stand in it.
     """
     root = frozenset()
     stack: list[tuple[str, frozenset]] = [("", root)]
@@ -89,6 +95,7 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
     linked = in_link = 0
     skip: str | None = None
     inner: Counter = Counter()
+    ends: dict[str, int] = {}
     at = 0
 
     def flush():
@@ -101,6 +108,13 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
                 out.append((text, _text_features(text, linked), stack[-1][1]))
         linked = in_link = 0
 
+    def closed(tag: str) -> bool:
+        """Whether the element's end tag stands ahead."""
+        if ends.get(tag, 0) <= at:
+            found = _ENDS[tag].search(page, at)
+            ends[tag] = found.end() if found else len(page) + 1
+        return ends[tag] <= len(page)
+
     while m := _PARTS.match(page, at):
         at = m.end()
         tag = m[2] or m[5]
@@ -112,9 +126,11 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
             continue
         tag, closing, attributes = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag in RAW and not closing and not attributes.endswith("/"):
-            end = RAW[tag].search(page, at)
+            end = RAW[tag].search(page, at) if closed(tag) else BODY.search(page, at)
             at = end.start() if end else len(page)
             continue
+        if skip in ("select", "datalist") and not closing and tag not in CHOICES:
+            skip = None
         if skip is not None:
             if closing and tag == skip:
                 skip = None
@@ -124,7 +140,7 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
                 continue
             skip = None
         if tag in UNSEEN:
-            if not closing and not attributes.endswith("/"):
+            if not closing and not attributes.endswith("/") and (closed(tag) or tag in ("select", "datalist") or tag == "noscript" and stack[-1][0] not in ("", "html", "body")):
                 skip = tag
                 inner.clear()
             continue

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import stored, table
+from assayer.llm.common import free_names, stored, table
 
 RATIO, MIN_PAGES = 0.05, 5
 
@@ -42,15 +42,16 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     least, hold it; without `copies`, of its host's distinct texts. Null hosts are one host; a null text stays null with no lines; an empty text has one blank line; rows
     stay one for one, repeated rows and unknown columns too; columns called n_lines or n_dropped are replaced.
     """
-    found = stored(boilerplate(docs, host, text, ratio, min_pages, copies)).select(F.col("host").alias("__host"), F.col("keys").alias("__keys"))
+    by, keys, kept = free_names(docs, "host_", "keys_", "kept_")
+    found = stored(boilerplate(docs, host, text, ratio, min_pages, copies)).select(F.col("host").alias(by), F.col("keys").alias(keys))
     lines = _lines(F.col(text))
-    kept = F.when(F.col("__keys").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("__keys"), _key(x))))
+    left = F.when(F.col(keys).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col(keys), _key(x))))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.join(found, docs[host].eqNullSafe(found["__host"]), "left").withColumn("__kept", kept)
+    joined = docs.join(found, docs[host].eqNullSafe(found[by]), "left").withColumn(kept, left)
     n = F.coalesce(F.size(F.when(F.col(text).isNotNull(), lines)), F.lit(0)).cast("long")
     n_lines = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(n)
-    dropped = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(n - F.size("__kept").cast("long"))
-    return joined.select(*[(F.array_join("__kept", "\n").alias(text) if c == text else docs[c]) for c in names], n_lines.alias("n_lines"), dropped.alias("n_dropped"))
+    dropped = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(n - F.size(kept).cast("long"))
+    return joined.select(*[(F.array_join(kept, "\n").alias(text) if c == text else docs[c]) for c in names], n_lines.alias("n_lines"), dropped.alias("n_dropped"))
 
 
 def op3(spark, sf_dir):

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import pytest
 
@@ -55,6 +56,47 @@ def test_documents(docs, documents, spark):
     assert sorted((r["doc_id"], str(r["leaks"])) for r in blocks) == sorted((r["doc_id"], str(r["leaks"])) for r in rows)
 
 
+def test_every_place_of_a_repeated_item():
+    item = "one two three four five six seven"
+    index = Index([(1, item), (2, "ab" * 2000), (3, "ab" * 30)])
+    text = " and ".join([item, item.replace("three", "thre"), "other words", item])
+    assert [(x["item_id"], x["edits"]) for x in index.leaks(text)] == [(1, 0), (1, 1), (1, 0)]
+    periodic = "ab" * 8000
+    tracemalloc.start()
+    leaks = index.leaks(periodic)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    assert [x["item_id"] for x in leaks].count(2) == 4 and {x["edits"] for x in leaks if x["item_id"] == 2} == {0}
+    assert [x["item_id"] for x in leaks].count(3) == 16_000 // 60
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_counts_in_bounded_memory_are_the_same(monkeypatch, seed):
+    rng = random.Random(seed)
+    items = [(k, " ".join(rng.choice(["ab", "abab", "tea cup", "xyz"]) for _ in range(rng.randint(3, 60)))) for k in range(12)]
+    texts = [" ".join(rng.choice(["ab", "abab", "tea cup", "w"]) for _ in range(rng.randint(20, 300))) + items[k][1] for k in range(12)]
+    index = Index(items)
+    whole = [index.bands(decontaminate.q_grams(decontaminate.letters(t))) for t in texts]
+    for pairs in (1, 50, 4000):
+        monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+        assert [index.bands(decontaminate.q_grams(decontaminate.letters(t))) for t in texts] == whole
+
+
+def test_short_items_and_long_texts():
+    index = Index([(1, "abc"), (2, "bcd"), (3, "abc"), (4, "A B"), (5, "x" * 40)])
+    found = index.leaks("zabcd a\nb abc")
+    assert [(x["item_id"], x["start"]) for x in found] == [(1, 1), (1, 10), (2, 2), (3, 1), (3, 10), (4, 6)]
+    assert [(x["item_id"], x["start"], x["end"]) for x in index.leaks("y" * 200_000 + "x" * 40 + "y" * 10)] == [(5, 200_000, 200_040)]
+
+
+def test_clashing_columns(spark):
+    bench = spark.createDataFrame([(1, "a passage of some words"), (2, "another passage of more words")], "item_id long, text string")
+    rows = [(1, "so: a passage of some words and another passage of more words", "x", "y", "z"), (None, None, "x", "y", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, before string, __text string, leaks string")
+    got = sorted(decontaminate.mark(df, bench, most=1).collect(), key=str)
+    assert [(r["before"], r["__text"], len(r["leaks"])) for r in got] == [("x", "y", 2), ("x", "y", 0)]
+
+
 def test_case_and_space():
     index = Index([(1, "The Quick brown fox jumps over the lazy dog")])
     (leak,) = index.leaks("xx THE quick\nbrown fox jumps over the lazy DOG yy")

@@ -74,6 +74,52 @@ def test_skipped_elements_end(page, texts):
     assert [t for t, _ in html_blocks.blocks(page)] == texts
 
 
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<body><script>if(a<b){x=1}</script><p>Hello there.</p>", ["Hello there."]),
+        ("<script>var s='it<i';</script><p>Hello there.</p>", ["Hello there."]),
+        ("<script><!-- x </script><p>Hello there.</p>", ["Hello there."]),
+        ("<html><head><title>x</title><meta charset=utf-8><body><h1>T</h1><p>Hello there.</p>", ["T", "Hello there."]),
+        ("<body><select><option>a<option>b<p>t</p>", ["t"]),
+        ("<div><select><option>a</select><p>t</p><iframe src=x><p>u</p>", ["t", "u"]),
+        ("<body><noscript><p>t</p>", ["t"]),
+        ("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b<object data=x>c</object></p>", ["a x=2 b", "c"]),
+        ("<p>t</p><script>var a = 1; <p>u</p>", ["t", "u"]),
+        ("<svg><title>no</title><text>no</text></svg><template><p>no</p></template><p>t", ["t"]),
+        ("<video><p>no</p></video><canvas>no</canvas><p>t", ["t"]),
+    ],
+)
+def test_malformed_pages_lose_nothing(page, texts):
+    assert [t for t, _ in html_blocks.blocks(page)] == texts
+
+
+def test_damaged_pages_against_a_slow_reading():
+    """Pages of plain parts with scripts, styles, titles and comments between, whose tags are left out or unclosed at random: all visible words stay, in order."""
+    rng = random.Random(7)
+    hidden = ["<script>if(a<b){go('</p>')}</script>", "<style>p<b{}</style>", "<!-- <p>zz</p> -->", "<script><!-- zz </script>", "<noscript><p>zz</p></noscript>", "<svg><text>zz</text></svg>", "<template><p>zz</p></template>", "<script>s='it<i'</script>"]
+    for _ in range(60):
+        words = [f"w{k}" for k in range(rng.randint(1, 30))]
+        body = []
+        for w in words:
+            tag = rng.choice(["p", "div", "li", "h2", "td", "section", "b", "span"])
+            body.append(rng.choice([f"<{tag}>{w}</{tag}>", f"<{tag}>{w}", f"<{tag} title='a>b'>{w}</{tag}>", f"</{tag}>{w} "]) + " ")
+            if rng.random() < 0.3:
+                body.append(rng.choice(hidden))
+        head = rng.choice(["", "<head><title>zz</title>", "<html><head><meta charset=x><style>q<r{}</style></head><body>", "<!DOCTYPE html><html>"])
+        page = head + "".join(body) + rng.choice(["", "</body></html>", "<select><option>zz"])
+        assert " ".join(t for t, _ in html_blocks.blocks(page)).split() == words, page
+
+
+def test_many_unclosed_elements_take_linear_time():
+    html_blocks.blocks("<svg>" * 60_000 + "<iframe>" * 60_000 + "<script>" * 60_000)
+
+
+def test_very_long_pages(field):
+    page = "<article><h1>Title of it</h1><p>" + "words and more, " * 40_000 + "end.</p><p>" + "x" * 50_000 + "</p></article>"
+    assert len(html_extract.main_text(page, field)) > 600_000
+
+
 def test_unclosed_quotes_take_linear_time():
     html_blocks.blocks("<p title='" + "a b=\"c " * 50_000)
     html_blocks.blocks("<div " * 50_000)

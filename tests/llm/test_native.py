@@ -42,6 +42,15 @@ def test_line_dedup_twin(spark, documents):
     assert key(got) == key(want)
 
 
+def test_line_dedup_clashing_columns_and_long_lines(spark):
+    long = "x" * 60_000
+    rows = [(k, f"menu\n{long}\nstory {k}", None, "h", "k", "e", 1) for k in range(8)] + [(9, None, None, "h", "k", "e", 1), (9, "", None, "h", "k", "e", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, host_ string, keys_ string, kept_ string, n_lines int")
+    got = {r["text"]: r for r in line_dedup.drop_boilerplate(df).collect()}
+    assert {t for t in got} == {f"story {k}" for k in range(8)} | {None, ""}
+    assert (got["story 3"]["n_lines"], got["story 3"]["n_dropped"], got["story 3"]["host_"], got[""]["n_lines"], got[None]["n_lines"]) == (3, 2, "h", 1, 0)
+
+
 def words_of(text):
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower) if w]
