@@ -24,8 +24,13 @@ def _prose(rng: random.Random, low: int, high: int, stop: bool = True) -> str:
     return (text[:1].upper() + text[1:] + ("." if stop else "")).replace(". .", ".").replace(",.", ".")
 
 
-def labelled_page(rng: random.Random) -> tuple[str, str]:
+#: Shapes of made-up pages with their weights: parts with names, layout by tables, and loose tags without names.
+SHAPES = {"named": 8, "table": 1, "loose": 1}
+
+
+def labelled_page(rng: random.Random, shape: str | None = None) -> tuple[str, str]:
     """A made-up page and its main text; templates, names and nesting vary, and some pages are damaged."""
+    shape = shape or rng.choices(list(SHAPES), list(SHAPES.values()))[0]
     main: list[str] = []
 
     def keep(text: str) -> str:
@@ -84,6 +89,26 @@ def labelled_page(rng: random.Random) -> tuple[str, str]:
             return f"<p><b>{keep(text)}<br><p>"
         return f"<p>{keep(text)}" + ("</p>" if rng.random() < 0.9 else "")
 
+    def links(between: str, low: int = 3, high: int = 9) -> str:
+        return between.join(f"<a href='/{k}'>{_prose(rng, 1, 3, False)}</a>" for k in range(rng.randint(low, high)))
+
+    def code() -> str:
+        return rng.choice(["<script>for(i=0;i<n;i++)go('</p>');</script>", "<script async src=x></script>", "<style>a<b{}</style>", "<!-- <p>no</p> -->"])
+
+    if shape == "table":
+        content = "".join(f"<p>{keep(_prose(rng, rng.choice([2, 20]), rng.choice([30, 90])))}</p>" if rng.random() < 0.8 else f"<h3>{keep(_prose(rng, 1, 6, False))}</h3>" for _ in range(rng.randint(2, 9)))
+        head = f"<tr><td colspan=3><b>{_prose(rng, 1, 4, False)}</b> {links(' | ')}</td></tr>"
+        side = f"<td valign=top width=150>{links('<br>', 4, 12)}</td>"
+        foot = f"<tr><td colspan=3>{links(' - ', 2, 5)}<br>&copy; {rng.randint(1995, 2025)} {_prose(rng, 1, 5)}</td></tr>"
+        more = f"<td width=120>{code()}<a href=x>{_prose(rng, 2, 6, False)}</a></td>" if rng.random() < 0.5 else ""
+        page = f"<html><head><title>{_prose(rng, 2, 6, False)}</title><body bgcolor=white><table width=100%>{head}<tr>{side}<td>{content}</td>{more}</tr>{foot}</table>"
+        return page, "\n".join(" ".join(t.split()) for t in main)
+    if shape == "loose":
+        heading = keep(_prose(rng, 2, 8, False))
+        content = "".join(code() * (rng.random() < 0.3) + (f"<p>{keep(_prose(rng, rng.choice([3, 20]), rng.choice([30, 90])))}" if rng.random() < 0.85 else f"<h2>{keep(_prose(rng, 1, 6, False))}</h2>") for _ in range(rng.randint(2, 9)))
+        talk = f"<h3>{rng.randint(1, 40)} Comments</h3><dl>{''.join(f'<dt>{_prose(rng, 1, 2, False)}:<dd>{_prose(rng, 3, 30)}' for _ in range(rng.randint(1, 5)))}</dl>" if rng.random() < 0.4 else ""
+        page = f"<!DOCTYPE html><title>{_prose(rng, 2, 6, False)}</title><meta charset=utf-8>{code()}<p>{links(' | ')}<h1>{heading}</h1>{content}{talk}<hr><p>&copy; {_prose(rng, 1, 6)} {links(' &middot; ', 1, 4)}"
+        return page, "\n".join(" ".join(t.split()) for t in main)
     plain = rng.random() < 0.12
     inside = [paragraph if rng.random() < 0.9 else junk for _ in range(rng.randint(0 if rng.random() < 0.05 else 2, 14))]
     title = _prose(rng, 2, 9, False)

@@ -12,15 +12,46 @@ def field():
     return html_extract.trained()
 
 
-def test_held_out_pages(field):
-    rng, right, blocks, wrong = random.Random(99), 0, 0, 0
-    for _ in range(200):
-        page, want = html_extract.labelled_page(rng)
+def measured(field, pages):
+    """(share of pages that are exact, wrong blocks for each right one)."""
+    right = blocks = wrong = 0
+    for page, want in pages:
         got = html_extract.main_text(page.replace(MARK, ""), field)
         right += got == want
         a, b = set(got.split("\n")), set(want.split("\n"))
         blocks, wrong = blocks + len(b), wrong + len(a ^ b)
-    assert right >= 190 and wrong <= 0.01 * blocks
+    return right / len(pages), wrong / blocks
+
+
+def test_held_out_pages(field):
+    rng = random.Random(99)
+    right, wrong = measured(field, [html_extract.labelled_page(rng, "named") for _ in range(200)])
+    assert right >= 0.95 and wrong <= 0.01
+    for shape in ("table", "loose"):
+        right, wrong = measured(field, [html_extract.labelled_page(rng, shape) for _ in range(100)])
+        assert right >= 0.9 and wrong <= 0.03, (shape, right, wrong)
+
+
+def unseen_page(rng, shape):
+    """A page of a template that no training page has."""
+    prose, main = html_extract._prose, []
+
+    def keep(text):
+        main.append(" ".join(text.split()))
+        return text
+
+    article = f"<h1>{keep(prose(rng, 2, 8, False))}</h1>" + "".join(f"<p>{keep(prose(rng, 12, 70))}</p>" for _ in range(rng.randint(2, 8)))
+    links = "".join(f"<a class=item href=/{k}>{prose(rng, 1, 3, False)}</a>" for k in range(6))
+    if shape == "roles":
+        return f"<body><div role=banner><div>{prose(rng, 1, 3, False)}</div><div role=navigation>{links}</div></div><div role=main>{article}</div><div role=complementary><div>{links}</div></div><div role=contentinfo>&copy; {prose(rng, 2, 6)}</div>", "\n".join(main)
+    return f"<body><div id=wrap><div class=row><div class=top-menu>{links}</div></div><div class=row><div class=col-8>{article}</div><div class=col-4 id=sidebar><h4>{prose(rng, 1, 3, False)}</h4>{links}</div></div><div class='row footer-row'><small>&copy; {prose(rng, 2, 6)}</small></div></div>", "\n".join(main)
+
+
+@pytest.mark.parametrize("shape", ["roles", "columns"])
+def test_templates_that_training_never_saw(field, shape):
+    rng = random.Random(5)
+    right, wrong = measured(field, [unseen_page(rng, shape) for _ in range(100)])
+    assert right >= 0.8 and wrong <= 0.05, (right, wrong)
 
 
 def test_viterbi_finds_the_best_labels():
