@@ -5,7 +5,9 @@ are a difference cover of all pairs of equal strings, with one or two hundredths
 the k-gram's hash. Names that occur once end there. An anchor's block holds the strings that it is the anchor of; blocks
 that occur again repeat as a whole. Where names repeat and blocks don't, the blocks of a name meet in one task, their
 suffixes are sorted by the difference cover mod 3 (sorted triples, recursion on names, merge), and neighbours are
-compared by their first `length` bytes. Names with very many different blocks have their strings counted by hash instead.
+compared by their first `length` bytes. Names with very many different blocks have their strings counted by digest instead.
+
+Blocks, strings that are counted and whole texts are told apart by 128 bits (XXH3, or XXH64 with two seeds) of their bytes.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,48 +57,51 @@ def _least(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(name, block, place, first start, last start) of the anchors of a text of `length` bytes at least.
+    """(name, block, twin, place, first start, last start) of the anchors of a text of `length` bytes at least; block and twin are a digest of the block.
 
     Starts are those of the strings that have the anchor; equal k-grams in one string give its leftmost.
     """
-    grams, strings = window_hashes(text, gram, length)
+    (grams,) = window_hashes(text, gram)
     key = (grams >> np.uint64(31) << np.uint64(31)) | np.arange(len(grams), dtype=np.uint64)
     place = (_least(key, length - gram + 1) & np.uint64(_PLACE)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     last = np.append(first[1:], len(place)) - 1
     at = place[first]
-    block = (strings[first] ^ (strings[last] >> np.uint64(23))) * _M + strings[last]
-    block = (block ^ ((at - first).astype(np.uint64) << np.uint64(32)) ^ (last - first).astype(np.uint64)) * _M
-    return grams[at].view(np.int64), block.view(np.int64), at, first, last
+    block = _digests(text[a:b] for a, b in zip(first.tolist(), (last + length).tolist(), strict=True))
+    return grams[at].view(np.int64), block[:, 0] ^ ((at - first) << 32), block[:, 1], at, first, last
+
+
+def _digests(parts) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), np.int64).reshape(-1, 2)
 
 
-_FIELDS = [("name", pa.int64()), ("block", pa.int64()), ("key", pa.int64()), ("size", pa.int32()), ("place", pa.int64())]
-ANCHORS = pa.schema([*_FIELDS, ("state", pa.int8()), ("hot", pa.bool_()), ("deal", pa.int64())])
-_ANCHORS = "name long, block long, key long, size int, place long, state byte, hot boolean, deal long"
+_FIELDS = [("name", pa.int64()), ("key", pa.int64()), ("check", pa.int64()), ("place", pa.int64())]
+ANCHORS = pa.schema([_FIELDS[0], ("block", pa.int64()), ("twin", pa.int64()), *_FIELDS[1:], ("state", pa.int8()), ("hot", pa.bool_()), ("deal", pa.int64())])
+_ANCHORS = "name long, block long, twin long, key long, check long, place long, state byte, hot boolean, deal long"
 #: States of a row: one anchor, one of several with its block, or a run of starts that are settled.
 SINGLE, SEVERAL, RUN = 0, 1, 2
 HELD = 400_000
 
 
-def _reduced(name, block, key, size, place, hot: np.ndarray) -> pa.RecordBatch:
+def _reduced(name, block, twin, key, check, place, hot: np.ndarray) -> pa.RecordBatch:
     """The rows that a task sends for its anchors: one for each block, and the starts of blocks that it has met twice as runs.
 
     So rows that are alike are dealt by name once a task, and runs by where they are.
     """
-    order = np.lexsort((block, name))
-    name, block, key, size, place = (x[order] for x in (name, block, key, size, place))
+    order = np.lexsort((twin, block, name))
+    name, block, twin, key, check, place = (x[order] for x in (name, block, twin, key, check, place))
     new = np.ones(len(name), bool)
-    new[1:] = (name[1:] != name[:-1]) | (block[1:] != block[:-1])
+    new[1:] = (name[1:] != name[:-1]) | (block[1:] != block[:-1]) | (twin[1:] != twin[:-1])
     begin = np.flatnonzero(new)
     count = np.diff(np.append(begin, len(name)))
     state = np.where(count > 1, SEVERAL, SINGLE).astype(np.int8)
     busy = np.isin(name[begin], hot)
-    own = [x[begin] for x in (name, block, key, size, place)]
+    own = [x[begin] for x in (name, block, twin, key, check, place)]
     met = np.flatnonzero(np.repeat(count > 1, count))
     at = place[met] >> 16
     first, last = at - (place[met] >> 8 & 255), at - (place[met] & 255)
-    order = np.lexsort((first, size[met], key[met]))
-    k, n, first, last = key[met][order], size[met][order], first[order], last[order]
+    order = np.lexsort((first, check[met], key[met]))
+    k, n, first, last = key[met][order], check[met][order], first[order], last[order]
     fresh = np.ones(len(k), bool)
     fresh[1:] = (k[1:] != k[:-1]) | (n[1:] != n[:-1]) | (first[1:] > last[:-1] + 1)
     start = np.flatnonzero(fresh)
@@ -103,7 +109,7 @@ def _reduced(name, block, key, size, place, hot: np.ndarray) -> pa.RecordBatch:
     k, n, first = k[start], n[start], first[start]
     with np.errstate(over="ignore"):
         spread = (k ^ (first << 20)) * np.int64(0x5851F42D4C957F2D)
-    columns = [np.concatenate(c) for c in zip(own, [spread, np.zeros_like(spread), k, n, (first << 31) | last], strict=True)]
+    columns = [np.concatenate(c) for c in zip(own, [spread, np.zeros_like(spread), np.zeros_like(spread), k, n, (first << 31) | last], strict=True)]
     return pa.RecordBatch.from_arrays(
         [pa.array(c) for c in columns] + [pa.array(np.concatenate([state, np.full(len(k), RUN, np.int8)])), pa.array(np.concatenate([busy, np.zeros(len(k), bool)])), pa.array(np.concatenate([np.where(busy, own[1], own[0]), spread]))], schema=ANCHORS
     )
@@ -117,10 +123,10 @@ def _found(length: int, gram: int, hot):
         def reduced():
             return _reduced(*(np.concatenate(c) for c in zip(*held, strict=True)), hot.value)
 
-        for key, n, text in rows(batches, "key", "size", "text"):
-            if n >= length:
-                name, block, at, first, last = anchors(text, length, gram)
-                held.append((name, block, np.full(len(at), key), np.full(len(at), n, np.int32), (at << 16) | ((at - first) << 8) | (at - last)))
+        for key, check, text in rows(batches, "key", "check", "text"):
+            if len(text) >= length:
+                name, block, twin, at, first, last = anchors(text, length, gram)
+                held.append((name, block, twin, np.full(len(at), key), np.full(len(at), check), (at << 16) | ((at - first) << 8) | (at - last)))
                 size += len(at)
                 if size >= HELD:
                     yield reduced()
@@ -133,8 +139,8 @@ def _found(length: int, gram: int, hot):
 
 def _names(length: int, gram: int):
     def run(batches):
-        for _, n, text in rows(batches, "key", "size", "text"):
-            if n >= length:
+        for (text,) in rows(batches, "text"):
+            if len(text) >= length:
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(anchors(text, length, gram)[0]))], names=["name"])
 
     return run
@@ -147,13 +153,13 @@ def hot_names(texts: DataFrame, length: int, gram: int) -> np.ndarray:
     """
     sample = texts.filter((F.col("size") >= length) & (F.pmod("key", F.lit(64)) == 0))
     least = max(64, sample.count() // 1000)
-    named = sample.select("key", "size", "text").mapInArrow(_names(length, gram), "name long")
+    named = sample.select("text").mapInArrow(_names(length, gram), "name long")
     return np.sort(named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("name").toArrow().column("name").to_numpy())
 
 
 REPEATED, ALONE, WITNESS, SETTLED = 1, 2, 3, 4
 KINDS = pa.schema([("kind", pa.int32()), *_FIELDS])
-_KINDS = "kind int, name long, block long, key long, size int, place long"
+_KINDS = "kind int, name long, key long, check long, place long"
 
 
 def _kinds(batches):
@@ -167,7 +173,7 @@ def _kinds(batches):
     def told(kind: int, flags: np.ndarray, columns: list) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(flags)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), *(pa.array(x[at]) for x in columns[:5])], schema=KINDS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), *(pa.array(columns[k][at]) for k in (0, 3, 4, 5))], schema=KINDS)
 
     def decided(columns, same_name, same_block, others, upto):
         n = len(same_name)
@@ -177,7 +183,7 @@ def _kinds(batches):
         led[0] |= bool(same_block[0] and others)
         start = np.maximum.accumulate(np.where(~same_block | (np.arange(n) == 0), np.arange(n), 0))
         other = led[start]
-        state, hot = columns[5], columns[6]
+        state, hot = columns[6], columns[7]
         settled = state == RUN
         repeats = ~settled & (same_block | ahead_block | (state == SEVERAL))
         alone = ~settled & ~repeats & (hot | same_name | ahead_name)
@@ -190,12 +196,12 @@ def _kinds(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(8)]
         if held is not None:
             columns = [np.concatenate([a, b]) for a, b in zip(held[0], columns, strict=True)]
-        name, block = columns[0], columns[1]
+        name, block, twin = columns[:3]
         same_name = np.concatenate([[False], name[1:] == name[:-1]])
-        same_block = same_name & np.concatenate([[False], block[1:] == block[:-1]])
+        same_block = same_name & np.concatenate([[False], (block[1:] == block[:-1]) & (twin[1:] == twin[:-1])])
         others = False
         if held is not None:
             same_name[0], same_block[0], others = held[1:]
@@ -205,8 +211,8 @@ def _kinds(batches):
         yield from decided(held[0], np.array([held[1]]), np.array([held[2]]), held[3], 1)
 
 
-BLOCKS = pa.schema([("name", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("size", pa.int32()), ("place", pa.int64()), ("bytes", pa.binary())])
-STARTS = pa.schema([("hash", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("size", pa.int32()), ("start", pa.int64())])
+BLOCKS = pa.schema([("name", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("check", pa.int64()), ("place", pa.int64()), ("bytes", pa.binary())])
+STARTS = pa.schema([("hash", pa.int64()), ("twin", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("check", pa.int64()), ("start", pa.int64())])
 
 
 def _span(place: int, length: int) -> tuple[int, int, int]:
@@ -217,18 +223,18 @@ def _span(place: int, length: int) -> tuple[int, int, int]:
 
 def _blocks(length: int):
     def run(batches):
-        for key, size, text, marks in rows(batches, "key", "size", "text", "marks", step=64):
+        for key, check, text, marks in rows(batches, "key", "check", "text", "marks", step=64):
             out = []
             for m in marks:
                 _, a, b = _span(m["place"], length)
-                out.append((m["name"], m["kind"], key, size, m["place"], text[a:b]))
+                out.append((m["name"], m["kind"], key, check, m["place"], text[a:b]))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), BLOCKS, strict=True)], schema=BLOCKS)
 
     return run
 
 
-COVERED = pa.schema([("key", pa.int64()), ("size", pa.int32()), ("first", pa.int64()), ("last", pa.int64())])
-_COVERED = "key long, size int, first long, last long"
+COVERED = pa.schema([("key", pa.int64()), ("check", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+_COVERED = "key long, check long, first long, last long"
 
 
 def repeats(blocks: list[bytes], length: int) -> list[np.ndarray]:
@@ -250,6 +256,11 @@ def repeats(blocks: list[bytes], length: int) -> list[np.ndarray]:
     (prefix,) = window_hashes(whole, length)
     own = prefix[order]
     alike = own[1:] == own[:-1]
+    strings = np.lib.stride_tricks.sliding_window_view(np.frombuffer(whole, np.uint8), length)
+    met = np.flatnonzero(alike)
+    for at in range(0, len(met), 4096):  # the bytes themselves
+        part = met[at : at + 4096]
+        alike[part] = (strings[order[part]] == strings[order[part + 1]]).all(1)
     again = np.zeros(len(s), bool)
     again[order[1:][alike]] = True
     again[order[:-1][alike]] = True
@@ -275,7 +286,7 @@ def _sorted(length: int):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), COVERED, strict=True)], schema=COVERED)
 
-        for r in rows(batches, "name", "kind", "key", "size", "place", "bytes"):
+        for r in rows(batches, "name", "kind", "key", "check", "place", "bytes"):
             if size >= SORTED_BYTES and r[0] != held[-1][0]:
                 yield from covered()
                 held, size = [], 0
@@ -289,38 +300,38 @@ def _sorted(length: int):
 
 def _starts(length: int):
     def run(batches):
-        for _, kind, key, size, place, block in rows(batches, "name", "kind", "key", "size", "place", "bytes"):
-            (found,) = window_hashes(block, length)
-            n = len(found)
+        for kind, key, check, place, block in rows(batches, "kind", "key", "check", "place", "bytes"):
+            n = len(block) - length + 1
+            found = _digests(block[k : k + length] for k in range(n))
             _, begin, _ = _span(place, length)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, key)), pa.array(np.full(n, size, np.int32)), pa.array(begin + np.arange(n))], schema=STARTS)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, key)), pa.array(np.full(n, check)), pa.array(begin + np.arange(n))], schema=STARTS)
 
     return run
 
 
 def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST_BLOCKS) -> DataFrame:
-    """(key, size, first, last): runs of starts of strings that start elsewhere too; texts: (id, key, size, text)."""
+    """(key, check, first, last): runs of starts of strings that start elsewhere too; texts: (id, key, check, size, text)."""
     spark = texts.sparkSession
-    long_ = texts.filter(F.col("size") >= length).select("key", "size", "text")
+    long_ = texts.filter(F.col("size") >= length).select("key", "check", "text")
     hot = spark.sparkContext.broadcast(hot_names(texts, length, gram))
     found = long_.mapInArrow(_found(length, gram, hot), _ANCHORS)
-    kinds = stored(found.repartition("deal").sortWithinPartitions("name", "block", "key", "place").mapInArrow(_kinds, _KINDS))
+    kinds = stored(found.repartition("deal").sortWithinPartitions("name", "block", "twin", "key", "place").mapInArrow(_kinds, _KINDS))
     at, before, behind = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(255)), F.col("place").bitwiseAND(F.lit(255))
-    whole = kinds.filter(F.col("kind") == REPEATED).select("key", "size", (at - before).alias("first"), (at - behind).alias("last"))
-    settled = kinds.filter(F.col("kind") == SETTLED).select("key", "size", F.shiftright("place", 31).alias("first"), F.col("place").bitwiseAND(F.lit(_PLACE)).alias("last"))
+    whole = kinds.filter(F.col("kind") == REPEATED).select("key", "check", (at - before).alias("first"), (at - behind).alias("last"))
+    settled = kinds.filter(F.col("kind") == SETTLED).select("key", "check", F.shiftright("place", 31).alias("first"), F.col("place").bitwiseAND(F.lit(_PLACE)).alias("last"))
     whole = whole.unionByName(settled)
     open_ = kinds.filter(F.col("kind").isin(ALONE, WITNESS))
     crowded = stored(open_.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("name"))
-    one = texts.groupBy("key", "size").agg(F.min("id").alias("chosen"))  # of equal texts, one gives the blocks
-    marks = open_.groupBy("key", "size").agg(F.collect_list(F.struct("name", "kind", "place")).alias("marks")).join(one, ["key", "size"])
-    met = texts.join(marks, ["key", "size"]).filter(F.col("id").eqNullSafe(F.col("chosen")))
-    blocks = stored(met.select("key", "size", "text", "marks").mapInArrow(_blocks(length), "name long, kind int, key long, size int, place long, bytes binary"))
+    one = texts.groupBy("key", "check").agg(F.min("id").alias("chosen"))  # of equal texts, one gives the blocks
+    marks = open_.groupBy("key", "check").agg(F.collect_list(F.struct("name", "kind", "place")).alias("marks")).join(one, ["key", "check"])
+    met = texts.join(marks, ["key", "check"]).filter(F.col("id").eqNullSafe(F.col("chosen")))
+    blocks = stored(met.select("key", "check", "text", "marks").mapInArrow(_blocks(length), "name long, kind int, key long, check long, place long, bytes binary"))
     few = blocks.join(crowded, "name", "left_anti").repartition("name").sortWithinPartitions("name")
     own = few.select(*BLOCKS.names).mapInArrow(_sorted(length), _COVERED)
-    many = blocks.join(crowded, "name", "left_semi").select(*BLOCKS.names).mapInArrow(_starts(length), "hash long, kind int, key long, size int, start long")
-    where = F.xxhash64("key", "size", "start")
-    again = many.groupBy("hash").agg(F.min(where).alias("a"), F.max(where).alias("b")).filter("a <> b").select("hash")
-    rest = many.filter(F.col("kind") == ALONE).join(again, "hash", "left_semi").select("key", "size", F.col("start").alias("first"), F.col("start").alias("last"))
+    many = blocks.join(crowded, "name", "left_semi").select(*BLOCKS.names).mapInArrow(_starts(length), "hash long, twin long, kind int, key long, check long, start long")
+    where = F.struct("key", "check", "start")
+    again = many.groupBy("hash", "twin").agg(F.min(where).alias("a"), F.max(where).alias("b")).filter("a <> b").select("hash", "twin")
+    rest = many.filter(F.col("kind") == ALONE).join(again, ["hash", "twin"], "left_semi").select("key", "check", F.col("start").alias("first"), F.col("start").alias("last"))
     return whole.unionByName(own).unionByName(rest)
 
 
@@ -362,9 +373,9 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if length - gram > 255 or gram > length:
         raise ValueError("an anchor is at most 255 bytes into its string")
     text = as_bytes(text_col)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), F.octet_length(text).alias("size"), text.alias("text"))
-    runs = repeated_starts(texts, length, gram, most).distinct().groupBy("key", "size").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    joined = texts.join(runs, ["key", "size"], "left").select("id", "text", "runs")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), F.xxhash64(F.lit(1), text).alias("check"), F.octet_length(text).alias("size"), text.alias("text"))
+    runs = repeated_starts(texts, length, gram, most).distinct().groupBy("key", "check").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    joined = texts.join(runs, ["key", "check"], "left").select("id", "text", "runs")
     return joined.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
 
 

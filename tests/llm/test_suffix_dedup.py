@@ -64,6 +64,29 @@ def test_anchors_are_shared():
     rng = random.Random(3)
     middle = bytes(rng.choice(b"abc ") for _ in range(200))
     one, two = b"x" * 77 + middle, b"yz" * 100 + middle + b"tail" * 50
-    (n1, b1, p1, f1, l1), (n2, b2, p2, f2, l2) = suffix_dedup.anchors(one), suffix_dedup.anchors(two)
+    (_, _, _, p1, f1, l1), (_, _, _, p2, f2, l2) = suffix_dedup.anchors(one), suffix_dedup.anchors(two)
     at = lambda f, l, p, s: next(int(p[k]) for k in range(len(p)) if f[k] <= s <= l[k])  # noqa: E731, E741
     assert at(f1, l1, p1, 77) - 77 == at(f2, l2, p2, 200) - 200
+
+
+def test_neighbours_are_compared_by_their_bytes(monkeypatch):
+    """With a hash that says that all strings are equal, the result is that of the bytes."""
+    rng = random.Random(5)
+    blocks = [bytes(rng.choice(b"ab") for _ in range(60)) for _ in range(20)] + [b"ab" * 30]
+    seen = Counter(b[k : k + 12] for b in blocks for k in range(len(b) - 11))
+    monkeypatch.setattr(suffix_dedup, "window_hashes", lambda text, *sizes: [np.zeros(len(text) - n + 1, np.uint64) for n in sizes])
+    got = suffix_dedup.repeats(blocks, 12)
+    assert [g.tolist() for g in got] == [[seen[b[k : k + 12]] > 1 for k in range(len(b) - 11)] for b in blocks]
+
+
+def test_long_texts_null_ids_and_clashing_columns(spark):
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(70_000))
+    texts = [long, "x" * 40_000, long[30_000:31_000] + "tail", long, None, "", "x" * 199, "x" * 200]
+    ids = [1, 2, 3, None, None, 5, 6, 7]
+    rows = [(i, t, 1, 2, "c") for i, t in zip(ids, texts, strict=True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int, check int, size string").repartition(4)
+    got = suffix_dedup.cut_repeats(df).collect()
+    want = brute([(t or "").encode() for t in texts], 200)
+    order = lambda r: (str(r[0]), r[1])
+    assert sorted((tuple(r)[:5] for r in got), key=order) == sorted(((i, *w) for i, w in zip(ids, want, strict=True)), key=order)
