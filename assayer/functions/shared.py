@@ -9,17 +9,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that executors share, spark.checkpoint.dir; where it is unset, as in tests, a new local one."""
+    """The folder that executors share, spark.checkpoint.dir. Where it is unset, a local master, as in tests, takes a new local one; a cluster must name it."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession) -> str:
+    """A path for a table of this application in the shared folder."""
+    return f"{_own_dir(spark)}/{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Deletes the tables that this application has stored; to be called when a job's results have been written or read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
