@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import as_bytes, held_out, rows, table
+from assayer.llm.common import as_bytes, free_names, held_out, rows, table
 
 FEATURES, SMOOTHING, SHARP, AMBIGUOUS = 8192, 0.5, 4.0, 0.005
 CHUNK = 1 << 19
@@ -37,7 +37,10 @@ def features(texts: list[bytes]) -> np.ndarray:
     two = s[1:] | (s[:-1] << 8)
     three = two[1:] | (s[:-2] << 16)
     doc3 = doc[2:] if len(doc) > 2 else doc[:0]
-    keep = three != 0x202020
+    inner = np.ones(len(s), bool)  # n-grams that end in the spaces before a text would hold the end of the text before it
+    starts = np.cumsum(sizes) - sizes
+    inner[starts] = inner[starts + 1] = False
+    keep = (three != 0x202020) & inner[2:]
     out = np.zeros(len(texts) * FEATURES, np.int64)
     for code, ok in ((three, keep), (two[1:] + (1 << 24), keep & (two[1:] != 0x2020))):
         slot = ((code * _MULTIPLIER) >> 15) & (FEATURES - 1)
@@ -157,7 +160,8 @@ def identify(docs: DataFrame, coder: Coder, text_col: str = "text") -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(coder)  # languages by features, whatever the input's size
     own = docs.drop(*PREDICTED.names)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema), "lang_pred string, score double, ambiguous boolean"])
-    return own.select("*", as_bytes(text_col).alias("__bytes")).mapInArrow(_predict(shared), schema)
+    (copy,) = free_names(own, "bytes")
+    return own.withColumn(copy, as_bytes(text_col)).mapInArrow(_predict(shared), schema)
 
 
 def op5(spark, sf_dir):
