@@ -1,7 +1,7 @@
 """Lexical retrieval packing: documents are cut into windows of tokens next to documents that share their rare words.
 
-Documents are dealt to shards by the signs of random projections of their token sets, so that like documents meet. Each
-shard is an inverted index with BM25 weights from the document frequencies of the whole corpus. A window's seed queries
+Documents are dealt to shards in the order of two weighted min-hashes of their token sets, so that documents which share
+most of their rare tokens meet. Each shard is an inverted index with BM25 weights from the document frequencies of the whole corpus. A window's seed queries
 its shard, and the best unused neighbours follow until the window is full; what doesn't fit is the next window's seed.
 """
 
@@ -24,9 +24,10 @@ from assayer.llm.common import as_bytes, rows, stored, table
 WINDOW, END = 4096, 2
 K1, SLOPE, QUERY_TERMS = 1.2, 0.75, 24
 SHARD_TOKENS, TASK_TOKENS = 1_500_000, 8_000_000
-SIGNS = 31
 #: Tokens of so many parts of text are held by a worker; beyond that, they are met anew.
 WORDS = 1_000_000
+#: Longer parts aren't held.
+LONG_PART = 64
 
 _tokenizers: dict[str, object] = {}
 _known: dict[str, Known] = {}
@@ -64,7 +65,9 @@ class Known(dict):
             ids = [t.id for t in self.word(part if part.isascii() else self.letters(part)[0][0])]
         else:
             ids = self.whole.encode(part, add_special_tokens=False).ids
-        self[part] = found = array(self.kind, ids).tobytes()
+        found = array(self.kind, ids).tobytes()
+        if len(part) <= LONG_PART:
+            self[part] = found
         return found
 
 
@@ -93,13 +96,29 @@ def encode(texts: list[str], path: str, kind: str, by_word: bool = True) -> list
     return [b"".join(map(known.__getitem__, _parts(t))) for t in texts]
 
 
-ENCODED = pa.schema([("id", pa.int64()), ("place", pa.int32()), ("n", pa.int64()), ("ids", pa.binary())])
+def chances(size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Two min-hashes: for each token an exponential draw, the smaller the rarer the token, and a random label.
+
+    Of two sets, the token with the least draw is the same with the chance of their weighted Jaccard similarity. Tokens of a
+    merged vocabulary stand in the order of their frequency, so weights grow with the id.
+    """
+    rng = np.random.default_rng(11)
+    weight = np.log(2 + np.maximum(0, np.arange(size) - 512.0))
+    return [(-np.log(rng.random(size)) / weight, rng.permutation(size)) for _ in range(2)]
+
+
+def place(terms: np.ndarray, draws: list[tuple[np.ndarray, np.ndarray]]) -> int:
+    """A document's place in the order of shards, by its distinct tokens."""
+    first, second = (int(label[terms[draw[terms].argmin()]]) for draw, label in draws)
+    return first << 32 | second
+
+
+ENCODED = pa.schema([("id", pa.int64()), ("place", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
 
 def _encoded(path: str, kind: str, end: int, size: int, by_word: bool):
     def run(batches):
-        signs = np.random.default_rng(11).choice(np.array([-1, 1], np.int32), size=(size, SIGNS))
-        powers = 1 << np.arange(SIGNS)
+        draws = chances(size)
         spread = np.zeros(size, np.int64)
         last = array(kind, [end]).tobytes()
         for batch in batches:
@@ -110,11 +129,11 @@ def _encoded(path: str, kind: str, end: int, size: int, by_word: bool):
                 for x in out:
                     terms = np.unique(np.frombuffer(x, kind))
                     spread[terms] += 1
-                    places.append(int(((signs[terms].sum(0) > 0) * powers).sum()))
+                    places.append(place(terms, draws))
                 width = len(last)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(places, pa.int32()), pa.array([len(x) // width for x in out], pa.int64()), pa.array(out, pa.binary())], schema=ENCODED)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(places, pa.int64()), pa.array([len(x) // width for x in out], pa.int64()), pa.array(out, pa.binary())], schema=ENCODED)
         terms = np.flatnonzero(spread)  # the partition's document frequencies, in rows of their own
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(np.full(len(terms), -1), pa.int32()), pa.array(spread[terms]), pa.nulls(len(terms), pa.binary())], schema=ENCODED)
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(np.full(len(terms), -1)), pa.array(spread[terms]), pa.nulls(len(terms), pa.binary())], schema=ENCODED)
 
     return run
 
@@ -244,6 +263,7 @@ def _packed(shared, window: int, kind: str, with_ids: bool):
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end: int = END, by_word: bool = True, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids where asked for.
 
+    A seed asks its own shard (SHARD_TOKENS) with its QUERY_TERMS heaviest terms; all unused documents there are ranked.
     A document is its ids by the tokenizer at `path`, then `end`; null and empty texts are the end alone. All sequences
     have `window` ids, but for the last of each task, which are as long as powers of two, so nothing is padded. Repeated
     rows and null ids are documents of their own; other columns are left out; an empty table gives no pieces.
@@ -252,7 +272,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     size = max(tokenizer(path).get_vocab_size(), end + 1)
     kind = "H" if size <= 1 << 16 else "I"
     own = docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("text"))
-    coded = stored(own.mapInArrow(_encoded(path, kind, end, size, by_word), "id long, place int, n long, ids binary"))
+    coded = stored(own.mapInArrow(_encoded(path, kind, end, size, by_word), "id long, place long, n long, ids binary"))
     held = coded.filter("place < 0").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(size, np.int64)
     df[held.column("id").to_numpy()] = held.column("n").to_numpy()
