@@ -59,15 +59,18 @@ def _postings() -> dict[str, list[tuple[int, int]]]:
     return found
 
 
-def _rare(t: int, order: list[str], weight: dict[str, float], most: int) -> tuple[Column, Column]:
+def _rare(order: list[str], weight: dict[str, float], most: int) -> tuple[Column, Column]:
     """Of a file's held words, the rank of the last that it looks up for a template, and the weight of those looked up.
 
     `order` has the template's words from the rarest on, so what is looked up is a prefix of what the file holds of it.
     """
-    mine = F.filter(F.transform(F.array(*[F.lit(w) for w in order]), lambda w, k: F.when(F.array_contains("held", w), k)), lambda k: k.isNotNull())
-    first = F.slice(mine, 1, most)
+    if not order:
+        return F.lit(-1), F.lit(0.0)
+    words = F.array(*[F.lit(w) for w in order])
+    first = F.slice(F.array_intersect(words, F.col("held")), 1, most)
     weights = F.array(*[F.lit(weight[w]) for w in order])
-    return F.coalesce(F.array_max(first), F.lit(-1)), F.aggregate(first, F.lit(0.0), lambda total, k: total + F.get(weights, k))
+    rank = lambda w: (F.array_position(words, w) - 1).cast("int")
+    return F.coalesce(F.array_max(F.transform(first, rank)), F.lit(-1)), F.aggregate(first, F.lit(0.0), lambda total, w: total + F.get(weights, rank(w)))
 
 
 def scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_words: int = RARE_WORDS, least: float = LEAST) -> DataFrame:
@@ -81,10 +84,10 @@ def scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_
     """
     postings = _postings()
     vocabulary = F.array(*[F.lit(w) for w in sorted(postings)])
-    keyed = files.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("key"), words(F.col(text_col)).alias("words"))
+    keyed = files.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words"))
     held = F.array_intersect("words", vocabulary)
     marks = F.array(*[F.lit(w) for w in sorted({p.split()[0] for p in BASE} | {m.split()[0] for _, m, _ in TEMPLATES})])
-    seen = stored(keyed.select("id", "key", F.size("words").cast("long").alias("n_words"), held.alias("held"), F.when(F.arrays_overlap("words", marks), F.col("words")).alias("words")))
+    seen = stored(keyed.select(F.monotonically_increasing_id().alias("row"), "id", F.size("words").cast("long").alias("n_words"), held.alias("held"), F.when(F.arrays_overlap("words", marks), F.col("words")).alias("words")))
     # The vocabulary has a fixed length, so its document frequencies are a bounded result.
     counts = {r["word"]: r["n"] for r in seen.select(F.explode("held").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = max(1, seen.count())
@@ -92,26 +95,27 @@ def scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_
 
 
 def _found(seen: DataFrame, idf: dict[str, float], rare_words: int, least: float) -> DataFrame:
-    """(i, k, own, best, templates) of the files, by id and key, in which templates are found."""
+    """(row, own, best, templates) of the rows in which templates are found."""
     spark = seen.sparkSession
-    split = [wording.split() for _, _, wording in TEMPLATES]
+    split, phrases = [wording.split() for _, _, wording in TEMPLATES], [phrase.split() for _, phrase, _ in TEMPLATES]
     order = [sorted((w for w in set(ws) if w in idf), key=lambda w: (-idf[w], w)) for ws in split]
     rank = {(t, w): n for t, ws in enumerate(order) for n, w in enumerate(ws)}
-    rare = [_rare(t, ws, {w: idf[w] * split[t].count(w) for w in ws}, rare_words) if ws else (F.lit(-1), F.lit(0.0)) for t, ws in enumerate(order)]
-    index = [(w, t, pos, rank[t, w], idf[w]) for t, ws in enumerate(split) for pos, w in enumerate(ws) if w in idf]
-    posted = F.broadcast(spark.createDataFrame(index, "word string, template int, pos int, rank int, idf double"))  # as many rows as the templates have words
-    names = F.broadcast(spark.createDataFrame([(t, x[0], x[1], x[1].split()[0], len(split[t])) for t, x in enumerate(TEMPLATES)], "template int, label string, phrase string, opener string, size int"))
-    some = seen.filter(F.col("words").isNotNull()).dropDuplicates(["id", "key"])
-    asked = some.select("id", "key", F.array(*[upto for upto, _ in rare]).alias("upto"), F.array(*[w for _, w in rare]).alias("weight"), F.posexplode("words").alias("at", "word"))
-    hits = asked.join(posted, "word").filter(F.col("rank") <= F.get("upto", F.col("template")))
-    votes = hits.groupBy("id", "key", "template", (F.col("at") - F.col("pos")).alias("begin")).agg(F.sum("idf").alias("votes"), F.first(F.get("weight", F.col("template"))).alias("weight"))
-    placed = votes.withColumn("share", F.round(F.least(F.lit(1.0), F.col("votes") / F.col("weight")), 6)).filter(F.col("share") >= least).join(names, "template")
-    whole = some.select(F.col("id").alias("i"), F.col("key").alias("k"), "words")
-    met = placed.join(whole, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")))
-    from_ = F.greatest(F.lit(0), F.col("begin") - SLACK)
-    around = F.concat(F.lit(" "), F.array_join(F.slice("words", from_ + 1, F.greatest(F.lit(0), F.col("begin") + F.col("size") - from_)), " "), F.lit(" "))
-    sure = met.filter(F.contains(around, F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))).groupBy("i", "k", "template", "label").agg(F.max("share").alias("share"))
-    return stored(sure.groupBy("i", "k").agg(F.array_sort(F.collect_set("label")).alias("own"), F.max("share").alias("best"), F.count(F.lit(1)).alias("templates")))
+    rare = [_rare(ws, {w: idf[w] * split[t].count(w) for w in ws}, rare_words) for t, ws in enumerate(order)]
+    # The lookups are written, so that they are worked out once a file and not once a word.
+    some = stored(seen.filter(F.col("words").isNotNull()).select("row", "words", F.array(*[upto for upto, _ in rare]).alias("upto"), F.array(*[w for _, w in rare]).alias("weight")))
+    index = [(w, False, t, pos, rank[t, w], idf[w]) for t, ws in enumerate(split) for pos, w in enumerate(ws) if w in idf]
+    index += [(w, True, t, pos, -2, 1.0) for t, ws in enumerate(phrases) for pos, w in enumerate(ws)]
+    posted = F.broadcast(spark.createDataFrame(index, "word string, phrase boolean, template int, pos int, rank int, idf double"))  # as many rows as the templates have words
+    names = F.broadcast(spark.createDataFrame([(t, x[0], len(split[t]), len(phrases[t])) for t, x in enumerate(TEMPLATES)], "template int, label string, size int, words int"))
+    hits = some.select("row", "upto", "weight", F.posexplode("words").alias("at", "word")).join(posted, "word").filter(F.col("rank") <= F.get("upto", F.col("template")))
+    votes = hits.groupBy("row", "template", "phrase", (F.col("at") - F.col("pos")).alias("begin")).agg(F.sum("idf").alias("votes"), F.first(F.get("weight", F.col("template"))).alias("weight"))
+    share = F.round(F.least(F.lit(1.0), F.col("votes") / F.col("weight")), 6)
+    met = votes.join(names, "template").withColumn("share", F.when(~F.col("phrase"), share)).filter(F.when(F.col("phrase"), F.col("votes") == F.col("words")).otherwise(F.col("share") >= least))
+    met = stored(met.select("row", "template", "label", "size", "words", "phrase", "begin", "share"))
+    said = met.filter("phrase").select("row", "template", F.col("begin").alias("from"), (F.col("begin") + F.col("words")).alias("to"))
+    inside = (F.col("from") >= F.col("begin") - SLACK) & (F.col("to") <= F.col("begin") + F.col("size"))
+    sure = met.filter("NOT phrase").join(said, ["row", "template"]).filter(inside).groupBy("row", "template", "label").agg(F.max("share").alias("share"))
+    return stored(sure.groupBy("row").agg(F.array_sort(F.collect_set("label")).alias("own"), F.max("share").alias("best"), F.count(F.lit(1)).alias("templates")))
 
 
 def _label(seen: DataFrame, idf: dict[str, float], rare_words: int, least: float) -> DataFrame:
@@ -120,8 +124,7 @@ def _label(seen: DataFrame, idf: dict[str, float], rare_words: int, least: float
     places = F.concat(*[F.col(f"b{k}") for k in range(len(base))])
     row = row.withColumn("places", places).withColumn("base", F.array_sort(F.array_compact(F.array(*[F.when(F.size(f"b{k}") > 0, F.lit(x)) for k, x in enumerate(BASE.values())]))))
     if idf:
-        found = _found(seen, idf, rare_words, least)
-        row = row.join(found, row["id"].eqNullSafe(found["i"]) & (row["key"] == found["k"]), "left")
+        row = row.join(_found(seen, idf, rare_words, least), "row", "left")
     else:
         row = row.withColumns({"own": F.lit(None).cast("array<string>"), "best": F.lit(None).cast("double"), "templates": F.lit(None).cast("long")})
     own = F.coalesce("own", F.array().cast("array<string>"))
