@@ -12,15 +12,28 @@ from pyspark.sql import types as T
 
 from assayer.functions.lexicon import DIRECTIVE_STARTS, DIRECTIVES, IMPERATIVES
 
+#: Characters that ingest reads of a text at most; letters of a sentence.
 LONGEST, SHORT, LONG = 200_000, 8, 400
-# Elements that go with their content, top-level domains of bare links, entities that are decoded.
+# Elements that go with their content, top-level domains of bare links, entities that are decoded, patterns of markup and of what is cleaned away.
 HIDDEN = "script|style|iframe|object|embed|template|noscript|svg"
 DOMAINS = "com|org|net|io|gov|edu|co|uk|ai|dev|info|xyz|ru|cn"
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—", "hellip": "…", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "copy": "©", "reg": "®", "trade": "™", "deg": "°", "plusmn": "±", "times": "×", "middot": "·"}
+ENTITY = r"&(?:#([0-9]+)|#[xX]([0-9a-fA-F]+)|([a-zA-Z][a-zA-Z0-9]*));?"
+MARKUP = [r"<!--.*?-->", rf"(?i)<({HIDDEN})\b.*?</\1\s*>", r"<[^>]{0,2000}>"]
+LINKS = rf"(?iuU)(?:\b[a-z][a-z0-9+.-]{{1,15}}://|\bwww\.)\S+|\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\b(?:[a-z0-9-]+\.)+(?:{DOMAINS})\b(?:/\S*)?"
+CLEANED = [
+    (r"[\p{Cc}\p{Cf}\p{Co}\p{Cs}\p{Cn}&&[^\n]]", ""),
+    (r"!?\[([^\]]*)\]\([^)]*\)", "$1"),
+    (LINKS, " "),
+    (r"[*_`#>|~\[\]{}\\^=<]+", " "),
+    (r"[ \t\r\f\x0B]+", " "),
+    (r"(?mU)^[\s&&[^\n]]+|[\s&&[^\n]]+$", ""),
+]
 # End of the fixed values.
 
-_ENTITY = re.compile(r"&(?:#([0-9]+)|#[xX]([0-9a-fA-F]+)|([a-zA-Z][a-zA-Z0-9]*));?")
-_MARKUP = [(re.compile(r"<!--.*?-->", re.S), " "), (re.compile(rf"<({HIDDEN})\b.*?</\1\s*>", re.S | re.I), " "), (re.compile(r"<[^>]{0,2000}>"), " ")]
+#: What every link has, as it is found faster.
+_LINKED = rf"(?iu)://|www\.|@|\.(?:{DOMAINS})"
+_ENTITY, _MARKUP = re.compile(ENTITY), [re.compile(p, re.S) for p in MARKUP]
 
 
 def _character(m: re.Match) -> str:
@@ -35,35 +48,39 @@ def _plain(text: str | None) -> str | None:
     """What Spark's functions can't do: entities that hide markup, and composed characters."""
     if text is None:
         return None
-    text = text[:LONGEST].replace("\t", " ")
     for _ in range(3):
         before = text
         text = _ENTITY.sub(_character, text) if "&" in text else text
         if "<" in text:
-            for pattern, by in _MARKUP:
-                text = pattern.sub(by, text)
+            for pattern in _MARKUP:
+                text = pattern.sub(" ", text)
         if text == before:
             break
     return text if text.isascii() else unicodedata.normalize("NFKC", text)
 
 
 @F.pandas_udf(T.StringType())
-def plain_text(texts: pd.Series) -> pd.Series:
+def _plain_text(texts: pd.Series) -> pd.Series:
     return texts.map(_plain, na_action="ignore").astype(object).where(texts.notna(), None)
 
 
-def clean(text: Column | str) -> Column:
-    """Text without markup, links, formatting and invisible characters; lines stay. Null stays null."""
-    t = plain_text(F.col(text) if isinstance(text, str) else text)
-    for pattern, by in (
-        (r"[\p{Cc}\p{Cf}\p{Co}\p{Cs}\p{Cn}&&[^\n]]", ""),
-        (r"!?\[([^\]]*)\]\([^)]*\)", "$1"),
-        (rf"(?iuU)(?:\b[a-z][a-z0-9+.-]{{1,15}}://|\bwww\.)\S+|\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\b(?:[a-z0-9-]+\.)+(?:{DOMAINS})\b(?:/\S*)?", " "),
-        (r"[*_`#>|~\[\]{}\\^=<]+", " "),
-        (r"[ \t\r\f\x0B]+", " "),
-        (r"(?mU)^[\s&&[^\n]]+|[\s&&[^\n]]+$", ""),
-    ):
-        t = F.regexp_replace(t, pattern, by)
+#: Said to be nondeterministic so that no plan runs it twice or below a filter.
+plain_text = _plain_text.asNondeterministic()
+
+
+def clean(text: Column | str, longest: int | None = None) -> Column:
+    """Text without markup, links, formatting and invisible characters; lines stay. Null stays null.
+
+    longest: only so many characters are read, as ingest does; else the whole text. ASCII texts without markup or
+    references never leave the JVM.
+    """
+    t = F.col(text) if isinstance(text, str) else text
+    t = F.translate(t if longest is None else F.substring(t, 1, longest), "\t", " ")
+    odd = t.rlike(r"[^\x00-\x7F]|[&<]")
+    t = F.when(odd, plain_text(F.when(odd, t))).otherwise(t)
+    for pattern, by in CLEANED:
+        replaced = F.regexp_replace(t, pattern, by)
+        t = F.when(t.rlike(_LINKED), replaced).otherwise(t) if pattern == LINKS else replaced
     return t
 
 
@@ -79,12 +96,14 @@ def is_directive(sentence: Column | str) -> Column:
     opener = rf"\A[,.]*(?:{'|'.join(IMPERATIVES)})[,.]*(?: |\z)"
     starts = "|".join(re.escape(x) for x in DIRECTIVE_STARTS).replace("\\ ", " ")
     rules = "|".join(f"(?:{p})" for p in DIRECTIVES)
-    return s.rlike(opener) | s.rlike(rf"\A(?:{starts})") | s.rlike(f"(?iuU){rules}")
+    # Letters of ASCII need no tables of Unicode.
+    anywhere = F.when(s.rlike(r"[^\x00-\x7F]"), s.rlike(f"(?iuU){rules}")).otherwise(s.rlike(f"(?i){rules}"))
+    return s.rlike(opener) | s.rlike(rf"\A(?:{starts})") | anywhere
 
 
-def sentences(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def sentences(docs: DataFrame, text_col: str = "text", longest: int | None = None) -> DataFrame:
     """docs with cleaned, sentences (the declarative ones) and dropped (how many were directive) behind; a null text has none."""
-    parts = docs.withColumn("cleaned", clean(text_col)).withColumn("__parts", F.coalesce(sentence_parts("cleaned"), F.array().cast("array<string>")))
+    parts = docs.withColumn("cleaned", clean(text_col, longest)).withColumn("__parts", F.coalesce(sentence_parts("cleaned"), F.array().cast("array<string>")))
     kept = F.filter("__parts", lambda p: ~is_directive(p))
     return parts.withColumn("sentences", kept).withColumn("dropped", (F.size("__parts") - F.size("sentences")).cast("long")).drop("__parts")
 

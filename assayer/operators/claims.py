@@ -26,7 +26,7 @@ def parse(requests: DataFrame) -> DataFrame:
     A claim is the best reading of a declarative sentence; requests without any give no row.
     """
     said = text.sentences(requests.select("request_id", "text")).select("request_id", F.posexplode("sentences").alias("place", "sentence"))
-    best = said.join(ingest.parse(said), "sentence").withColumn("r", F.get("readings", F.lit(0))).filter("r IS NOT NULL")
+    best = said.select("*", *ingest.sentence_ids()).join(ingest.parse(said).drop("sentence"), ["s1", "s2"]).withColumn("r", F.get("readings", F.lit(0))).filter("r IS NOT NULL")
     return best.select(
         "request_id", (F.col("place") + 1).alias("place"), F.col("sentence").alias("text"), F.col("r.subject").alias("subject"), F.col("r.predicate").alias("predicate"), F.col("r.object").alias("object"),
         nlp.stems("r.subject").alias("s"), nlp.stems("r.object").alias("o"), nlp.polarity("r.predicate", "r.object").alias("pol"), nlp.route_key(F.concat_ws(" ", "r.subject", "r.object")).alias("key"),

@@ -2,53 +2,85 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import readings, text
+from assayer.functions.shared import stored
 from assayer.operators import gate, store
 
 MOST_PER_DOC = 200
 
 
+def sentence_ids() -> list:
+    """128 bits that stand for a sentence, so that no shuffle but the first carries it."""
+    return [F.xxhash64("sentence").alias("s1"), F.xxhash64(F.lit(1), "sentence").alias("s2")]
+
+
+class Heard(NamedTuple):
+    """What the admitted docs say, cleaned once: docs (doc, source, added, trust_q, parts, pairs), and their distinct sentences, read once."""
+
+    docs: DataFrame
+    read: DataFrame
+
+
 def parse(sentences: DataFrame) -> DataFrame:
-    """(sentence, readings) of the distinct sentences, so that each is read once.
+    """(s1, s2, sentence, directive, readings) of the distinct sentences, written, so that each is read once; directive ones have no readings.
 
     They are dealt anew, as reading costs more than their size tells.
     """
     n = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sentences.select("sentence").distinct().repartition(n).withColumn("readings", readings.voted_readings("sentence"))
+    told = sentences.select("sentence").distinct().repartition(n).withColumn("directive", text.is_directive("sentence"))
+    said = readings.voted_readings(F.when(~F.col("directive"), F.col("sentence")))
+    return stored(told.select(*sentence_ids(), "sentence", "directive", said.alias("readings")))
+
 
+def hear(docs: DataFrame, trust: DataFrame, doc_col: str = "doc") -> Heard:
+    """The docs (doc, locator, text, added) that the gate admits: their sentences (parts) and the questions that they answer (pairs).
 
-def found_triples(docs: DataFrame, doc_col: str = "doc") -> DataFrame:
-    """(doc, at, subject, predicate, object): what the admitted docs (doc, text) say, in order and up to 200 each.
+    Of a text, text.LONGEST characters are read.
+    """
+    admitted = gate.admit(docs, trust).filter("admitted")
+    clean = admitted.select(F.col(doc_col).alias("doc"), F.col("locator").alias("source"), "added", store.trust_q("trust").alias("trust_q"), text.clean("text", text.LONGEST).alias("cleaned"))
+    split = stored(clean.select("doc", "source", "added", "trust_q", text.sentence_parts("cleaned").alias("parts"), readings.answered_questions("cleaned").alias("pairs")))
+    return Heard(split, parse(split.select(F.explode("parts").alias("sentence"))))
+
+
+def found_triples(heard: Heard) -> DataFrame:
+    """(doc, at, subject, predicate, object, source, added, trust_q): what the docs heard say, in order and up to 200 each.
 
     Sentences come first, each with its readings, then the questions that the text answers.
     """
-    split = text.sentences(docs.select(F.col(doc_col).alias("doc"), "text"))
-    said = split.select("doc", F.posexplode("sentences").alias("k", "sentence"))
-    read = said.join(parse(said), "sentence").select("doc", F.struct(F.lit(0).alias("part"), "k", F.lit(0).alias("j")).alias("order"), F.posexplode("readings").alias("i", "r"))
-    pairs = split.select("doc", F.posexplode(readings.answered_questions("cleaned")).alias("k", "pair")).filter(~text.is_directive(F.col("pair.question")))
-    denied = F.col("pair.denied")
-    answers = pairs.select("doc", F.struct(F.lit(1).alias("part"), "k", F.lit(0).alias("j")).alias("order"), "pair", F.posexplode(readings.question_readings(F.col("pair.question"))).alias("i", "r"))
-    turned = F.when(F.col("r.predicate").startswith("not "), F.regexp_replace("r.predicate", "^not ", "")).otherwise(F.concat(F.lit("not "), F.col("r.predicate")))
-    spoken = read.select("doc", "order", "i", F.col("r.subject").alias("subject"), F.col("r.predicate").alias("predicate"), F.col("r.object").alias("object"))
-    spoken = spoken.unionByName(answers.select("doc", "order", "i", F.col("r.subject").alias("subject"), F.when(denied, turned).otherwise(F.col("r.predicate")).alias("predicate"), F.col("r.object").alias("object")))
-    return spoken.withColumn("at", F.row_number().over(Window.partitionBy("doc").orderBy("order", "i"))).filter(F.col("at") <= MOST_PER_DOC).drop("order", "i")
-
-
-def attempts(docs: DataFrame, trust: DataFrame, doc_col: str = "doc") -> DataFrame:
+    facts = ["doc", "source", "added", "trust_q"]
+    said = heard.docs.select(*facts, F.posexplode("parts").alias("k", "sentence"))
+    read = heard.read.filter(F.size("readings") > 0).select("s1", "s2", "readings")
+    spoken = said.select(*facts, "k", *sentence_ids()).join(read, ["s1", "s2"]).select(*facts, F.lit(0).alias("part"), "k", F.posexplode("readings").alias("i", "r"))
+    pairs = heard.docs.select(*facts, F.posexplode("pairs").alias("k", "pair")).filter(~text.is_directive(F.col("pair.question")))
+    answers = pairs.select(*facts, F.lit(1).alias("part"), "k", F.col("pair.denied").alias("denied"), F.posexplode(readings.question_readings(F.col("pair.question"))).alias("i", "r"))
+    p = F.col("r.predicate")
+    turned = F.when(p.startswith("not "), F.regexp_replace(p, "^not ", "")).otherwise(F.concat(F.lit("not "), p))
+    order = [*facts, "part", "k", "i"]
+    spoken = spoken.select(*order, "r.subject", "r.predicate", "r.object")
+    spoken = spoken.unionByName(answers.select(*order, "r.subject", F.when(F.col("denied"), turned).otherwise(p).alias("predicate"), "r.object"))
+    numbered = spoken.withColumn("at", F.row_number().over(Window.partitionBy("doc").orderBy("part", "k", "i")))
+    return numbered.filter(F.col("at") <= MOST_PER_DOC).drop("part", "k", "i")
+
+
+def attempts(docs: DataFrame, trust: DataFrame, doc_col: str = "doc", heard: Heard | None = None) -> DataFrame:
     """(doc, at, subject, predicate, object, source, added, trust_q, valid) of the docs (doc, locator, text, added) that the gate admits."""
-    admitted = gate.admit(docs, trust).filter("admitted")
-    facts = admitted.select(F.col(doc_col).alias("doc"), F.col("locator").alias("source"), "added", store.trust_q("trust").alias("trust_q"))
-    return found_triples(admitted, doc_col).join(facts, "doc").withColumn("valid", store.is_valid())
+    return found_triples(hear(docs, trust, doc_col) if heard is None else heard).withColumn("valid", store.is_valid())
 
 
-def stats(docs: DataFrame, trust: DataFrame, tried: DataFrame, memory: DataFrame | None = None) -> DataFrame:
+def stats(docs: DataFrame, trust: DataFrame, tried: DataFrame, memory: DataFrame | None = None, heard: Heard | None = None) -> DataFrame:
     """One row: docs, rejected_docs, dropped (directive sentences), triples (attempts), new_triples."""
-    gated = gate.admit(docs, trust)
-    counted = gated.agg(F.coalesce(F.sum(F.col("admitted").cast("long")), F.lit(0)).alias("docs"), F.coalesce(F.sum((~F.col("admitted")).cast("long")), F.lit(0)).alias("rejected_docs"))
-    dropped = text.sentences(gated.filter("admitted").select("text")).agg(F.coalesce(F.sum("dropped"), F.lit(0)).alias("dropped"))
+    heard = hear(docs, trust) if heard is None else heard
+    total = docs.agg(F.count(F.lit(1)).alias("n"))
+    told = heard.read.filter("directive").select("s1", "s2")
+    dropped = heard.docs.select(F.explode("parts").alias("sentence")).select(*sentence_ids()).join(told, ["s1", "s2"], "left_semi").agg(F.count(F.lit(1)).alias("dropped"))
+    admitted = heard.docs.agg(F.count(F.lit(1)).alias("docs"))
+    counted = admitted.crossJoin(dropped).crossJoin(total).select("docs", (F.col("n") - F.col("docs")).alias("rejected_docs"), "dropped")
     keys = tried.filter("valid").select(*store.KEY).distinct()
     fresh = keys if memory is None else keys.join(memory.select(*store.KEY), store.KEY, "left_anti")
-    return counted.crossJoin(dropped).crossJoin(tried.agg(F.count(F.lit(1)).alias("triples"))).crossJoin(fresh.agg(F.count(F.lit(1)).alias("new_triples")))
+    return counted.crossJoin(tried.agg(F.count(F.lit(1)).alias("triples"))).crossJoin(fresh.agg(F.count(F.lit(1)).alias("new_triples")))  # a row each

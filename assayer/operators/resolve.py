@@ -59,8 +59,8 @@ def look_up(library: Library, asked: DataFrame, memory: DataFrame, counts: DataF
     distinct = topics.with_limits(asked.select("topic").distinct(), counts).withColumn("query_id", F.col("topic")).withColumn("query", F.col("topic"))
     hits = stored(search.top_documents(distinct, library.postings, library.n_docs, "n_docs").select(F.col("query_id").alias("topic"), "doc", F.col("place").alias("k")))
     docs = library.docs.join(hits.select("doc").distinct(), "doc", "left_semi")
-    tried = stored(ingest.attempts(docs, library.trust))
-    heard = stored(ingest.gate.admit(docs, library.trust).filter("admitted").select("doc", "locator"))
+    heard = ingest.hear(docs, library.trust)
+    tried = stored(ingest.attempts(docs, library.trust, heard=heard))
     order = asked.join(hits, "topic").groupBy("doc").agg(F.min(F.struct("claim_id", "place", "k")).alias("o"))
     keyed = tried.filter("valid").join(order, "doc").groupBy(*store.KEY).agg(F.max("added").alias("added"), F.max("trust_q").alias("trust_q"), F.min(F.struct("o", "at")).alias("o"))
     fresh = keyed.join(memory.select(*store.KEY), store.KEY, "left_anti")
@@ -73,7 +73,7 @@ def look_up(library: Library, asked: DataFrame, memory: DataFrame, counts: DataF
     known = keyed.select(*store.KEY, F.col("added").alias("a"), F.col("trust_q").alias("q"))
     kept = memory.join(known, store.KEY, "left").select(*store.KEY, F.greatest("added", "a").alias("added"), F.greatest("trust_q", "q").alias("trust_q"), "hits", "row")
     grown = stored(kept.unionByName(numbered))
-    links = hits.join(heard, "doc").groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "locator"))), lambda x: x["locator"]).alias("links"))
+    links = hits.join(heard.docs.select("doc", "source"), "doc").groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "source"))), lambda x: x["source"]).alias("links"))
     steps = asked.join(links, "topic", "left").withColumn("links", F.coalesce("links", F.array().cast("array<string>")))
     return grown, stored(topics.count_topics(counts, asked)), steps.select("claim_id", "place", "topic", "links"), numbered.count()
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions import nlp
 from assayer.functions.lexicon import STANCES
+from assayer.functions.shared import stored
 
 PRIOR, PARTIAL, THRESHOLD, LEAST_HOSTS = 0.15, 0.25, 0.60, 2
 #: What one more independent voice adds, and up to how many count.
@@ -14,10 +15,15 @@ VOICE_GAIN, MOST_VOICES = 0.25, 3
 
 
 def with_topics(triples: DataFrame) -> DataFrame:
-    """triples with ss and os (stems of subject and object), pol, host and trust, which hold for any claim."""
-    return triples.withColumns({
-        "ss": nlp.stems("subject"), "os": nlp.stems("object"), "pol": nlp.polarity("predicate", "object"), "host": nlp.host("source"), "trust": F.col("trust_q") / 255.0,
-    })
+    """triples with ss and os (stems of subject and object), pol, host and trust, which hold for any claim.
+
+    Each distinct name is reduced to stems once, and each distinct statement to its polarity.
+    """
+    names = stored(triples.select(F.explode(F.array("subject", "object")).alias("name")).distinct().withColumn("stems", nlp.stems("name")))
+    stated = stored(triples.select("predicate", "object").distinct().withColumn("pol", nlp.polarity("predicate", "object")))
+    out = triples.join(names.select(F.col("name").alias("subject"), F.col("stems").alias("ss")), "subject").join(names.select(F.col("name").alias("object"), F.col("stems").alias("os")), "object").join(stated, ["predicate", "object"])
+    added = {"host": nlp.host("source"), "trust": F.col("trust_q") / 255.0}
+    return out.select(*triples.columns, "ss", "os", "pol").withColumns(added)
 
 
 def _side(pol: Column, prefix: str, sign: int) -> Column:
@@ -31,9 +37,11 @@ def corroborate(triples: DataFrame) -> DataFrame:
     Hosts are first reduced to one row a topic, and topics to three numbers, so a hot topic meets its rows as numbers.
     """
     signs = (1, -1, 0)
-    said = triples.groupBy("ss", "os", "host").agg(*[F.max((F.col("pol") == s).cast("int")).alias(f"h{s}") for s in signs])
-    topic = said.groupBy("ss", "os").agg(*[F.sum(f"h{s}").alias(f"n{s}") for s in signs])
-    joined = triples.join(said, ["ss", "os", "host"]).join(topic, ["ss", "os"])
+    topic = ["t1", "t2"]  # 128 bits for both stem sets
+    keyed = triples.withColumns({"t1": F.xxhash64("ss", "os"), "t2": F.xxhash64(F.lit(1), "ss", "os")})
+    said = keyed.groupBy(*topic, "host").agg(*[F.max((F.col("pol") == s).cast("int")).alias(f"h{s}") for s in signs])
+    numbers = said.groupBy(*topic).agg(*[F.sum(f"h{s}").alias(f"n{s}") for s in signs])
+    joined = keyed.join(said.join(numbers, topic), [*topic, "host"]).drop(*topic)
     pol = F.col("pol")
     syn = (F.coalesce(_side(pol, "n", 1), F.col("n0")) - 1).cast("int")
     ant = F.coalesce(_side(pol, "n", -1) - _side(pol, "h", -1), F.lit(0)).cast("int")

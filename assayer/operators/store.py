@@ -11,7 +11,7 @@ from assayer.functions.text import is_directive
 
 KEY = ["subject", "predicate", "object", "source"]
 HEADER_BYTES, ROW_BYTES, STRING_BYTES, KEPT_SHARE = 12, 29, 4, 0.9
-ROWS_A_BUCKET = 500_000
+ROWS_A_RANGE = 500_000
 FIELD = r"\A[a-z0-9' -]{1,80}\z"
 LOCATOR = r"\A[a-z0-9.-]{1,120}(?:/[A-Za-z0-9._~%()-]{0,120}){0,4}\z"
 
@@ -71,31 +71,30 @@ def evict(triples: DataFrame, cap: int, now: float) -> DataFrame:
 
     Triples enter by trust, recency and hits (to 12 places; ties: by row), each charged for its row and for the strings it is the first
     to use, up to the first that would pass nine tenths of the cap with four bytes more for each letter of its subject.
-    The running sizes are summed over score buckets first, so no task orders the whole table.
+    Rows are dealt by ranges of that order and sizes summed over the ranges first, so no task orders the whole table and
+    equal scores are split.
     """
     triples = stored(triples)
     whole = logical_size(triples).first()
     score = F.round(F.col("trust_q") / 255.0 * nlp.recency("added", now) * (1 + F.col("hits")), 12)
     if whole["bytes"] <= cap:
         return triples.withColumn("score", score)
-    scored = triples.withColumn("score", score)
-    n = max(64, whole["rows"] // ROWS_A_BUCKET)
-    cuts = sorted(set(scored.agg(F.percentile_approx("score", [k / n for k in range(1, n)], 10 * n)).first()[0]))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c >= F.col("score")))
-    scored = scored.withColumn("bucket", bucket)
-    inside = Window.partitionBy("bucket").orderBy(F.desc("score"), "row")
-    placed = stored(scored.withColumn("at", F.row_number().over(inside)))
+    order = [F.desc("score"), F.asc("row")]
+    ranges = max(16, whole["rows"] // ROWS_A_RANGE)
+    dealt = triples.withColumn("score", score).repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id())
+    inside = Window.partitionBy("range").orderBy(*order)
+    placed = stored(stored(dealt).withColumn("at", F.row_number().over(inside)))
     # A string is charged where it is met first; within a row, fields come in order.
-    used = placed.select("bucket", "at", F.posexplode(F.array(*KEY)).alias("field", "value"))
-    first = used.groupBy("value").agg(F.min(F.struct("bucket", "at", "field")).alias("first"))
-    new = first.groupBy("first.bucket", "first.at").agg(F.sum(F.octet_length("value") + STRING_BYTES).alias("text"))
-    charged = stored(placed.join(new, ["bucket", "at"], "left").withColumn("bytes", F.lit(ROW_BYTES) + F.coalesce("text", F.lit(0))).drop("text"))
-    per = charged.groupBy("bucket").agg(F.sum("bytes").alias("all"), F.count(F.lit(1)).alias("n"))
-    ahead = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are buckets
-    base = per.select("bucket", F.coalesce(F.sum("all").over(ahead), F.lit(0)).alias("base"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("rows_before"))
+    used = placed.select("range", "at", F.posexplode(F.array(*KEY)).alias("field", "value"))
+    first = used.groupBy("value").agg(F.min(F.struct("range", "at", "field")).alias("first"))
+    new = first.groupBy("first.range", "first.at").agg(F.sum(F.octet_length("value") + STRING_BYTES).alias("text"))
+    charged = stored(placed.join(new, ["range", "at"], "left").withColumn("bytes", F.lit(ROW_BYTES) + F.coalesce("text", F.lit(0))).drop("text"))
+    per = charged.groupBy("range").agg(F.sum("bytes").alias("all"), F.count(F.lit(1)).alias("n"))
+    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are ranges
+    base = stored(per.select("range", F.coalesce(F.sum("all").over(ahead), F.lit(0)).alias("base"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("rows_before")))
     so_far = F.coalesce(F.sum("bytes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    summed = charged.withColumn("so_far", so_far).join(F.broadcast(base), "bucket").withColumn("held", F.lit(HEADER_BYTES) + F.col("base") + F.col("so_far")).withColumn("rank", F.col("rows_before") + F.col("at"))
+    summed = charged.withColumn("so_far", so_far).join(base, "range").withColumn("held", F.lit(HEADER_BYTES) + F.col("base") + F.col("so_far")).withColumn("rank", F.col("rows_before") + F.col("at"))
     over = F.col("held") + ROW_BYTES + STRING_BYTES * F.length("subject") > KEPT_SHARE * cap
     stop = summed.filter(over).agg(F.min("rank").alias("stop")).first()["stop"]
     kept = summed if stop is None else summed.filter(F.col("rank") < stop)
-    return kept.withColumn("row", F.col("rank").cast("long")).drop("bucket", "at", "bytes", "base", "rows_before", "so_far", "held", "rank")
+    return kept.withColumn("row", F.col("rank").cast("long")).drop("range", "at", "bytes", "base", "rows_before", "so_far", "held", "rank")

@@ -83,13 +83,14 @@ def clean_pages(spark, sf_dir):
 
 
 def _spoken(spark, sf_dir) -> DataFrame:
-    """The distinct sentences of the documents and of the small library."""
-    own = text.sentences(sample.table(spark, sf_dir, "documents").select("text").unionByName(library.docs(spark).select("text")))
-    return own.select(F.explode("sentences").alias("sentence")).distinct()
+    """The sentences of the documents and of the small library, directive ones too."""
+    own = sample.table(spark, sf_dir, "documents").select("text").unionByName(library.docs(spark).select("text"))
+    return own.select(text.clean("text").alias("cleaned")).select(F.explode(text.sentence_parts("cleaned")).alias("sentence"))
 
 
 def parse_report(spark, sf_dir):
-    read = _spoken(spark, sf_dir).withColumn("report", readings.reading_report("sentence"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    read = _spoken(spark, sf_dir).distinct().repartition(n).filter(~text.is_directive("sentence")).withColumn("report", readings.reading_report("sentence"))
     each = read.select("sentence", F.explode("report").alias("rule", "found")).select("sentence", "rule", F.posexplode("found").alias("at", "r"))
     return each.select("sentence", "rule", "at", "r.subject", "r.predicate", "r.object")
 
@@ -107,8 +108,9 @@ def qa_pairs(spark, sf_dir):
 
 def ingest_stats(spark, sf_dir):
     docs, trust = _docs(spark, sf_dir), _source_trust(spark)
-    tried = shared.stored(ingest.attempts(docs, trust))
-    return ingest.stats(docs, trust, tried)
+    heard = ingest.hear(docs, trust)
+    tried = shared.stored(ingest.attempts(docs, trust, heard=heard))
+    return ingest.stats(docs, trust, tried, heard=heard)
 
 
 def _asked(spark) -> DataFrame:
@@ -180,10 +182,10 @@ def url_policy(spark, sf_dir):
 
 
 def topic_counts(spark, sf_dir):
-    """Event types as topics, counted anew, with the number of documents that the next search of each may return."""
-    events = sample.table(spark, sf_dir, "events").select(F.col("event_type").alias("topic"), "user_id")
-    before = events.filter("user_id % 7 = 0").groupBy("topic").agg(F.count(F.lit(1)).alias("count"))
-    counts = topics.count_topics(before, events.filter("user_id % 7 = 1").select("topic"))
+    """Event types as topics, all events counted, those of small values upon the rest, with the number of documents that the next search of each may return."""
+    events = sample.table(spark, sf_dir, "events").select(F.col("event_type").alias("topic"), F.coalesce(F.col("value") > 50, F.lit(False)).alias("large"))
+    before = events.filter("large").groupBy("topic").agg(F.count(F.lit(1)).alias("count"))
+    counts = topics.count_topics(before, events.filter("NOT large").select("topic"))
     return topics.with_limits(counts.select("topic", "count").withColumnRenamed("count", "searched"), counts).select("topic", "searched", F.col("n_docs").cast("long").alias("n_docs"))
 
 
@@ -218,7 +220,7 @@ SQL = {
         SELECT event_id, address, NOT (n[1] IN (0, 10, 127) OR n[1] >= 224 OR (n[1] = 100 AND n[2] BETWEEN 64 AND 127) OR (n[1] = 169 AND n[2] = 254) OR (n[1] = 172 AND n[2] BETWEEN 16 AND 31) OR (n[1] = 192 AND n[2] = 168)
           OR (n[1] = 192 AND n[2] = 0 AND n[3] IN (0, 2)) OR (n[1] = 198 AND n[2] IN (18, 19)) OR (n[1] = 198 AND n[2] = 51 AND n[3] = 100) OR (n[1] = 203 AND n[2] = 0 AND n[3] = 113)) AS public FROM n""",
     "url_policy": f"SELECT page_id, regexp_matches(url, '^https://({'|'.join(h.replace('.', '[.]') for h in HOSTS)})(:443)?([/?#]|$)') AS fetchable FROM pages",
-    "topic_counts": """WITH c AS (SELECT event_type AS topic, count(*) AS searched FROM events WHERE user_id % 7 IN (0, 1) GROUP BY event_type) SELECT topic, searched, 3 + least(searched, 5) AS n_docs FROM c""",
+    "topic_counts": """WITH c AS (SELECT event_type AS topic, count(*) AS searched FROM events GROUP BY event_type) SELECT topic, searched, 3 + least(searched, 5) AS n_docs FROM c""",
     "outline_round_trip": """SELECT 'c' || c_custkey AS key, 'for' AS verdict, 0.5::DOUBLE AS for_share, (c_custkey * 86400)::BIGINT AS t, (c_custkey % 5)::INTEGER AS hits, (c_custkey % 3)::BIGINT AS n_steps, (c_custkey % 3)::BIGINT AS n_links FROM customer""",
     "suffix_gate": f"""WITH {_TRUST}, p AS (SELECT page_id, regexp_extract(url, '{HOST}', 1) AS host FROM pages)
         SELECT page_id, host, coalesce((SELECT arg_max(t.trust, length(suffix)) FROM trust t WHERE lower(host) = suffix OR ends_with(lower(host), '.' || suffix)), 0.0::DOUBLE) AS trust FROM p""",

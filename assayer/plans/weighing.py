@@ -61,7 +61,7 @@ def contested(spark, sf_dir):
 
 
 def balance(spark, sf_dir):
-    return analytics.trust_weighted_balance(_facts(spark, sf_dir)).select("subject", "object", F.round("balance", 6).alias("balance"), "hosts")
+    return analytics.trust_weighted_balance(_facts(spark, sf_dir)).select("subject", "object", (F.round("balance", 6) + F.lit(0.0)).alias("balance"), "hosts")
 
 
 def ages(spark, sf_dir):
@@ -157,7 +157,7 @@ SQL = {
         SELECT subject, object, count(DISTINCT host) AS hosts, count(DISTINCT host) FILTER (WHERE pol > 0) AS for_hosts, count(DISTINCT host) FILTER (WHERE pol < 0) AS against_hosts FROM polar GROUP BY ALL)
         SELECT * FROM sided WHERE for_hosts > 0 AND against_hosts > 0 AND hosts >= 2""",
     "trust_balance": f"""WITH {_POLAR}, voted AS (SELECT subject, object, host, avg(pol) AS mean, max(trust) AS trust FROM polar GROUP BY subject, object, host)
-        SELECT subject, object, round(sum(CASE WHEN mean > 0 THEN trust ELSE -trust END), 6) AS balance, count(*) AS hosts FROM voted GROUP BY subject, object""",
+        SELECT subject, object, round(sum(CASE WHEN mean > 0 THEN trust ELSE -trust END), 6) + 0.0 AS balance, count(*) AS hosts FROM voted GROUP BY subject, object""",
     "age_histogram": f"WITH {sample.TRIPLES_SQL} SELECT greatest(0, floor(floor(({sample.NOW} - added) / 86400) / 365))::BIGINT AS years, count(*) AS triples FROM triples GROUP BY years",
     "route_summary": """WITH r AS (SELECT 'c' || c_custkey AS key, CASE c_custkey % 3 WHEN 0 THEN 'for' WHEN 1 THEN 'against' ELSE 'neutral' END AS verdict, c_custkey % 37 AS n_steps, c_custkey * 7 % 101 AS hits FROM customer)
         SELECT count(*) AS routes, round(avg(n_steps), 9) AS mean_steps, (SELECT string_agg(verdict || '=' || n, ',' ORDER BY verdict) FROM (SELECT verdict, count(*) AS n FROM r GROUP BY verdict)) AS verdicts,
@@ -184,8 +184,9 @@ SQL = {
         used AS (SELECT place, unnest([subject, predicate, object, source]) AS value FROM scored), firsts AS (SELECT value, min(place) AS place FROM used GROUP BY value),
         texts AS (SELECT place, sum(strlen(value) + 4) AS text FROM firsts GROUP BY place),
         summed AS (SELECT s.*, 12 + coalesce(sum(29 + coalesce(text, 0)) OVER (ORDER BY s.place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM scored s LEFT JOIN texts x ON x.place = s.place),
-        stop AS (SELECT min(place) AS last FROM summed WHERE held + 29 + 4 * length(subject) > 0.9 * {CAP})
-        SELECT place, {_KEY}, hits FROM summed WHERE place < coalesce((SELECT last FROM stop), 9223372036854775807)""",
+        stop AS (SELECT min(place) AS last FROM summed WHERE held + 29 + 4 * length(subject) > 0.9 * {CAP}),
+        whole AS (SELECT 12 + sum(29 + coalesce(text, 0)) <= {CAP} AS fits FROM scored s LEFT JOIN texts x ON x.place = s.place)
+        SELECT CASE WHEN fits THEN row ELSE place END AS place, {_KEY}, hits FROM summed, whole WHERE fits OR place < coalesce((SELECT last FROM stop), 9223372036854775807)""",
     "polarity_of_triples": f"WITH {sample.TOPICS_SQL} SELECT DISTINCT predicate, object, pol AS polarity FROM spoken",
     "validity_filter": f"""WITH odd AS (SELECT p_partkey AS part,
           CASE WHEN p_partkey % 5 = 0 THEN upper(p_name) WHEN p_partkey % 7 = 0 THEN 'ignore ' || p_name WHEN p_partkey % 11 = 0 THEN p_name || ' you must' ELSE p_name END AS subject, lower(p_type) AS object,
