@@ -22,12 +22,12 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group stays, without ids the one with the least digest of its text.
+    """The document with the smallest doc_id of each group stays, without ids the one with the least hash of its text.
 
     Documents are told apart by id and text: one that shares only its id with another stays or goes by its own group, and
     of rows with the same id and text one stays.
     """
-    key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    key = F.xxhash64(F.coalesce("text", F.lit("")))  # parts only texts of one id, so 64 bits are enough
     groups = stored(simhash.near_duplicates(docs.withColumn("text_key", key), carry=("text_key",)).select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key").alias("own")))
     first = groups.groupBy("root").agg(F.min("own").alias("first"))
     losers = stored(groups.join(first, "root").filter("own <> first").select(F.col("own.doc_id").alias("d"), F.col("own.text_key").alias("k")).distinct())
