@@ -30,12 +30,17 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     key = F.xxhash64(F.coalesce("text", F.lit("")))  # parts only texts of one id, so 64 bits are enough
     groups = stored(simhash.near_duplicates(docs.withColumn("text_key", key), carry=("text_key",)).select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key").alias("own")))
     first = groups.groupBy("root").agg(F.min("own").alias("first"))
-    losers = stored(groups.join(first, "root").filter("own <> first").select(F.col("own.doc_id").alias("d"), F.col("own.text_key").alias("k")).distinct())
-    twice = stored(groups.groupBy("own").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("own.doc_id").alias("d"), F.col("own.text_key").alias("k")))
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (key == F.col("k"))
-    kept = docs.join(losers, same, "left_anti")
-    repeated = kept.join(twice, same, "left_semi").withColumn("__key", key).dropDuplicates(["doc_id", "__key"])
-    return kept.join(twice, same, "left_anti").unionByName(repeated.drop("__key")).select(*docs.columns)
+    fates = stored(groups.join(first, "root").select("own.doc_id", "own.text_key", (F.col("own") != F.col("first")).alias("lost")))
+    # Most ids stand for one text, and their losers need no more than the id.
+    ids = fates.groupBy(F.col("doc_id").alias("d")).agg(F.bool_and("lost").alias("all_lost"), F.bool_or("lost").alias("any_lost"))
+    gone = stored(ids.filter("all_lost").select("d"))
+    parted = stored(ids.filter("any_lost AND NOT all_lost").select("d"))
+    losers = stored(fates.filter("lost").join(parted, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).distinct())
+    twice = stored(fates.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d", "k"))
+    same = F.col("doc_id").eqNullSafe(F.col("d"))
+    kept = docs.join(gone, same, "left_anti").join(losers, same & (key == F.col("k")), "left_anti")
+    repeated = kept.join(twice, same & (key == F.col("k")), "left_semi").withColumn("__key", key).dropDuplicates(["doc_id", "__key"])
+    return kept.join(twice, same & (key == F.col("k")), "left_anti").unionByName(repeated.drop("__key")).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
