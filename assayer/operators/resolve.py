@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from assayer.functions.shared import stored
 from assayer.operators import ingest, score, search, store, topics
 
+#: A share's least move in a cycle of reflection, and the cycles without any that end it.
+LEAST_MOVE, CALM_CYCLES = 1e-3, 2
 MEMORY = "subject string, predicate string, object string, source string, added double, trust_q int, hits int, row long"
 
 
@@ -33,7 +35,7 @@ class Library:
 
 @dataclass
 class Outcome:
-    """verdicts and ranked evidence by claim, the first layer's steps, the memory with hits, topic counts, rounds and cycles."""
+    """verdicts and ranked evidence by claim, the first layer's steps, the memory with hits, topic counts, rounds of search and cycles of reflection by claim."""
 
     verdicts: DataFrame
     evidence: DataFrame
@@ -41,6 +43,7 @@ class Outcome:
     memory: DataFrame
     counts: DataFrame
     rounds: DataFrame
+    cycles: DataFrame
 
 
 def empty_memory(spark: SparkSession) -> DataFrame:
@@ -54,8 +57,8 @@ def weigh(claims: DataFrame, memory: DataFrame, now: float) -> tuple[DataFrame,
     return found, tallies, score.verdicts(tallies)
 
 
-def look_up(library: Library, asked: DataFrame, memory: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Searches asked (claim_id, place, topic): (memory, counts, steps, new triples)."""
+def look_up(library: Library, asked: DataFrame, memory: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Searches asked (claim_id, place, topic): (memory, counts, steps, the claim_ids whose own searches found new triples)."""
     distinct = topics.with_limits(asked.select("topic").distinct(), counts).withColumn("query_id", F.col("topic")).withColumn("query", F.col("topic"))
     hits = stored(search.top_documents(distinct, library.postings, library.n_docs, "n_docs").select(F.col("query_id").alias("topic"), "doc", F.col("place").alias("k")))
     docs = library.docs.join(hits.select("doc").distinct(), "doc", "left_semi")
@@ -75,14 +78,17 @@ def look_up(library: Library, asked: DataFrame, memory: DataFrame, counts: DataF
     grown = stored(kept.unionByName(numbered))
     links = hits.join(heard.docs.select("doc", "source"), "doc").groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "source"))), lambda x: x["source"]).alias("links"))
     steps = asked.join(links, "topic", "left").withColumn("links", F.coalesce("links", F.array().cast("array<string>")))
-    return grown, stored(topics.count_topics(counts, asked)), steps.select("claim_id", "place", "topic", "links"), numbered.count()
+    askers = asked.join(hits, "topic").select("doc", "claim_id").distinct()
+    lucky = tried.filter("valid").join(memory.select(*store.KEY), store.KEY, "left_anti").select("doc").distinct().join(askers, "doc").select("claim_id").distinct()
+    return grown, stored(topics.count_topics(counts, asked)), steps.select("claim_id", "place", "topic", "links"), stored(lucky)
 
 
 def resolve(claims: DataFrame, library: Library, memory: DataFrame, now: float, counts: DataFrame | None = None, routes: DataFrame | None = None, cycles: int = 0) -> Outcome:
     """Verdicts of claims (claim_id, subject, object, s, o, pol, key): up to four layers of search, then up to `cycles` of reflection.
 
-    A claim with a saved route (routes with key) that memory resolves is answered at once. Reflection ends for all claims
-    where two cycles find nothing new and move no share by 0.001, or where nothing is left to ask.
+    A claim with a saved route (routes with key) that memory resolves is answered at once. Reflection ends for a claim,
+    whatever the others do, where two cycles of its own find nothing new and move none of its shares by 0.001, or where it
+    has nothing left to ask.
     """
     spark = claims.sparkSession
     claims = stored(claims)
@@ -109,20 +115,22 @@ def resolve(claims: DataFrame, library: Library, memory: DataFrame, now: float,
         first = stored(steps) if layer == 0 else first
         found, tallies, judged = weigh(claims, memory, now)
         active = stored(active.join(judged.filter("NOT resolved").select("claim_id"), "claim_id", "left_semi"))
-    calm, thinking = 0, stored(claims.join(replayed, "claim_id", "left_anti"))
+    thinking = stored(claims.join(replayed, "claim_id", "left_anti").withColumn("calm", F.lit(0)))
+    thought = []
     for cycle in range(cycles):
         asked = stored(topics.probes(thinking, found, tallies, searched, cycle))
         if asked.isEmpty():
             break
-        before = tallies
-        memory, counts, _, new = look_up(library, asked, memory, counts)
+        before, turn = tallies, asked.select("claim_id").distinct()
+        thought.append(turn)
+        memory, counts, _, lucky = look_up(library, asked, memory, counts)
         searched = stored(searched.unionByName(asked.select("claim_id", "topic"))) if searched is not None else asked.select("claim_id", "topic")
         found, tallies, judged = weigh(claims, memory, now)
         shift = F.greatest(*[F.abs(F.col(f"a.{s}_share") - F.col(f"b.{s}_share")) for s in score.STANCES])
-        moved = tallies.alias("a").join(before.alias("b"), "claim_id").agg(F.max(shift)).first()[0] or 0.0
-        calm = calm + 1 if not new and moved < 1e-3 else 0
-        if calm == 2:
-            break
+        moved = tallies.alias("a").join(before.alias("b"), "claim_id").filter(shift >= LEAST_MOVE).select("claim_id")
+        stirred = lucky.unionByName(moved).distinct().withColumn("stirred", F.lit(True))
+        calm = F.when(F.col("stirred"), 0).otherwise(F.col("calm") + 1)
+        thinking = stored(thinking.join(turn, "claim_id", "left_semi").join(stirred, "claim_id", "left").withColumn("calm", calm).drop("stirred").filter(F.col("calm") < CALM_CYCLES))
     ranked = score.ranked(found)
     used = ranked.filter("place <= 12").groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("more"))
     touched = memory.join(used, "row", "left").withColumn("hits", (F.col("hits") + F.coalesce("more", F.lit(0))).cast("int")).drop("more")
@@ -130,5 +138,9 @@ def resolve(claims: DataFrame, library: Library, memory: DataFrame, now: float,
     for r in rounds[1:]:
         count = count.unionByName(r.withColumn("rounds", F.lit(1)))
     told = claims.select("claim_id").join(count.groupBy("claim_id").agg(F.sum("rounds").alias("rounds")), "claim_id", "left").withColumn("rounds", F.coalesce("rounds", F.lit(0)))
+    cycled = thought[0] if thought else claims.limit(0).select("claim_id")
+    for t in thought[1:]:
+        cycled = cycled.unionAll(t)
+    cycled = claims.select("claim_id").join(cycled.groupBy("claim_id").agg(F.count(F.lit(1)).alias("cycles")), "claim_id", "left").select("claim_id", F.coalesce("cycles", F.lit(0)).alias("cycles"))
     first = first if first is not None else spark.createDataFrame([], "claim_id int, place int, topic string, links array<string>")
-    return Outcome(judged, ranked, first.withColumnRenamed("place", "step"), touched.select(*memory.columns), counts, told)
+    return Outcome(judged, ranked, first.withColumnRenamed("place", "step"), touched.select(*memory.columns), counts, told, cycled)

@@ -5,6 +5,7 @@ from assayer.operators import claims, gate, ingest, resolve, score, search
 from assayer.plans import library, texts
 from assayer.sources import corpus, outline
 
+# The prose that the voices below must give.
 VOICE = "request_id int, pos int, stance string, subject string, predicate string, object string, host string, month string, trust double"
 
 
@@ -67,6 +68,22 @@ def test_saved_routes_answer_at_once(spark):
     assert first.memory.filter("hits > 0").count() == min(12, first.evidence.count())
 
 
+def test_reflection_of_a_claim_does_not_depend_on_others(spark):
+    """A claim's cycles and shares are the same alone and beside claims about other things that go on longer or end before."""
+    found = resolve.Library.of(library.docs(spark), library.trust(spark))
+    texts_ = ["Walks improve mood.", "Noise impairs sleep.", "Pebbles improve rivers."]
+
+    def outcome(lines):
+        asked = claims.parse(spark.createDataFrame(lines, "request_id int, text string")).withColumn("claim_id", F.col("request_id"))
+        out = resolve.resolve(asked, found, resolve.empty_memory(spark), library.NOW, cycles=5)
+        return {r["claim_id"]: (r["cycles"], round(r["for_share"], 9)) for r in out.cycles.join(out.verdicts, "claim_id").collect()}
+
+    together = outcome(list(enumerate(texts_)))
+    assert max(n for n, _ in together.values()) >= 1
+    for k in (0, 2):
+        assert outcome([(k, texts_[k])]) == {k: together[k]}
+
+
 def test_ingest_counts(spark):
     docs, trust = library.docs(spark), library.trust(spark)
     tried = ingest.attempts(docs, trust)
