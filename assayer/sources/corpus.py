@@ -24,10 +24,19 @@ def read_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return docs.select("doc", "d.locator", "d.text", added.alias("added")), whole.select(F.explode("trust").alias("host", "trust"))
 
 
+def _clamped(limit: Column | int) -> Column:
+    return F.greatest(F.lit(1), F.least(F.lit(limit) if isinstance(limit, int) else limit, F.lit(MOST_RESULTS))).cast("string")
+
+
 def search_url(host: str, query: Column, limit: Column | int) -> Column:
     """The address of a preprint search; 1 to 20 results."""
-    n = F.greatest(F.lit(1), F.least(F.lit(limit) if isinstance(limit, int) else limit, F.lit(MOST_RESULTS)))
-    return F.concat(F.lit(f"https://{host}/api/query?search_query=all:"), F.url_encode(query), F.lit("&start=0&max_results="), n.cast("string"), F.lit("&sortBy=relevance"))
+    return F.concat(F.lit(f"https://{host}/api/query?search_query=all:"), F.url_encode(query), F.lit("&start=0&max_results="), _clamped(limit), F.lit("&sortBy=relevance"))
+
+
+def wiki_search_url(host: str, query: Column, limit: Column | int) -> Column:
+    """The address that asks a wiki for the openings of pages about the query; 1 to 20 results."""
+    fields = "&prop=extracts%7Cinfo&exintro=1&explaintext=1&exlimit=max&format=json&formatversion=2"
+    return F.concat(F.lit(f"https://{host}/w/api.php?action=query&generator=search&gsrsearch="), F.url_encode(query), F.lit("&gsrlimit="), _clamped(limit), F.lit(fields))
 
 
 def _seconds(iso: Column) -> Column:

@@ -111,6 +111,8 @@ def test_gate(spark):
 
 def test_addresses(spark):
     ips = {"8.8.8.8": True, "10.0.0.1": False, "172.20.1.1": False, "192.168.0.1": False, "127.0.0.1": False, "169.254.1.1": False, "100.64.0.1": False, "224.0.0.1": False, "93.184.216.34": True, "1.2.3": False, "x": False, "256.1.1.1": False}
+    ips |= {"2606:4700:4700::1111": True, "2001:DB8::1": True, "::ffff:8.8.8.8": True, "::ffff:808:808": True, "1:2:3:4:5:6:7:8": True, "1:2:3:4:5:6:8.8.4.4": True, "64:ff9b::8.8.8.8": True}
+    ips |= dict.fromkeys(["::", "::1", "fe80::1", "fec0::1", "fc00::1", "fd12:3456::1", "ff02::1", "::ffff:127.0.0.1", "::ffff:10.0.0.1", "::ffff:a00:1", "1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1:::2", ":1:2:3:4:5:6:7", "g::1", "12345::1", "::ffff:300.1.1.1", ":"], False)
     df = spark.createDataFrame([(k,) for k in ips], "a string")
     assert {r["a"]: r["p"] for r in df.select("a", gate.is_public_ip("a").alias("p")).collect()} == ips
     urls = {"https://a.org/x": True, "http://a.org/x": False, "https://u@a.org/x": False, "https://a.org:444/": False, "https://b.org/": False, "https://a.org.evil.com/": False, "bad": False}

@@ -4,8 +4,10 @@ import struct
 
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
 from assayer.operators import score, store
-from assayer.sources import imports, reports
+from assayer.sources import corpus, imports, reports
 from assayer.streaming import ingest as stream
 
 STRINGS = ["coffee", "improve", "memory", "journal.example.org/coffee", "not improve", "news.example.com/myth", "<b>"]
@@ -57,3 +59,11 @@ def test_document_stream_is_idempotent(spark, tmp_path):
 
     first = run("c1")
     assert len(first) == 3 and run("c2") == first  # a new checkpoint takes all documents again
+
+
+def test_wiki_search_url(spark):
+    df = spark.createDataFrame([("tea & milk", 50), ("é", 0)], "q string, n int")
+    got = [r[0] for r in df.select(corpus.wiki_search_url("en.example.org", F.col("q"), F.col("n"))).collect()]
+    ends = "&prop=extracts%7Cinfo&exintro=1&explaintext=1&exlimit=max&format=json&formatversion=2"
+    start = "https://en.example.org/w/api.php?action=query&generator=search&gsrsearch="
+    assert got == [f"{start}tea+%26+milk&gsrlimit=20{ends}", f"{start}%C3%A9&gsrlimit=1{ends}"]
