@@ -1,6 +1,7 @@
-"""Versioned snapshots of a memory: Parquet tables with a manifest, written aside and then pointed to.
+"""Versioned snapshots of a memory: Parquet tables with the SHA-256 of each of their files, written aside and then pointed to.
 
-Files are listed and renamed through Hadoop's file system, so a snapshot can lie wherever Spark reads and writes.
+Files are renamed through Hadoop's file system, so a snapshot can lie wherever Spark reads and writes. Their digests are
+a table beside them, made and compared by tasks.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 
 from assayer.operators import store
 
-VERSION, KEPT = 1, 2
+VERSION, KEPT = 2, 2
 TABLES = ("strings", "triples")
+#: Rows of a file at most, as a file is digested in one piece.
+FILE_ROWS = 4_000_000
 
 
 class Generations:
@@ -41,20 +44,25 @@ class Generations:
         return rows[0][0] if rows else None
 
     def _put(self, name: str, text: str) -> None:
+        """Writes a file aside and renames it over the one that is there, in one step where the file system can."""
         out = self._fs.create(self._at(f"{name}.tmp"), True)
         out.write(bytearray(text.encode()))
         out.close()
-        self._fs.delete(self._at(name), False)
-        self._fs.rename(self._at(f"{name}.tmp"), self._at(name))
-
-    def _digest(self, name: str) -> dict[str, dict]:
-        """For each table, its rows and a digest of what they hold, whatever their order."""
-        found = {}
-        for t in TABLES:
-            df = self.spark.read.parquet(f"{self.folder}/{name}/{t}")
-            n, a, b = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.sum(F.hash(*df.columns).cast("long"))).first()
-            found[t] = {"rows": n, "digest": f"{a}:{b}"}
-        return found
+        jvm = self.spark._jvm
+        over = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        files.rename(self._fs.makeQualified(self._at(f"{name}.tmp")), self._fs.makeQualified(self._at(name)), over)
+
+    def _digests(self, name: str) -> DataFrame:
+        """(file, bytes, sha256) of the Parquet files of a snapshot's tables."""
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load([f"{self.folder}/{name}/{t}" for t in TABLES])
+        return files.select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+    def _is_whole(self, name: str) -> bool:
+        """Whether a snapshot has the files that it was written with, and no others."""
+        told = self.spark.read.schema("file string, bytes long, sha256 string").parquet(f"{self.folder}/{name}/files")
+        return told.withColumn("told", F.lit(1)).unionByName(self._digests(name).withColumn("told", F.lit(0))).groupBy("file", "bytes", "sha256").agg(F.count(F.lit(1)).alias("n"), F.sum("told").alias("told")).filter("n <> 2 OR told <> 1").isEmpty()
 
     def save(self, triples: DataFrame, keep: int = KEPT) -> str:
         """Writes a snapshot of triples (subject, predicate, object, source, added, trust_q, hits) and points to it."""
@@ -62,9 +70,10 @@ class Generations:
         name = f"gen-{int(names[-1][4:]) + 1 if names else 1}"
         strings, coded = store.encode(triples.select(*store.KEY, "added", "trust_q", "hits"))
         self._fs.delete(self._at(f"{name}.tmp"), True)
-        strings.write.parquet(f"{self.folder}/{name}.tmp/strings")
-        coded.write.parquet(f"{self.folder}/{name}.tmp/triples")
-        self._put(f"{name}.tmp/manifest.json", json.dumps({"version": VERSION, "tables": self._digest(f"{name}.tmp")}))
+        strings.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{self.folder}/{name}.tmp/strings")
+        coded.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{self.folder}/{name}.tmp/triples")
+        self._digests(f"{name}.tmp").write.parquet(f"{self.folder}/{name}.tmp/files")
+        self._put(f"{name}.tmp/manifest.json", json.dumps({"version": VERSION, "tables": list(TABLES)}))
         self._fs.rename(self._at(f"{name}.tmp"), self._at(name))
         self._put("CURRENT", name)
         for old in self.names()[: -max(KEPT, keep)]:
@@ -85,7 +94,7 @@ class Generations:
         for name in [*([current] if current in names else []), *(n for n in names if n != current)]:
             try:
                 told = json.loads(self._text(f"{name}/manifest.json") or "")
-                if told.get("version") != VERSION or told["tables"] != self._digest(name):
+                if told.get("version") != VERSION or told["tables"] != list(TABLES) or not self._is_whole(name):
                     raise ValueError("the tables aren't those of the manifest")
                 coded = self.spark.read.parquet(f"{self.folder}/{name}/triples")
                 triples = store.decode(self.spark.read.parquet(f"{self.folder}/{name}/strings"), coded)
