@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from assayer.functions import nlp, text
+from assayer.functions import nlp, readings, registered, text
 
 
 def one(spark, column, **values):
@@ -47,3 +47,18 @@ def test_recency(spark):
 
 def test_route_key(spark):
     assert one(spark, nlp.route_key(F.col("t")), t="green teas focus") == "focu green tea"
+
+
+def test_registered_functions(spark):
+    """SQL by name gives what the column functions give."""
+    assert {"clean_text", "parse_sentence", "qa_pairs"} <= set(registered.register(spark))
+    said = ["<p>Tea **helps**&nbsp;see https://a.example.org/x\tnow</p>. Does green tea improve focus? Yes. Is sugar good? No", "Q: is it warm? Probably not", "a'b \\ \"c\" $1 &amp;", "", None]
+    own = spark.createDataFrame([(k, s) for k, s in enumerate(said)], "page_id long, html string")
+    rows = own.unionByName(spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html"))
+    rows.createOrReplaceTempView("registered_rows")
+    got = spark.sql("SELECT page_id, clean_text(html) AS c, qa_pairs(html) AS q FROM registered_rows").collect()
+    want = rows.select("page_id", text.clean("html").alias("c"), readings.answered_questions(text.clean("html")).alias("q")).collect()
+    key = lambda r: (r["page_id"], r["c"] or "", r["q"] or [])
+    assert sorted(map(key, got)) == sorted(map(key, want))
+    (read,) = spark.sql("SELECT parse_sentence('Green tea improves focus.')[0].predicate AS p").collect()
+    assert read["p"] == "improve"
