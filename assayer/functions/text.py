@@ -68,6 +68,11 @@ def _plain_text(texts: pd.Series) -> pd.Series:
 plain_text = _plain_text.asNondeterministic()
 
 
+def _once(value: Column, then) -> Column:
+    """then(value), where value is computed once however often then names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def clean(text: Column | str, longest: int | None = None) -> Column:
     """Text without markup, links, formatting and invisible characters; lines stay. Null stays null.
 
@@ -79,8 +84,7 @@ def clean(text: Column | str, longest: int | None = None) -> Column:
     odd = t.rlike(r"[^\x00-\x7F]|[&<]")
     t = F.when(odd, plain_text(F.when(odd, t))).otherwise(t)
     for pattern, by in CLEANED:
-        replaced = F.regexp_replace(t, pattern, by)
-        t = F.when(t.rlike(_LINKED), replaced).otherwise(t) if pattern == LINKS else replaced
+        t = _once(t, lambda x: F.when(x.rlike(_LINKED), F.regexp_replace(x, LINKS, " ")).otherwise(x)) if pattern == LINKS else F.regexp_replace(t, pattern, by)
     return t
 
 
