@@ -113,42 +113,56 @@ def ingest_stats(spark, sf_dir):
     return ingest.stats(docs, trust, tried, heard=heard)
 
 
-def _asked(spark) -> DataFrame:
-    return spark.createDataFrame(library.REQUESTS, "request_id int, text string")
+def _asked(spark, sf_dir) -> DataFrame:
+    """Every benchmark item as a request, its id in millions, with the small library's requests."""
+    items = sample.table(spark, sf_dir, "benchmark").select(((F.col("item_id") + 1) * 1_000_000).cast("long").alias("request_id"), "text")
+    return spark.createDataFrame(library.REQUESTS, "request_id long, text string").unionByName(items)
 
 
-def _outcome(spark, cycles: int = 0):
-    parsed = claims.with_areas(claims.parse(_asked(spark))).withColumn("claim_id", (F.col("request_id") * 100 + F.col("place")).cast("int"))
-    found = resolve.Library.of(library.docs(spark), library.trust(spark))
-    return parsed, resolve.resolve(parsed, found, resolve.empty_memory(spark), library.NOW, cycles=cycles)
+def _shelves(spark, sf_dir) -> resolve.Library:
+    """All documents, and the small library's under negative numbers."""
+    small = library.docs(spark).withColumn("doc", F.col("doc") - len(library.DOCUMENTS))
+    return resolve.Library.of(_docs(spark, sf_dir).unionByName(small), _source_trust(spark).unionByName(library.trust(spark)))
+
+
+def _outcome(spark, sf_dir, cycles: int = 0):
+    parsed = shared.stored(claims.with_areas(claims.parse(_asked(spark, sf_dir))).withColumn("claim_id", F.col("request_id") * 100 + F.col("place")))
+    return parsed, resolve.resolve(parsed, _shelves(spark, sf_dir), resolve.empty_memory(spark), library.NOW, cycles=cycles)
 
 
 def resolve_quick(spark, sf_dir):
-    asked, out = _outcome(spark)
+    return quick_answers(*_outcome(spark, sf_dir))
+
+
+def quick_answers(asked: DataFrame, out: resolve.Outcome) -> DataFrame:
+    """A verdict for each claim."""
     judged = out.verdicts.join(out.rounds, "claim_id").join(asked.select("claim_id", "text"), "claim_id")
     return judged.select("claim_id", "text", "verdict", "resolved", *[F.round(f"{s}_share", 6).alias(f"{s}_share") for s in score.STANCES], "hosts", "items", "rounds")
 
 
 def deliberated(spark, sf_dir):
-    asked, out = _outcome(spark, cycles=12)
+    asked, out = _outcome(spark, sf_dir, cycles=12)
     return out.verdicts.select("claim_id", "verdict", "resolved", *[F.round(f"{s}_share", 6).alias(f"{s}_share") for s in score.STANCES], "hosts", "items")
 
 
-def _voices(spark):
-    asked, out = _outcome(spark)
+def _voices(asked: DataFrame, out: resolve.Outcome) -> DataFrame:
     steps = out.steps.join(asked.select("claim_id", "request_id", (F.col("area") * claims.AREA_SIZE).alias("offset")), "claim_id")
     return claims.voices(out.evidence, steps).join(asked.select("claim_id", "request_id"), "claim_id")
 
 
 def voices(spark, sf_dir):
-    return _voices(spark).select("request_id", "claim_id", "pos", "stance", "text", F.round("weight", 6).alias("weight"), "host", "month")
+    return _voices(*_outcome(spark, sf_dir)).select("request_id", "claim_id", "pos", "stance", "text", F.round("weight", 6).alias("weight"), "host", "month")
 
 
 def resolve_long(spark, sf_dir):
-    one = claims.strongest(_voices(spark), ["request_id"])
+    return long_answers(_asked(spark, sf_dir), *_outcome(spark, sf_dir))
+
+
+def long_answers(requests: DataFrame, asked: DataFrame, out: resolve.Outcome) -> DataFrame:
+    """An answer in prose and as a list for each request."""
+    one = shared.stored(claims.strongest(_voices(asked, out), ["request_id"]))
     told = claims.prose(one, ["request_id"]).join(claims.listed(one, ["request_id"]), "request_id")
-    out = _asked(spark).join(told, "request_id", "left")
-    return out.select("request_id", F.coalesce("prose", F.lit(claims.NOTHING_SAID)).alias("prose"), F.coalesce("numbered", F.lit(claims.NOTHING_LISTED)).alias("numbered"))
+    return requests.join(told, "request_id", "left").select("request_id", F.coalesce("prose", F.lit(claims.NOTHING_SAID)).alias("prose"), F.coalesce("numbered", F.lit(claims.NOTHING_LISTED)).alias("numbered"))
 
 
 def _event_attempts(events: DataFrame) -> DataFrame:

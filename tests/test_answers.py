@@ -5,6 +5,8 @@ from assayer.operators import claims, gate, ingest, resolve, score, search
 from assayer.plans import library, texts
 from assayer.sources import corpus, outline
 
+SF = "/root/testdata/sf0.001"
+
 # The prose that the voices below must give.
 VOICE = "request_id int, pos int, stance string, subject string, predicate string, object string, host string, month string, trust double"
 
@@ -50,12 +52,18 @@ def test_when(spark):
 
 
 def test_answers_from_the_library(spark):
-    rows = {r["claim_id"]: r for r in texts.resolve_quick(spark, "").collect()}
+    asked, out = texts._outcome(spark, SF)
+    rows = {r["claim_id"]: r for r in texts.quick_answers(asked, out).collect()}
     assert rows[101]["verdict"] == "for" and rows[101]["for_share"] >= 0.6
     assert rows[203]["verdict"] == "against"
-    told = {r["request_id"]: r for r in texts.resolve_long(spark, "").collect()}
+    told = {r["request_id"]: r for r in texts.long_answers(texts._asked(spark, SF), asked, out).collect()}
     assert "rumour" not in told[1]["prose"] and told[1]["numbered"].split(".")[0] == "31"
     assert told[3]["prose"] == claims.NOTHING_SAID
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    assert len(told) == len(library.REQUESTS) + items.count()
+    of_items = [k for k in rows if k > 1_000_000]
+    assert of_items and all(rows[k]["rounds"] >= 1 for k in of_items)
+    assert {k // 100 for k in rows} <= set(told)
 
 
 def test_saved_routes_answer_at_once(spark):
