@@ -88,3 +88,13 @@ def _batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     """True where crc32 of the id as text has that remainder."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder
+
+
+def crc32_sql(source: str) -> str:
+    """CTEs of DuckDB, the last of which is crcs(x, crc): the unsigned CRC-32 of the UTF-8 bytes of each string x of source."""
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"""
+crc_table AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda c, k: {step}, b) ORDER BY b) AS crc_of FROM range(256) r(b)),
+crcs AS MATERIALIZED (
+  SELECT x, xor(list_reduce(list_transform(regexp_extract_all(hex(x), '..'), lambda h: ('0x' || h)::BIGINT), lambda c, b: xor(c >> 8, crc_of[xor(c, b) % 256 + 1]), 4294967295), 4294967295) AS crc
+  FROM {source}, crc_table)"""
