@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.llm import conversation_trie, ctph, decontaminate, html_extract, language_id, license_scan, line_dedup, lm_score, packing, sharding, simhash, suffix_dedup
+from assayer.llm import conversation_trie, ctph, decontaminate, html_extract, language_id, license_scan, line_dedup, lm_score, packing, sharding, simhash, spelling, suffix_dedup
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op10_license_scan": license_scan.op10,
         "op11_conversation_trie": conversation_trie.op11,
         "op12_sharding": sharding.op12,
+        "op13_spelling": spelling.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.SQL, "op10_license_scan": license_scan.twin(), "op11_conversation_trie": conversation_trie.twin(), "op12_sharding": sharding.twin()}
+    return {"op3_line_dedup": line_dedup.SQL, "op10_license_scan": license_scan.twin(), "op11_conversation_trie": conversation_trie.twin(), "op12_sharding": sharding.twin(), "op13_spelling": spelling.twin()}
