@@ -6,31 +6,41 @@ find is merged in the order of claims and topics, so results don't depend on tim
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayer.functions.ranges import running
 from assayer.functions.shared import stored
 from assayer.operators import ingest, score, search, store, topics
 
 #: A share's least move in a cycle of reflection, and the cycles without any that end it.
 LEAST_MOVE, CALM_CYCLES = 1e-3, 2
+#: What holds of a triple for any claim.
+TOPIC = ["ss", "os", "pol", "host"]
 MEMORY = "subject string, predicate string, object string, source string, added double, trust_q int, hits int, row long"
 
 
 @dataclass
 class Library:
-    """What can be searched: docs (doc, locator, text, added), trust (host, trust), their number, and the index of stems."""
+    """What can be searched, read once: weighted postings (doc, stem, idf), the admitted docs (doc, source), and their valid triples with topics."""
 
-    docs: DataFrame
-    trust: DataFrame
     postings: DataFrame
     n_docs: int
+    sources: DataFrame
+    said: DataFrame
 
     @classmethod
     def of(cls, docs: DataFrame, trust: DataFrame) -> Library:
-        return cls(docs, trust, stored(search.index(docs, locator_col="locator")), docs.count())
+        """The library of docs (doc, locator, text, added), gated by trust (host, trust). Triples lie in the order of doc."""
+        n_docs = docs.count()
+        postings = stored(search.weighted(stored(search.index(docs, locator_col="locator")), n_docs))
+        heard = ingest.hear(docs, trust)
+        valid = stored(ingest.attempts(docs, trust, heard=heard).filter("valid").drop("valid", "trust"))
+        said = stored(score.with_topics(valid).repartitionByRange("doc").sortWithinPartitions("doc"))
+        return cls(postings, n_docs, stored(heard.docs.select("doc", "source")), said)
 
 
 @dataclass
@@ -46,41 +56,65 @@ class Outcome:
     cycles: DataFrame
 
 
+def _no_topics(memory: DataFrame) -> DataFrame:
+    return memory.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in zip(TOPIC, ("array<string>", "array<string>", "int", "string"), strict=True)])
+
+
 def empty_memory(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], MEMORY)
 
 
 def weigh(claims: DataFrame, memory: DataFrame, now: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(evidence, tallies, verdicts), written."""
-    found = stored(score.evidence(claims, score.corroborate(score.with_topics(memory)), now))
+    """(evidence, tallies, verdicts), the first two written, over a memory with topics."""
+    facts = memory.withColumn("trust", F.col("trust_q") / 255.0)
+    found = stored(score.evidence(claims, score.corroborate(facts), now))
     tallies = stored(score.tally(claims, found))
     return found, tallies, score.verdicts(tallies)
 
 
-def look_up(library: Library, asked: DataFrame, memory: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Searches asked (claim_id, place, topic): (memory, counts, steps, the claim_ids whose own searches found new triples)."""
-    distinct = topics.with_limits(asked.select("topic").distinct(), counts).withColumn("query_id", F.col("topic")).withColumn("query", F.col("topic"))
-    hits = stored(search.top_documents(distinct, library.postings, library.n_docs, "n_docs").select(F.col("query_id").alias("topic"), "doc", F.col("place").alias("k")))
-    docs = library.docs.join(hits.select("doc").distinct(), "doc", "left_semi")
-    heard = ingest.hear(docs, library.trust)
-    tried = stored(ingest.attempts(docs, library.trust, heard=heard))
-    order = asked.join(hits, "topic").groupBy("doc").agg(F.min(F.struct("claim_id", "place", "k")).alias("o"))
-    keyed = tried.filter("valid").join(order, "doc").groupBy(*store.KEY).agg(F.max("added").alias("added"), F.max("trust_q").alias("trust_q"), F.min(F.struct("o", "at")).alias("o"))
-    fresh = keyed.join(memory.select(*store.KEY), store.KEY, "left_anti")
-    last = memory.agg(F.coalesce(F.max("row"), F.lit(0)).alias("last"))
-    # Rows are numbered within their claim, behind those of the claims before it; only the claims' counts meet in one task.
-    fresh = fresh.withColumn("claim", F.col("o.o.claim_id"))
-    ahead = fresh.groupBy("claim").agg(F.count(F.lit(1)).alias("c")).withColumn("ahead", F.coalesce(F.sum("c").over(Window.orderBy("claim").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = fresh.withColumn("k", F.row_number().over(Window.partitionBy("claim").orderBy("o"))).join(ahead, "claim").withColumn("n", F.col("ahead") + F.col("k"))
-    numbered = placed.crossJoin(last).select(*store.KEY, "added", "trust_q", F.lit(0).alias("hits"), (F.col("last") + F.col("n")).cast("long").alias("row"))
-    known = keyed.select(*store.KEY, F.col("added").alias("a"), F.col("trust_q").alias("q"))
-    kept = memory.join(known, store.KEY, "left").select(*store.KEY, F.greatest("added", "a").alias("added"), F.greatest("trust_q", "q").alias("trust_q"), "hits", "row")
-    grown = stored(kept.unionByName(numbered))
-    links = hits.join(heard.docs.select("doc", "source"), "doc").groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "source"))), lambda x: x["source"]).alias("links"))
-    steps = asked.join(links, "topic", "left").withColumn("links", F.coalesce("links", F.array().cast("array<string>")))
-    askers = asked.join(hits, "topic").select("doc", "claim_id").distinct()
-    lucky = tried.filter("valid").join(memory.select(*store.KEY), store.KEY, "left_anti").select("doc").distinct().join(askers, "doc").select("claim_id").distinct()
-    return grown, stored(topics.count_topics(counts, asked)), steps.select("claim_id", "place", "topic", "links"), stored(lucky)
+@dataclass
+class Search:
+    """What the searches of a job have done so far: topics asked (each time), documents taken, and the memory with topics."""
+
+    memory: DataFrame
+    before: DataFrame
+    taken: DataFrame
+    last_row: int
+    asked: list[DataFrame] = field(default_factory=list)
+
+    def counts(self) -> DataFrame:
+        """(topic, count) with what was searched before this job."""
+        return topics.count_topics(self.before, reduce(DataFrame.unionByName, [a.select("topic") for a in self.asked])) if self.asked else self.before
+
+    def look_up(self, library: Library, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Searches asked (claim_id, place, topic), takes in what new documents say, and returns (hits by topic, fresh triples by document).
+
+        Only documents that no search has met before are joined with what they say: the others have nothing new. A new
+        triple's row is its place in the order of (claim, place, hit, place in the document) behind those known.
+        """
+        queries = topics.with_limits(asked.select("topic").distinct(), self.counts()).withColumn("query_id", F.col("topic")).withColumn("query", F.col("topic"))
+        hits = stored(search.top_documents(queries, library.postings, library.n_docs, "n_docs").select(F.col("query_id").alias("topic"), "doc", F.col("place").alias("k")))
+        self.asked.append(asked)
+        order = asked.join(hits, "topic").groupBy("doc").agg(F.min(F.struct("claim_id", "place", "k")).alias("o"))
+        new = stored(order.join(self.taken, "doc", "left_anti"))
+        self.taken = self.taken.unionByName(new.select("doc"))
+        said = stored(library.said.join(new, "doc").select("doc", *store.KEY, *TOPIC, "added", "trust_q", F.struct("o", "at").alias("o")))
+        keyed = said.groupBy(*store.KEY).agg(F.max("added").alias("added"), F.max("trust_q").alias("trust_q"), F.min("o").alias("o"), *[F.first(c).alias(c) for c in TOPIC])
+        known = self.memory.select(*store.KEY)
+        fresh = stored(keyed.join(known, store.KEY, "left_anti"))
+        numbered = running(fresh, [], [F.col("o")], {"n": F.lit(1).cast("long")}).withColumn("row", F.lit(self.last_row) + F.col("n")).withColumn("hits", F.lit(0))
+        again = keyed.select(*store.KEY, F.col("added").alias("a"), F.col("trust_q").alias("q"))
+        kept = self.memory.join(again, store.KEY, "left").select(*store.KEY, F.greatest("added", "a").alias("added"), F.greatest("trust_q", "q").alias("trust_q"), "hits", "row", *TOPIC)
+        by_doc = said.join(fresh.select(*store.KEY), store.KEY, "left_semi").select("doc").distinct()
+        self.last_row += fresh.count()
+        self.memory = stored(kept.unionByName(numbered.select(*kept.columns)))
+        return hits, by_doc
+
+
+def _links(library: Library, asked: DataFrame, hits: DataFrame) -> DataFrame:
+    """(claim_id, place, topic, links): what each topic asked has met, in order."""
+    met = hits.join(library.sources, "doc").groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "source"))), lambda x: x["source"]).alias("links"))  # eight links at most
+    return asked.join(met, "topic", "left").select("claim_id", "place", "topic", F.coalesce("links", F.array().cast("array<string>")).alias("links"))
 
 
 def resolve(claims: DataFrame, library: Library, memory: DataFrame, now: float, counts: DataFrame | None = None, routes: DataFrame | None = None, cycles: int = 0) -> Outcome:
@@ -93,7 +127,10 @@ def resolve(claims: DataFrame, library: Library, memory: DataFrame, now: float,
     spark = claims.sparkSession
     claims = stored(claims)
     counts = stored(counts if counts is not None else spark.createDataFrame([], "topic string, count long"))
-    found, tallies, judged = weigh(claims, memory, now)
+    columns, began = memory.columns, memory.agg(F.max("row").alias("last"), F.count(F.lit(1)).alias("n")).first()
+    topical = score.with_topics(memory).select(*columns, *TOPIC) if began["n"] else _no_topics(memory)
+    held = Search(stored(topical), counts, spark.createDataFrame([], "doc long"), began["last"] or 0)
+    found, tallies, judged = weigh(claims, held.memory, now)
     replayed = claims.limit(0).select("claim_id")
     if routes is not None:
         replayed = stored(claims.join(routes.select("key").distinct(), "key", "left_semi").join(judged.filter("resolved").select("claim_id"), "claim_id", "left_semi").select("claim_id"))
@@ -110,10 +147,10 @@ def resolve(claims: DataFrame, library: Library, memory: DataFrame, now: float,
         if asked.isEmpty():
             continue
         rounds.append(asked.select("claim_id").distinct())
-        memory, counts, steps, _ = look_up(library, asked, memory, counts)
-        searched = asked.select("claim_id", "topic") if searched is None else stored(searched.unionByName(asked.select("claim_id", "topic")))
-        first = stored(steps) if layer == 0 else first
-        found, tallies, judged = weigh(claims, memory, now)
+        hits, _ = held.look_up(library, asked)
+        searched = asked.select("claim_id", "topic") if searched is None else searched.unionByName(asked.select("claim_id", "topic"))
+        first = stored(_links(library, asked, hits)) if layer == 0 else first
+        found, tallies, judged = weigh(claims, held.memory, now)
         active = stored(active.join(judged.filter("NOT resolved").select("claim_id"), "claim_id", "left_semi"))
     thinking = stored(claims.join(replayed, "claim_id", "left_anti").withColumn("calm", F.lit(0)))
     thought = []
@@ -123,9 +160,10 @@ def resolve(claims: DataFrame, library: Library, memory: DataFrame, now: float,
             break
         before, turn = tallies, asked.select("claim_id").distinct()
         thought.append(turn)
-        memory, counts, _, lucky = look_up(library, asked, memory, counts)
-        searched = stored(searched.unionByName(asked.select("claim_id", "topic"))) if searched is not None else asked.select("claim_id", "topic")
-        found, tallies, judged = weigh(claims, memory, now)
+        hits, by_doc = held.look_up(library, asked)
+        lucky = asked.join(hits, "topic").join(by_doc, "doc", "left_semi").select("claim_id").distinct()
+        searched = searched.unionByName(asked.select("claim_id", "topic")) if searched is not None else asked.select("claim_id", "topic")
+        found, tallies, judged = weigh(claims, held.memory, now)
         shift = F.greatest(*[F.abs(F.col(f"a.{s}_share") - F.col(f"b.{s}_share")) for s in score.STANCES])
         moved = tallies.alias("a").join(before.alias("b"), "claim_id").filter(shift >= LEAST_MOVE).select("claim_id")
         stirred = lucky.unionByName(moved).distinct().withColumn("stirred", F.lit(True))
@@ -133,7 +171,7 @@ def resolve(claims: DataFrame, library: Library, memory: DataFrame, now: float,
         thinking = stored(thinking.join(turn, "claim_id", "left_semi").join(stirred, "claim_id", "left").withColumn("calm", calm).drop("stirred").filter(F.col("calm") < CALM_CYCLES))
     ranked = score.ranked(found)
     used = ranked.filter("place <= 12").groupBy("row").agg(F.count(F.lit(1)).cast("int").alias("more"))
-    touched = memory.join(used, "row", "left").withColumn("hits", (F.col("hits") + F.coalesce("more", F.lit(0))).cast("int")).drop("more")
+    touched = held.memory.join(used, "row", "left").withColumn("hits", (F.col("hits") + F.coalesce("more", F.lit(0))).cast("int")).drop("more")
     count = rounds[0].withColumn("rounds", F.lit(1)) if rounds else claims.limit(0).select("claim_id", F.lit(1).alias("rounds"))
     for r in rounds[1:]:
         count = count.unionByName(r.withColumn("rounds", F.lit(1)))
@@ -143,4 +181,4 @@ def resolve(claims: DataFrame, library: Library, memory: DataFrame, now: float,
         cycled = cycled.unionAll(t)
     cycled = claims.select("claim_id").join(cycled.groupBy("claim_id").agg(F.count(F.lit(1)).alias("cycles")), "claim_id", "left").select("claim_id", F.coalesce("cycles", F.lit(0)).alias("cycles"))
     first = first if first is not None else spark.createDataFrame([], "claim_id int, place int, topic string, links array<string>")
-    return Outcome(judged, ranked, first.withColumnRenamed("place", "step"), touched.select(*memory.columns), counts, told, cycled)
+    return Outcome(judged, ranked, first.withColumnRenamed("place", "step"), touched.select(*columns), stored(held.counts()), told, cycled)

@@ -11,7 +11,6 @@ from assayer.functions import nlp, readings, shared, text
 from assayer.operators import claims, gate, ingest, resolve, score, search, store, topics
 from assayer.plans import library, sample
 from assayer.sources import outline
-from assayer.sources.generations import Generations
 from assayer.streaming import ingest as stream
 
 TRUST = [("example.com", 0.8), ("example.org", 0.5), ("blog.tionble.example.com", 0.3), ("net", 0.1)]
@@ -179,7 +178,8 @@ def stream_upsert(spark, sf_dir):
     base = f"{shared.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = spark.readStream.schema(sample.table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 4).parquet(path)
     stream.start(_event_attempts(events), f"{base}/memory", f"{base}/checkpoint").awaitTermination()
-    return Generations(spark, f"{base}/memory").load()[0].select(*store.KEY, "added", "trust_q")
+    _, held, _ = stream.memory_at(spark, f"{base}/memory").load()
+    return spark.createDataFrame([], stream.SAID) if held is None else held.select(*store.KEY, "added", "trust_q")
 
 
 _ADDRESS = "concat_ws('.', cast(user_id * 37 % 256 as string), cast(user_id * 101 % 256 as string), cast(event_id % 256 as string), '1')"

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.operators import store
+from assayer.sources.folder import Folder, digested
 
 VERSION, KEPT = 2, 2
 TABLES = ("strings", "triples")
@@ -19,45 +20,13 @@ TABLES = ("strings", "triples")
 FILE_ROWS = 4_000_000
 
 
-class Generations:
+class Generations(Folder):
     """The snapshots below a folder."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _at(self, name: str):
-        return self._path(f"{self.folder}/{name}")
-
-    def names(self) -> list[str]:
-        """Whole snapshots, oldest first."""
-        if not self._fs.exists(self._path(self.folder)):
-            return []
-        found = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder))]
-        return sorted((n for n in found if n.startswith("gen-") and not n.endswith(".tmp")), key=lambda n: int(n[4:]))
-
-    def _text(self, name: str) -> str | None:
-        if not self._fs.exists(self._at(name)):
-            return None
-        rows = self.spark.read.text(f"{self.folder}/{name}", wholetext=True).collect()
-        return rows[0][0] if rows else None
-
-    def _put(self, name: str, text: str) -> None:
-        """Writes a file aside and renames it over the one that is there, in one step where the file system can."""
-        out = self._fs.create(self._at(f"{name}.tmp"), True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        jvm = self.spark._jvm
-        over = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
-        over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
-        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        files.rename(self._fs.makeQualified(self._at(f"{name}.tmp")), self._fs.makeQualified(self._at(name)), over)
-
     def _digests(self, name: str) -> DataFrame:
         """(file, bytes, sha256) of the Parquet files of a snapshot's tables."""
-        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load([f"{self.folder}/{name}/{t}" for t in TABLES])
-        return files.select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+        files = digested(self.spark, [f"{self.folder}/{name}/{t}" for t in TABLES])
+        return files.select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("file"), "bytes", "sha256")
 
     def _is_whole(self, name: str) -> bool:
         """Whether a snapshot has the files that it was written with, and no others."""
@@ -66,21 +35,17 @@ class Generations:
 
     def save(self, triples: DataFrame, keep: int = KEPT) -> str:
         """Writes a snapshot of triples (subject, predicate, object, source, added, trust_q, hits) and points to it."""
-        names = self.names()
-        name = f"gen-{int(names[-1][4:]) + 1 if names else 1}"
+        name = self._next()
         strings, coded = store.encode(triples.select(*store.KEY, "added", "trust_q", "hits"))
         self._fs.delete(self._at(f"{name}.tmp"), True)
         strings.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{self.folder}/{name}.tmp/strings")
         coded.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{self.folder}/{name}.tmp/triples")
         self._digests(f"{name}.tmp").write.parquet(f"{self.folder}/{name}.tmp/files")
         self._put(f"{name}.tmp/manifest.json", json.dumps({"version": VERSION, "tables": list(TABLES)}))
-        self._fs.rename(self._at(f"{name}.tmp"), self._at(name))
-        self._put("CURRENT", name)
+        self._publish(name)
         for old in self.names()[: -max(KEPT, keep)]:
             self._fs.delete(self._at(old), True)
-        for s in self._fs.listStatus(self._path(self.folder)):
-            if s.getPath().getName().endswith(".tmp"):
-                self._fs.delete(s.getPath(), True)
+        self._sweep()
         return name
 
     def load(self, strict: bool = False) -> tuple[DataFrame | None, list[str]]:
@@ -89,9 +54,8 @@ class Generations:
         Rows that aren't valid triples are left out; strict: a snapshot with ids that no string has isn't taken, and having
         none at all is an error.
         """
-        names, warnings = self.names()[::-1], []
-        current = (self._text("CURRENT") or "").strip()
-        for name in [*([current] if current in names else []), *(n for n in names if n != current)]:
+        warnings = []
+        for name in self.newest_first():
             try:
                 told = json.loads(self._text(f"{name}/manifest.json") or "")
                 if told.get("version") != VERSION or told["tables"] != list(TABLES) or not self._is_whole(name):

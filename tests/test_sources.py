@@ -55,7 +55,7 @@ def test_document_stream_is_idempotent(spark, tmp_path):
     def run(name):
         docs = spark.readStream.schema("doc long, locator string, text string, added double").json(str(tmp_path / "in"))
         stream.start_documents(docs, trust, str(tmp_path / "memory"), str(tmp_path / name)).awaitTermination()
-        return sorted(map(tuple, stream.Generations(spark, str(tmp_path / "memory")).load()[0].select(*COLUMNS).collect()))
+        return sorted(map(tuple, stream.memory_at(spark, str(tmp_path / "memory")).load()[1].select(*COLUMNS).collect()))
 
     first = run("c1")
     assert len(first) == 3 and run("c2") == first  # a new checkpoint takes all documents again
