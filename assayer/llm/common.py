@@ -90,6 +90,19 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder
 
 
+def sortable_hex(number: Column) -> Column:
+    """A long as 16 hex digits that sort as the numbers do."""
+    return F.lpad(F.hex(number.bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+
+
+def below(key: Column, bounds: list[str]) -> Column:
+    """How many of the sorted bounds are at or below the key, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    held, steps = F.split(F.lit(",".join(bounds)), ","), [2**k for k in range(len(bounds).bit_length() - 1, -1, -1)]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when(F.get(held, at + s - 1) <= key, at + s).otherwise(at))
+
+
 def crc32_sql(source: str) -> str:
     """CTEs of DuckDB, the last of which is crcs(x, crc): the unsigned CRC-32 of the UTF-8 bytes of each string x of source."""
     step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"

@@ -10,12 +10,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import arrow_batches, as_bytes, rows, table
+from assayer.llm.common import arrow_batches, as_bytes, below, rows, sortable_hex, table
 
 WINDOW, PIECES, LEAST_BLOCK, COMMON = 8, 64, 4, 7
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -41,13 +40,15 @@ def _rolling(text: bytes) -> np.ndarray:
 def _signature(rolled: np.ndarray, sums: np.ndarray, block: int) -> str:
     cut = np.flatnonzero((rolled >> np.uint64(20)) & np.uint64(block - 1) == 0)
     ends = cut if len(cut) and cut[-1] == len(rolled) - 1 else np.append(cut, len(rolled) - 1)
+    if len(ends) > PIECES:  # texts that repeat themselves can cut at every period
+        ends = np.append(ends[: PIECES - 1], ends[-1])
     at = sums[ends]
     piece = at - np.concatenate([np.zeros(1, np.uint64), at[:-1]])
     return _LETTERS[((piece * _M) >> np.uint64(58)).astype(np.intp)].tobytes().decode()
 
 
 def fingerprint(text: bytes) -> str:
-    """block size:signature:signature at twice the size; '0::' for the empty text."""
+    """block size:signature:signature at twice the size, of 64 characters at most; '0::' for the empty text. What is behind 63 pieces is the last one."""
     if not text:
         return "0::"
     with np.errstate(over="ignore"):
@@ -96,37 +97,22 @@ def likeness(a: str, b: str) -> float:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (target, ghost, id, text) so partitioned and sorted that each row's successor in descending id follows it.
+    """Rows (target, ghost, key, id, text) so partitioned and sorted that each row's successor in descending id follows it.
 
-    Ids are dealt by quantiles into as many ranges as there are shuffle partitions; the first row of a range is also sent,
-    as a ghost, behind the range before it, and the first of all behind the last. Ties in id go by the text's hash; null
-    ids come last.
+    Rows are dealt by ranges of (id, hash of the text), as many as there are shuffle partitions, so that the rows of one id
+    are split too, but for those that are alike; the first row of a range is also sent, as a ghost, behind the range before it,
+    and the first of all behind the last. Ties in id go by the text's hash; null ids come last.
     """
-    spark = docs.sparkSession
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), as_bytes(text_col).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = own.agg(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] if n > 1 else []
-    cuts = np.array(sorted(set(cuts or [])), np.int64)
-
-    @F.pandas_udf("int")
-    def dealt(ids: pd.Series) -> pd.Series:
-        return pd.Series(len(cuts) - np.searchsorted(cuts, ids.to_numpy(np.int64), side="left")).astype("int32")
-
-    heads = sorted((r["range"], r["head"]) for r in own.select(dealt("id").alias("range"), "id").groupBy("range").agg(F.max("id").alias("head")).collect())
-    before = {head: heads[k - 1][0] for k, (_, head) in enumerate(heads)}  # a range has one head, so this is as long as the list of partitions
-    tops = np.array(sorted(before), np.int64)
-    targets = np.array([before[h] for h in tops.tolist()], np.int32)
-
-    @F.pandas_udf("array<int>")
-    def sent(ids: pd.Series) -> pd.Series:
-        v = ids.to_numpy(np.int64)
-        to = (len(cuts) - np.searchsorted(cuts, v, side="left")).astype(np.int32)
-        at = np.minimum(np.searchsorted(tops, v), max(0, len(tops) - 1))
-        is_head = tops[at] == v if len(tops) else np.zeros(len(v), bool)
-        return pd.Series([[int(t), int(targets[a])] if h else [int(t)] for t, a, h in zip(to, at, is_head, strict=True)])
-
-    spread = own.select(F.posexplode(sent("id")).alias("ghost", "target"), "id", "text")
-    return spread.repartition(n, "target").sortWithinPartitions("target", "ghost", F.desc("id"), F.xxhash64("text"), "text")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text, number = as_bytes(text_col), F.col(id_col).cast("long")
+    place = F.concat(F.when(number.isNull(), "1").otherwise("0"), F.coalesce(sortable_hex(F.bitwise_not(number)), F.lit("")), sortable_hex(F.xxhash64(text)))
+    ranges = docs.select(place.alias("key")).repartitionByRange(n, "key").withColumn("range", F.spark_partition_id()).groupBy("range").agg(F.min("key").alias("head"))
+    heads = sorted(r["head"] for r in ranges.collect())  # as many as there are partitions
+    own = docs.select(place.alias("key"), number.alias("id"), text.alias("text")).withColumn("at", below(F.col("key"), heads) - 1)
+    here, before = F.col("at"), F.pmod(F.col("at") - 1, F.lit(max(1, len(heads))))
+    is_head = F.col("key") == F.get(F.split(F.lit(",".join(heads)), ","), here)
+    spread = own.select(F.posexplode(F.when(is_head, F.array(here, before)).otherwise(F.array(here))).alias("ghost", "target"), "key", "id", "text")
+    return spread.repartition(n, "target").sortWithinPartitions("target", "ghost", "key")
 
 
 MADE = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
@@ -148,7 +134,7 @@ def _prints(batches):
                 _, before, was, old = held
                 new = edited(was, text).encode()
                 mark = fingerprint(new)
-                yield before if before != -(2**63) else None, len(was), hashlib.sha256(new).hexdigest(), old, mark, round(likeness(old, mark), 6), round(likeness(old, own), 6)
+                yield before, len(was), hashlib.sha256(new).hexdigest(), old, mark, round(likeness(old, mark), 6), round(likeness(old, own), 6)
             held = None if ghost else (target, key, text, own)
 
     yield from arrow_batches(records(), MADE)
@@ -157,8 +143,8 @@ def _prints(batches):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Null texts are empty, the fingerprint of an empty text is `0::`; the only row of a table is its own next one; repeated
-    rows each get their row; other columns are left out.
+    Null texts are empty, the fingerprint of an empty text is `0::`; the only row of a table is its own next one; null ids
+    come last and stay null; repeated rows each get their row; other columns are left out.
     """
     return with_next(docs, id_col, text_col).mapInArrow(_prints, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.common import as_bytes, crc32_sql, free_names, stored, table
+from assayer.llm.common import as_bytes, below, crc32_sql, free_names, sortable_hex, stored, table
 
 SHARDS, OVERHEAD = 40, 16
 #: A boundary moves to the edge of a group of equal texts within this share of a shard's bytes.
@@ -25,27 +25,14 @@ DIGEST, REST = 16, 33
 END = "~"
 
 
-def _hex(number: Column) -> Column:
-    """A long as 16 hex digits that sort as the numbers do."""
-    return F.lpad(F.hex(number.bitwiseXOR(F.lit(-(2**63)))), 16, "0")
-
-
 def keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
     """Columns carried, size, text_crc32 and key of each row; keys are unique, as equal rows differ in the last digits."""
     text, number = as_bytes(text_col), F.col(id_col).cast("long")
     size, crc, key = free_names(docs.select(*carry), "size", "text_crc32", "key")
-    parts = F.upper(F.substring(F.md5(text), 1, DIGEST)), F.when(number.isNull(), "0").otherwise("1"), F.coalesce(_hex(number), F.lit("0" * 16)), _hex(F.monotonically_increasing_id())
+    parts = F.upper(F.substring(F.md5(text), 1, DIGEST)), F.when(number.isNull(), "0").otherwise("1"), F.coalesce(sortable_hex(number), F.lit("0" * 16)), sortable_hex(F.monotonically_increasing_id())
     return docs.select(*carry, (F.octet_length(text) + OVERHEAD).cast("long").alias(size), F.crc32(text).alias(crc), F.concat(*parts).alias(key))
 
 
-def below(key: Column, bounds: list[str]) -> Column:
-    """How many of the sorted bounds are at or below the key, by binary search."""
-    if not bounds:
-        return F.lit(0)
-    held, steps = F.split(F.lit(",".join(bounds)), ","), [2**k for k in range(len(bounds).bit_length() - 1, -1, -1)]
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when(F.get(held, at + s - 1) <= key, at + s).otherwise(at))
-
-
 class _Span(NamedTuple):
     """Rows from one key to another: what lies below them, what they hold, and the key behind them."""
 

@@ -1,6 +1,8 @@
 import hashlib
 import random
+import time
 
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -36,13 +38,15 @@ def slow(text):
         rolled.append(((h ^ h >> 29) * int(ctph._M)) & mask)
 
     def signature(block):
-        out, total = "", 0
+        totals, total = [], 0
         for k, r in enumerate(rolled):
             total = (total + (r ^ r >> 32)) & mask
             if (r >> 20) & (block - 1) == 0 or k == len(rolled) - 1:
-                out += ctph.ALPHABET[((total * int(ctph._M)) & mask) >> 58]
+                totals.append(total)
                 total = 0
-        return out
+        if len(totals) > 64:
+            totals = totals[:63] + [sum(totals[63:]) & mask]
+        return "".join(ctph.ALPHABET[((t * int(ctph._M)) & mask) >> 58] for t in totals)
 
     block = ctph.LEAST_BLOCK
     while block * ctph.PIECES < len(text):
@@ -57,6 +61,33 @@ def test_fingerprint_by_hand():
     for n in (0, 1, 5, 8, 100, 3000):
         text = bytes(rng.randrange(256) for _ in range(n))
         assert ctph.fingerprint(text) == slow(text)
+    for text in (b" " * 3000, b"0123456789" * 500, b"ab\n" * 700 + b"end"):
+        assert ctph.fingerprint(text) == slow(text) and len(ctph.fingerprint(text)) < 140
+
+
+def test_texts_that_repeat_themselves():
+    """A megabyte of a short period has a bounded fingerprint, compared at once."""
+    prints = [ctph.fingerprint(t[: 10**6]) for t in (b" " * 10**6, b"0123456789" * 10**5, b"\n\t" * 500_000, bytes(range(256)) * 4000)]
+    began = time.perf_counter()
+    assert all(len(p) < 140 for p in prints) and all(0 <= ctph.likeness(a, b) <= 1 for a in prints for b in prints)
+    assert time.perf_counter() - began < 1
+
+
+def test_every_successor(spark):
+    """Repeated ids, null ids, the least id, equal rows and clashing names, against a sorted list."""
+    rng = random.Random(6)
+    ids = [None, None, -(2**63), -(2**63), 2**63 - 1, -1, 0, *[7] * 40, *range(20)]
+    rows = [(i, rng.choice([None, "", "é", *(f"text number {k} " * k for k in range(30))])) for i in ids] + [(7, "alike")] * 5
+    key = lambda r: (r[0] is None, -(r[0] or 0), (h := xxhash.xxh64_intdigest((r[1] or "").encode(), seed=42)) - (h >> 63 << 64))
+    order = sorted(rows, key=key)
+    want = []
+    for k, (i, text) in enumerate(order):
+        text, after = text or "", order[(k + 1) % len(order)][1] or ""
+        new = ctph.edited(text, after).encode()
+        print_ = ctph.fingerprint(text.encode())
+        want.append((i, len(text), hashlib.sha256(new).hexdigest(), print_, ctph.fingerprint(new), round(ctph.likeness(print_, ctph.fingerprint(new)), 6), round(ctph.likeness(print_, ctph.fingerprint(after.encode())), 6)))
+    df = spark.createDataFrame([(*r, "a", 1, "b") for r in rows], "doc_id long, text string, key string, target int, ghost string").repartition(5)
+    assert sorted(map(str, map(tuple, ctph.fingerprints(df).collect()))) == sorted(map(str, want))
 
 
 def test_documents(docs, documents):
