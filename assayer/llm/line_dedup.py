@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from assayer.llm.common import free_names, stored, table
 
 RATIO, MIN_PAGES = 0.05, 5
+#: Pages whose lines are frequent ones to this share are near copies of each other, and not boilerplate.
+COPIED = 0.8
 
 
 def _lines(text: Column) -> Column:
@@ -23,12 +25,24 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
 
     A line counts once a page; a key is the line's MD5 digest. Of a host with P pages and L distinct lines a page on
     average, at most L / ratio lines can exceed the ratio, which bounds the array. Blank lines are never boilerplate.
-    Without `copies`, equal texts of a host are one page, so that a group of copies doesn't make its own lines boilerplate.
+    Without `copies`, equal texts of a host are one page, and of pages that consist of frequent lines to the share COPIED,
+    those with the same least line of these are one: so groups of copies and of near copies don't make their own lines boilerplate.
     """
     keys = F.transform(F.filter(F.array_distinct(_lines(F.col(text))), lambda x: F.trim(x) != ""), _key)
     pages = docs.select(F.col(host).alias("host"), keys.alias("keys"), _key(F.col(text)).alias("page"))
     if not copies:
         pages = stored(pages.groupBy("host", "page").agg(F.first("keys").alias("keys")))
+        often = stored(_frequent(pages, ratio, min_pages).withColumnsRenamed({"host": "by", "keys": "often"}))
+        met = F.array_intersect("keys", F.coalesce("often", F.array().cast("array<binary>")))
+        told = pages.join(often, pages["host"].eqNullSafe(often["by"]), "left").select("host", "keys", "page", met.alias("met"))
+        near = (F.size("met") > 0) & (F.size("met") >= COPIED * F.size("keys"))
+        told = stored(told.select("host", "keys", F.when(near, F.array_min("met")).otherwise(F.col("page")).alias("group"), near.alias("near")))
+        pages = told.filter("near").groupBy("host", "group").agg(F.first("keys").alias("keys")).select("host", "keys").unionByName(told.filter("NOT coalesce(near, false)").select("host", "keys"))
+    return _frequent(pages, ratio, min_pages)
+
+
+def _frequent(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
+    """(host, keys) of the lines that over `ratio` of a host's pages and `min_pages` at least have."""
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     seen = pages.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
     over = seen.join(totals, seen["host"].eqNullSafe(totals["host"])).filter(F.col("n") > ratio * F.col("pages"))
@@ -39,7 +53,7 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     """docs with boilerplate lines cut from the text, and n_lines and n_dropped (long) behind.
 
     Lines are split at \\n and compared exactly. A line goes where over `ratio` of its host's rows, and `min_pages` at
-    least, hold it; without `copies`, of its host's distinct texts. Null hosts are one host; a null text stays null with no lines; an empty text has one blank line; rows
+    least, hold it; without `copies`, of its host's texts, where copies and near copies are one. Null hosts are one host; a null text stays null with no lines; an empty text has one blank line; rows
     stay one for one, repeated rows and unknown columns too; columns called n_lines or n_dropped are replaced.
     """
     by, keys, kept = free_names(docs, "host_", "keys_", "kept_")

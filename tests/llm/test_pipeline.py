@@ -1,6 +1,7 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -13,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_twin(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = queries.queries()[name](spark, SF).toPandas()
     want = con.sql(queries.oracle_sql()[name]).df()[got.columns]
@@ -22,7 +23,7 @@ def test_twin(spark, name):
 
 
 def test_registered():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.queries()) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.queries()) == list(range(1, 14))
     assert set(queries.queries()) | {"pipeline"} <= set(entry.queries())
 
 
@@ -94,3 +95,29 @@ def test_copies_survive_line_dedup(spark):
     assert [kept.get(k) for k in range(12)] == copied + [None] * 10
     assert all("Menu" not in t for t in kept.values())
     assert {0, 1} <= {r["doc_id"] for r in corpus_pipeline.STAGES[4][1](spark, docs, SF).collect()}
+
+
+def test_near_copies_survive_line_dedup(spark):
+    """Of six near copies one whole text stays; a menu line of all the others goes; a host of pages that are mostly menu keeps it."""
+    lines = [f"line {k} of a long text about w{k}x" for k in range(40)]
+    rows = [(k, "\n".join([*lines, f"copy number {k}"]), "en", "a", 0) for k in range(6)]
+    rows += [(10 + k, "\n".join([*lines[:k], f"another line {k}", *lines[k + 1 :]]), "en", "a", 0) for k in range(6)]
+    rows += [(100 + k, f"Menu home about\nstory number {k} tells of v{k}y\nand of z{k}", "en", "a", 0) for k in range(60)]
+    docs = stored(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_boilerplate_lines(spark, docs, SF).collect()}
+    assert all(kept[k] == t for k, t, *_ in rows if k < 100)
+    assert all(kept[k] == t.split("\n", 1)[1] for k, t, *_ in rows if k >= 100)
+
+
+CLASHES = ["d", "k", "__key", "score", "lang_pred", "ambiguous", "leaks", "n_lines", "n_dropped", "text_key", "root", "own", "first", "lost", "component_id", "fingerprint", "print", "bytes", "host_"]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    """Columns with the names that operators use inside or add stay as they are, value by value, in every stage but the last."""
+    base = table(spark, SF, "documents").limit(60)
+    docs = stored(base.select("*", *[F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")).alias(c) for c in CLASHES]))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, SF))
+        assert docs.columns == [*base.columns, *CLASHES], name
+        assert docs.count() and all(r[c] == f"{c} of {r['doc_id']}" for r in docs.collect() for c in CLASHES), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count()
