@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +36,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """left joined with right (stored, a row a key; `rows`: how many rows of left have it), so that no task gets all rows of a hot key.
+
+    Keys that hold over a thousandth of the rows, which are fewer than a thousand, are broadcast; the rest is shuffled.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    few = F.broadcast(right.filter(F.col(rows) * 1000 > total).drop(rows))
+    return left.join(few, keys).unionByName(left.join(few.select(*keys), keys, "left_anti").join(right.filter(F.col(rows) * 1000 <= total).drop(rows), keys))
+
+
 def drop_stored(spark: SparkSession) -> None:
     """Deletes the tables that this application has stored; to be called when a job's results have been written or read."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))

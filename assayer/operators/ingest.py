@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import readings, text
-from assayer.functions.shared import stored
+from assayer.functions.shared import hot_join, stored
 from assayer.operators import gate, store
 
 MOST_PER_DOC = 200
@@ -27,14 +27,14 @@ class Heard(NamedTuple):
 
 
 def parse(sentences: DataFrame) -> DataFrame:
-    """(s1, s2, sentence, directive, readings) of the distinct sentences, written, so that each is read once; directive ones have no readings.
+    """(s1, s2, sentence, heard, directive, readings) of the distinct sentences and how often each stands, written, so that each is read once; directive ones have no readings.
 
     They are dealt anew, as reading costs more than their size tells.
     """
     n = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    told = sentences.select("sentence").distinct().repartition(n).withColumn("directive", text.is_directive("sentence"))
+    told = sentences.groupBy("sentence").agg(F.count(F.lit(1)).alias("heard")).repartition(n).withColumn("directive", text.is_directive("sentence"))
     said = readings.voted_readings(F.when(~F.col("directive"), F.col("sentence")))
-    return stored(told.select(*sentence_ids(), "sentence", "directive", said.alias("readings")))
+    return stored(told.select(*sentence_ids(), "sentence", "heard", "directive", said.alias("readings")))
 
 
 def hear(docs: DataFrame, trust: DataFrame, doc_col: str = "doc") -> Heard:
@@ -51,12 +51,13 @@ def hear(docs: DataFrame, trust: DataFrame, doc_col: str = "doc") -> Heard:
 def found_triples(heard: Heard) -> DataFrame:
     """(doc, at, subject, predicate, object, source, added, trust_q): what the docs heard say, in order and up to 200 each.
 
-    Sentences come first, each with its readings, then the questions that the text answers.
+    Sentences come first, each with its readings, then the questions that the text answers. A sentence that many documents
+    have meets them by broadcast.
     """
     facts = ["doc", "source", "added", "trust_q"]
     said = heard.docs.select(*facts, F.posexplode("parts").alias("k", "sentence"))
-    read = heard.read.filter(F.size("readings") > 0).select("s1", "s2", "readings")
-    spoken = said.select(*facts, "k", *sentence_ids()).join(read, ["s1", "s2"]).select(*facts, F.lit(0).alias("part"), "k", F.posexplode("readings").alias("i", "r"))
+    read = heard.read.filter(F.size("readings") > 0).select("s1", "s2", "heard", "readings")
+    spoken = hot_join(said.select(*facts, "k", *sentence_ids()), read, ["s1", "s2"], "heard").select(*facts, F.lit(0).alias("part"), "k", F.posexplode("readings").alias("i", "r"))
     pairs = heard.docs.select(*facts, F.posexplode("pairs").alias("k", "pair")).filter(~text.is_directive(F.col("pair.question")))
     answers = pairs.select(*facts, F.lit(1).alias("part"), "k", F.col("pair.denied").alias("denied"), F.posexplode(readings.question_readings(F.col("pair.question"))).alias("i", "r"))
     p = F.col("r.predicate")
@@ -76,11 +77,10 @@ def attempts(docs: DataFrame, trust: DataFrame, doc_col: str = "doc", heard: Hea
 def stats(docs: DataFrame, trust: DataFrame, tried: DataFrame, memory: DataFrame | None = None, heard: Heard | None = None) -> DataFrame:
     """One row: docs, rejected_docs, dropped (directive sentences), triples (attempts), new_triples."""
     heard = hear(docs, trust) if heard is None else heard
-    total = docs.agg(F.count(F.lit(1)).alias("n"))
-    told = heard.read.filter("directive").select("s1", "s2")
-    dropped = heard.docs.select(F.explode("parts").alias("sentence")).select(*sentence_ids()).join(told, ["s1", "s2"], "left_semi").agg(F.count(F.lit(1)).alias("dropped"))
-    admitted = heard.docs.agg(F.count(F.lit(1)).alias("docs"))
-    counted = admitted.crossJoin(dropped).crossJoin(total).select("docs", (F.col("n") - F.col("docs")).alias("rejected_docs"), "dropped")
     keys = tried.filter("valid").select(*store.KEY).distinct()
     fresh = keys if memory is None else keys.join(memory.select(*store.KEY), store.KEY, "left_anti")
-    return counted.crossJoin(tried.agg(F.count(F.lit(1)).alias("triples"))).crossJoin(fresh.agg(F.count(F.lit(1)).alias("new_triples")))  # a row each
+    one = lambda df, name, n=F.count(F.lit(1)): df.agg(F.lit(name).alias("name"), F.coalesce(n, F.lit(0)).cast("long").alias("n"))
+    # Directive sentences were counted as they were read.
+    counts = one(docs, "all").unionAll(one(heard.docs, "docs")).unionAll(one(heard.read.filter("directive"), "dropped", F.sum("heard"))).unionAll(one(tried, "triples")).unionAll(one(fresh, "new_triples"))
+    named = counts.agg(*[F.sum(F.when(F.col("name") == c, F.col("n"))).alias(c) for c in ("all", "docs", "dropped", "triples", "new_triples")])
+    return named.select("docs", (F.col("all") - F.col("docs")).alias("rejected_docs"), "dropped", "triples", "new_triples")

@@ -12,6 +12,7 @@ from assayer.functions.shared import stored
 PRIOR, PARTIAL, THRESHOLD, LEAST_HOSTS = 0.15, 0.25, 0.60, 2
 #: What one more independent voice adds, and up to how many count.
 VOICE_GAIN, MOST_VOICES = 0.25, 3
+SIGNS, TOPIC = (1, -1, 0), ["t1", "t2"]
 
 
 def with_topics(triples: DataFrame) -> DataFrame:
@@ -30,22 +31,36 @@ def _side(pol: Column, prefix: str, sign: int) -> Column:
     return F.when(pol == 1, F.col(f"{prefix}{sign}")).when(pol == -1, F.col(f"{prefix}{-sign}"))
 
 
-def corroborate(triples: DataFrame) -> DataFrame:
+def keyed(triples: DataFrame) -> DataFrame:
+    """triples with their topic: 128 bits for both stem sets."""
+    return triples.withColumns({"t1": F.xxhash64("ss", "os"), "t2": F.xxhash64(F.lit(1), "ss", "os")})
+
+
+def voices(triples: DataFrame) -> DataFrame:
+    """(topic, host, h1, h-1, h0): whether a host says each sign about a topic."""
+    return triples.groupBy(*TOPIC, "host").agg(*[F.max((F.col("pol") == s).cast("int")).alias(f"h{s}") for s in SIGNS])
+
+
+def numbers(heard: DataFrame) -> DataFrame:
+    """(topic, n1, n-1, n0): how many hosts say each sign about a topic."""
+    return heard.groupBy(*TOPIC).agg(*[F.sum(f"h{s}").alias(f"n{s}") for s in SIGNS])
+
+
+def corroborate(triples: DataFrame, heard: DataFrame | None = None, counted: DataFrame | None = None) -> DataFrame:
     """triples with syn, ant and corr.
 
     syn counts the other hosts that say the same about the same topic (both stem sets), ant those that say the opposite.
-    Hosts are first reduced to one row a topic, and topics to three numbers, so a hot topic meets its rows as numbers.
+    Hosts are first reduced to one row a topic, and topics to three numbers, so a hot topic meets its rows as numbers; both
+    can be given where they are kept (voices and numbers of all triples).
     """
-    signs = (1, -1, 0)
-    topic = ["t1", "t2"]  # 128 bits for both stem sets
-    keyed = triples.withColumns({"t1": F.xxhash64("ss", "os"), "t2": F.xxhash64(F.lit(1), "ss", "os")})
-    said = keyed.groupBy(*topic, "host").agg(*[F.max((F.col("pol") == s).cast("int")).alias(f"h{s}") for s in signs])
-    numbers = said.groupBy(*topic).agg(*[F.sum(f"h{s}").alias(f"n{s}") for s in signs])
-    joined = keyed.join(said.join(numbers, topic), [*topic, "host"]).drop(*topic)
+    own = keyed(triples)
+    heard = voices(own) if heard is None else heard
+    counted = numbers(heard) if counted is None else counted
+    joined = own.join(heard.join(counted, TOPIC), [*TOPIC, "host"]).drop(*TOPIC)
     pol = F.col("pol")
     syn = (F.coalesce(_side(pol, "n", 1), F.col("n0")) - 1).cast("int")
     ant = F.coalesce(_side(pol, "n", -1) - _side(pol, "h", -1), F.lit(0)).cast("int")
-    numbered = joined.withColumns({"syn": syn, "ant": ant}).drop(*[f"{x}{s}" for x in "hn" for s in signs])
+    numbered = joined.withColumns({"syn": syn, "ant": ant}).drop(*[f"{x}{s}" for x in "hn" for s in SIGNS])
     return numbered.withColumn("corr", (F.col("syn") + 1) / (F.col("syn") + F.col("ant") + 1) * (1 + VOICE_GAIN * F.least("syn", F.lit(MOST_VOICES))))
 
 
@@ -54,9 +69,13 @@ def candidates(claims: DataFrame, triples: DataFrame) -> DataFrame:
 
     Each pair meets once: at the first stem that both have.
     """
+    return met(claims, triples.withColumn("stem", F.explode("ss")))
+
+
+def met(claims: DataFrame, postings: DataFrame) -> DataFrame:
+    """The same of triples that stand once for each stem of their subject (`stem`), as an index has them."""
     asked = claims.select("claim_id", F.col("s").alias("cs"), F.col("o").alias("co"), F.col("pol").alias("cpol"), F.explode("s").alias("stem"))
-    held = triples.withColumn("stem", F.explode("ss"))
-    return asked.join(held, "stem").filter(F.col("stem") == F.get(F.array_intersect("cs", "ss"), F.lit(0))).drop("stem")
+    return asked.join(postings, "stem").filter(F.col("stem") == F.get(F.array_intersect("cs", "ss"), F.lit(0))).drop("stem")
 
 
 def evidence(claims: DataFrame, triples: DataFrame, now: float) -> DataFrame:
@@ -65,15 +84,19 @@ def evidence(claims: DataFrame, triples: DataFrame, now: float) -> DataFrame:
     Weights have 12 places. Ties keep the triple with the least row; first_row is the least row of the voice, which orders evidence of equal weight.
     triples need topics and corr.
     """
-    met = candidates(claims, triples)
+    return weighed(candidates(claims, triples), now)
+
+
+def weighed(found: DataFrame, now: float) -> DataFrame:
+    """The evidence that candidates (with corr) come to."""
     none = F.size("co") == 0
     full = none | F.arrays_overlap("co", F.array_union("os", "ss"))
     stance = F.when(~full | (F.col("pol") == 0) | (F.col("cpol") == 0), "neutral").when(F.col("pol") == F.col("cpol"), "for").otherwise("against")
     weight = F.round(F.col("trust") * F.col("corr") * nlp.recency("added", now) * F.when(full, 1.0).otherwise(PARTIAL), 12)
     topic = F.when(full & ~none, F.array_sort(F.array_intersect("os", "co"))).otherwise(F.col("os"))
-    weighed = met.withColumns({"stance": stance, "weight": weight, "topic": topic})
+    graded = found.withColumns({"stance": stance, "weight": weight, "topic": topic})
     fields = ["row", "subject", "predicate", "object", "source", "added", "trust", "pol", "corr", "weight"]
-    best = weighed.groupBy("claim_id", "host", "ss", "topic", "stance").agg(F.max_by(F.struct(*fields), F.struct("weight", -F.col("row"))).alias("best"), F.min("row").alias("first_row"))
+    best = graded.groupBy("claim_id", "host", "ss", "topic", "stance").agg(F.max_by(F.struct(*fields), F.struct("weight", -F.col("row"))).alias("best"), F.min("row").alias("first_row"))
     return best.select("claim_id", *[F.col(f"best.{f}").alias(f) for f in fields], "host", "stance", "first_row")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import nlp
+from assayer.functions.ranges import running
 from assayer.functions.shared import stored
 from assayer.functions.text import is_directive
 
@@ -54,10 +55,16 @@ def decode(strings: DataFrame, coded: DataFrame) -> DataFrame:
 
 
 def encode(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(strings, coded): distinct strings with ids from their hashes, and triples by ids."""
-    strings = triples.select(F.explode(F.array(*KEY)).alias("value")).distinct().withColumn("id", F.xxhash64("value"))
-    coded = triples.select(*[F.xxhash64(name).alias(code) for code, name in zip(("s", "p", "o", "src"), KEY, strict=True)], *[c for c in triples.columns if c not in KEY])
-    return strings, coded
+    """(strings, coded): distinct strings with dense ids from 0 in their order, and triples by ids.
+
+    Ids are ranks found by ranges, so no two strings share one; each column meets its strings in a join by value.
+    """
+    distinct = stored(triples.select(F.explode(F.array(*KEY)).alias("value")).distinct())
+    strings = stored(running(distinct, [], [F.col("value")], {"id": F.lit(1).cast("long")}).withColumn("id", F.col("id") - 1))
+    coded = triples
+    for code, name in zip(("s", "p", "o", "src"), KEY, strict=True):
+        coded = coded.join(strings.select(F.col("value").alias(name), F.col("id").alias(code)), name)
+    return strings, coded.select("s", "p", "o", "src", *[c for c in triples.columns if c not in KEY])
 
 
 def logical_size(triples: DataFrame) -> DataFrame:

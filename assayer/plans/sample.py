@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.functions import nlp, shared
+from assayer.functions.ranges import running
 from assayer.operators import score, store
 
 NOW = 1009843200.0
@@ -36,14 +37,8 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """rows with `row`, the place of the key (subject, predicate, object, source) in its order.
-
-    The order is found by ranges: a rank within each subject, behind the rows of the subjects before it.
-    """
-    per = rows.groupBy("subject").agg(F.count(F.lit(1)).alias("n"))
-    before = per.withColumn("before", F.sum("n").over(Window.orderBy("subject").rowsBetween(Window.unboundedPreceding, -1))).select("subject", F.coalesce("before", F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("subject").orderBy("predicate", "object", "source"))
-    return rows.withColumn("own", own).join(before, "subject").withColumn("row", (F.col("before") + F.col("own")).cast("long")).drop("own", "before")
+    """rows with `row`, the place of the key (subject, predicate, object, source) in its order, found by ranges."""
+    return running(shared.stored(rows), [], [F.col(c) for c in store.KEY], {"row": F.lit(1).cast("long")})
 
 
 def claims(spark: SparkSession) -> DataFrame:
