@@ -53,8 +53,7 @@ class Corroboration:
         names = table.newest_first()
         if not names:
             return None
-        n = table._manifest(names[0])["buckets"]
-        _, rows, _ = table.load([r[0] for r in topics.select(table.bucket(n)).distinct().collect()])  # a row a bucket at most
+        _, rows, _ = table.load(table.touched(topics, names[0]))
         return None if rows is None else rows.join(topics, score.TOPIC, "left_semi")
 
     def corroborate(self, triples: DataFrame) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import readings, text
 from assayer.functions.shared import hot_join, stored
 from assayer.operators import gate, store
+from assayer.sources.buckets import Buckets
 
 MOST_PER_DOC = 200
 
@@ -26,18 +27,66 @@ class Heard(NamedTuple):
     read: DataFrame
 
 
-def parse(sentences: DataFrame) -> DataFrame:
-    """(s1, s2, sentence, heard, directive, readings) of the distinct sentences and how often each stands, written, so that each is read once; directive ones have no readings.
+def counted(sentences: DataFrame) -> DataFrame:
+    """(s1, s2, sentence, heard): the distinct sentences and how often each stands."""
+    return sentences.groupBy("sentence").agg(F.count(F.lit(1)).alias("heard")).select(*sentence_ids(), "sentence", "heard")
+
+
+def read(told: DataFrame) -> DataFrame:
+    """told (with sentence) with directive and readings; directive ones have no readings.
 
     They are dealt anew, as reading costs more than their size tells.
     """
-    n = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    told = sentences.groupBy("sentence").agg(F.count(F.lit(1)).alias("heard")).repartition(n).withColumn("directive", text.is_directive("sentence"))
-    said = readings.voted_readings(F.when(~F.col("directive"), F.col("sentence")))
-    return stored(told.select(*sentence_ids(), "sentence", "heard", "directive", said.alias("readings")))
+    n = int(told.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = told.repartition(n).withColumn("directive", text.is_directive("sentence"))
+    return marked.withColumn("readings", readings.voted_readings(F.when(~F.col("directive"), F.col("sentence"))))
+
+
+def parse(sentences: DataFrame, cache: ParseCache | None = None) -> DataFrame:
+    """(s1, s2, sentence, heard, directive, readings) of the distinct sentences, written, so that each is read once; of a cache, those that it knows aren't read."""
+    told = counted(sentences)
+    return stored(read(told)) if cache is None else cache.parse(told)
 
 
-def hear(docs: DataFrame, trust: DataFrame, doc_col: str = "doc") -> Heard:
+class ParseCache:
+    """Readings kept from job to job below a folder, in buckets of the sentence's 128 bits.
+
+    A job reads the buckets of its sentences and the sentences that aren't there; sentences that no job has met for `keep`
+    generations leave when their bucket is next rewritten. `last_read` tells how many sentences the last job read itself.
+    """
+
+    KEPT = ["s1", "s2", "directive", "readings", "used"]
+
+    def __init__(self, spark: SparkSession, folder: str, keep: int = 8, **sizes):
+        self.table, self.keep, self.last_read = Buckets(spark, folder, ["s1", "s2"], **sizes), keep, 0
+
+    def parse(self, told: DataFrame) -> DataFrame:
+        told = stored(told)
+        names = self.table.newest_first()
+        now = 1 + max((int(n[4:]) for n in names), default=0)
+        held = None
+        if names:
+            _, held, _ = self.table.load(self.table.touched(told, names[0]))
+        if held is None:
+            fresh = stored(read(told))
+            met = fresh
+        else:
+            known = stored(told.join(held, ["s1", "s2"]))  # a row a sentence of this job
+            fresh = stored(read(told.join(known.select("s1", "s2"), ["s1", "s2"], "left_anti")))
+            met = known.select(*fresh.columns).unionByName(fresh)
+        self.last_read = fresh.count()
+        kept = fresh.withColumn("used", F.lit(now))
+        if held is not None:  # those in use for half their time are told anew
+            kept = kept.select(*self.KEPT).unionByName(known.filter(F.col("used") <= now - max(1, self.keep // 2)).withColumn("used", F.lit(now)).select(*self.KEPT))
+
+        def combine(old: DataFrame | None, new: DataFrame) -> DataFrame:
+            return new if old is None else new.unionByName(old.join(new.select("s1", "s2"), ["s1", "s2"], "left_anti").filter(F.col("used") > now - self.keep))
+
+        self.table.merge(kept.select(*self.KEPT), combine)
+        return met
+
+
+def hear(docs: DataFrame, trust: DataFrame, doc_col: str = "doc", cache: ParseCache | None = None) -> Heard:
     """The docs (doc, locator, text, added) that the gate admits: their sentences (parts) and the questions that they answer (pairs).
 
     Of a text, text.LONGEST characters are read.
@@ -45,7 +94,7 @@ def hear(docs: DataFrame, trust: DataFrame, doc_col: str = "doc") -> Heard:
     admitted = gate.admit(docs, trust).filter("admitted")
     clean = admitted.select(F.col(doc_col).alias("doc"), F.col("locator").alias("source"), "added", store.trust_q("trust").alias("trust_q"), text.clean("text", text.LONGEST).alias("cleaned"))
     split = stored(clean.select("doc", "source", "added", "trust_q", text.sentence_parts("cleaned").alias("parts"), readings.answered_questions("cleaned").alias("pairs")))
-    return Heard(split, parse(split.select(F.explode("parts").alias("sentence"))))
+    return Heard(split, parse(split.select(F.explode("parts").alias("sentence")), cache))
 
 
 def found_triples(heard: Heard) -> DataFrame:

@@ -44,6 +44,10 @@ class Buckets(Folder):
             raise Damaged("the manifest is of another kind")
         return told
 
+    def touched(self, rows: DataFrame, name: str) -> list[int]:
+        """The buckets of a snapshot in which the keys of rows lie."""
+        return [r[0] for r in rows.select(self.bucket(self._manifest(name)["buckets"])).distinct().collect()]  # a row a bucket at most
+
     def files(self, name: str) -> DataFrame:
         """(bucket, file, rows, bytes, sha256) of a snapshot."""
         return self.spark.read.schema(FILES).parquet(f"{self.folder}/{name}/files")

@@ -99,11 +99,15 @@ def start(attempts: DataFrame, folder: str, checkpoint: str, trigger: dict | Non
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def start_documents(docs: DataFrame, trust: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None, **limits):
-    """The same for a stream of documents (doc, locator, text, added), which each batch parses; without keyed state."""
+def start_documents(docs: DataFrame, trust: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None, cache: str | None = None, **limits):
+    """The same for a stream of documents (doc, locator, text, added), which each batch parses; without keyed state.
+
+    With a folder for a cache, sentences that an earlier batch or job has read aren't read again.
+    """
     memory = memory_at(docs.sparkSession, folder)
+    known = None if cache is None else ingest.ParseCache(docs.sparkSession, cache)
 
     def run(batch: DataFrame, _: int) -> None:
-        upsert_batch(memory, ingest.attempts(batch, trust), **limits)
+        upsert_batch(memory, ingest.attempts(batch, trust, heard=ingest.hear(batch, trust, cache=known)), **limits)
 
     return docs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
