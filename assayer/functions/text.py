@@ -122,3 +122,29 @@ def sql_is_directive(s: str) -> str:
     quoted = "|".join(f"(?:{p})" for p in DIRECTIVES).replace("'", "''")
     opener = rf"^[,.]*(?:{'|'.join(IMPERATIVES)})[,.]*(?: |$)"
     return f"(regexp_matches(lower(trim({s})), '{opener}') OR regexp_matches(lower(trim({s})), '^(?:{'|'.join(DIRECTIVE_STARTS)})') OR regexp_matches(lower(trim({s})), '{quoted}'))"
+
+
+def sql_clean_steps(table: str, key: str, column: str) -> str:
+    """CTEs of DuckDB, the last of which is cleaned(key, text): `clean`, for texts without numeric references and with composed characters.
+
+    Its patterns know no back references, so hidden elements go name by name, and no repetition over 1000.
+    """
+    quoted = lambda p: p.replace("'", "''")
+
+    def plain(x: str) -> str:
+        for name, char in sorted(ENTITIES.items(), key=lambda e: e[0] == "amp"):  # the ampersand last, as one pass decodes once
+            x = f"replace({x}, '&{name};', '{quoted(char)}')"
+        for pattern in ("(?s)<!--.*?-->", *(rf"(?is)<{h}\b.*?</{h}\s*>" for h in HIDDEN.split("|")), "(?s)<[^>]{0,1000}[^>]{0,1000}>"):
+            x = f"regexp_replace({x}, '{pattern}', ' ', 'g')"
+        return x
+
+    tidied = "x"
+    for pattern, by in (
+        (r"[\x00-\x09\x0B-\x1F\x7F-\x{9F}\p{Cf}\p{Co}]", ""), (r"!?\[([^\]]*)\]\([^)]*\)", r"\1"), (LINKS.replace("(?iuU)", "(?i)"), " "),
+        (r"[*_`#>|~\[\]{}\\^=<]+", " "), (r"[ \t\r\f\x0B]+", " "), (r"(?m)^[ \t\r\f\x0B]+|[ \t\r\f\x0B]+$", ""),
+    ):
+        tidied = f"regexp_replace({tidied}, '{quoted(pattern)}', '{by}', 'g')"
+    return f"""
+round0 AS (SELECT {key}, translate({column}, chr(9), ' ') AS x FROM {table}),
+round1 AS MATERIALIZED (SELECT {key}, {plain("x")} AS x FROM round0), round2 AS MATERIALIZED (SELECT {key}, {plain("x")} AS x FROM round1), round3 AS MATERIALIZED (SELECT {key}, {plain("x")} AS x FROM round2),
+cleaned AS MATERIALIZED (SELECT {key}, {tidied} AS text FROM round3)"""

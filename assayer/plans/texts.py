@@ -105,6 +105,12 @@ def qa_pairs(spark, sf_dir):
     return pairs.select("p.question", "p.denied", F.posexplode(readings.question_readings(F.col("p.question"))).alias("at", "r")).select("question", "denied", "at", "r.subject", "r.predicate", "r.object")
 
 
+def heard(spark, sf_dir):
+    """What ingest takes in of each document that the gate admits, before it is read: its trust, its sentences and how many are directive."""
+    docs = ingest.hear(_docs(spark, sf_dir), _source_trust(spark)).docs
+    return docs.select("doc", "source", "trust_q", F.size("parts").cast("long").alias("sentences"), F.size(F.filter("parts", text.is_directive)).cast("long").alias("directive"))
+
+
 def ingest_stats(spark, sf_dir):
     docs, trust = _docs(spark, sf_dir), _source_trust(spark)
     heard = ingest.hear(docs, trust)
@@ -219,7 +225,7 @@ def routes_by_outline(spark, sf_dir):
 QUERIES = {
     "ip_policy": ip_policy, "url_policy": url_policy, "topic_counts": topic_counts, "outline_round_trip": routes_by_outline,
     "suffix_gate": suffix_gate, "doc_size_filter": doc_sizes, "sentence_split": sentence_split, "injection_filter": injection_filter, "token_stats": token_stats, "stem_sets": stem_sets, "idf_table": idf_table,
-    "tfidf_topk": tfidf_topk, "clean_pages": clean_pages, "parse_report": parse_report, "ensemble_triples": ensemble, "qa_pairs": qa_pairs, "ingest_stats": ingest_stats, "resolve_quick": resolve_quick,
+    "tfidf_topk": tfidf_topk, "clean_pages": clean_pages, "parse_report": parse_report, "ensemble_triples": ensemble, "qa_pairs": qa_pairs, "ingest_stats": ingest_stats, "documents_heard": heard, "resolve_quick": resolve_quick,
     "resolve_deliberated": deliberated, "voices": voices, "resolve_long": resolve_long, "stream_ingest_upsert": stream_upsert,
 }
 
@@ -247,6 +253,16 @@ SQL = {
     "tfidf_topk": f"""WITH {_IDF}, asked AS (SELECT item_id AS query_id, unnest(list_distinct(list_transform({nlp.sql_stems('text')}, lambda w: {nlp.sql_stem('w')}))) AS stem FROM benchmark),
         scored AS (SELECT query_id, doc, round(sum(idf), 9) AS score FROM asked JOIN postings USING (stem) JOIN idf USING (stem) GROUP BY query_id, doc),
         placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc DESC) AS place FROM scored) SELECT query_id, doc, round(score, 6) AS score, place FROM placed WHERE place <= 5""",
+    "documents_heard": f"""WITH trust(host, trust) AS (VALUES {", ".join(f"('src{k}', {0.4 + k / 40}::DOUBLE)" for k in range(15))}),
+        admitted AS (SELECT doc_id, d.source, trust, substr(text, 1, {text.LONGEST}) AS text FROM documents d JOIN trust ON host = lower(d.source) WHERE strlen(text) <= 262144),
+        {text.sql_clean_steps("admitted", "doc_id", "text")}, parted AS (SELECT doc_id, {text.sql_parts("text")} AS parts FROM cleaned),
+        told AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE {text.sql_is_directive("part")}) AS directive FROM (SELECT doc_id, unnest(parts) AS part FROM parted) GROUP BY doc_id)
+        SELECT a.doc_id AS doc, a.source || '.example.org/d' || a.doc_id AS source, round_even(trust * 255, 0)::INTEGER AS trust_q, coalesce(n, 0)::BIGINT AS sentences, coalesce(directive, 0)::BIGINT AS directive
+        FROM admitted a LEFT JOIN told t ON t.doc_id = a.doc_id""",
+    "clean_pages": f"""WITH {text.sql_clean_steps("pages", "page_id", "html")}, parted AS (SELECT page_id, text, {text.sql_parts("text")} AS parts FROM cleaned),
+        told AS (SELECT page_id, count(*) FILTER (WHERE {text.sql_is_directive("part")}) AS dropped, count(*) AS n FROM (SELECT page_id, unnest(parts) AS part FROM parted) GROUP BY page_id)
+        SELECT p.page_id, length(p.text)::BIGINT AS chars, (coalesce(n, 0) - coalesce(dropped, 0))::BIGINT AS sentences, coalesce(dropped, 0)::BIGINT AS dropped, sha256(p.text) AS sha256
+        FROM parted p LEFT JOIN told t ON t.page_id = p.page_id""",
     "stream_ingest_upsert": """SELECT 'event ' || regexp_replace(lower(event_type), '[^a-z0-9]+', ' ', 'g') AS subject, CASE WHEN value > 50 THEN 'improve' ELSE 'reduce' END AS predicate, 'user ' || (user_id % 50) AS object,
         'u' || (user_id % 10) || '.example.org/e' AS source, max(epoch(ts))::DOUBLE AS added, max(user_id % 256)::INTEGER AS trust_q FROM events GROUP BY ALL""",
 }
