@@ -84,6 +84,11 @@ def entity_heat(spark, sf_dir):
     return topics.entity_heat(sample.claims(spark), _evidence(spark, sf_dir)).select("claim_id", "stem", F.round("heat", 6).alias("heat"))
 
 
+def entity_topics(spark, sf_dir):
+    claims_ = sample.claims(spark)
+    return topics.entities(claims_, _evidence(spark, sf_dir), None, topics.LAYERS[1]).select("claim_id", "place", "topic")
+
+
 def seeds(spark, sf_dir):
     return topics.seeds(sample.claims(spark))
 
@@ -134,7 +139,7 @@ def merged_voices(spark, sf_dir):
 
 QUERIES = {
     "evidence_verdicts": verdicts, "stance_shares": shares, "evidence_ranked": ranked, "corroboration_by_topic": corroboration, "recency_weights": recency, "triple_upsert": upserted,
-    "host_stats": host_stats, "contested": contested, "trust_balance": balance, "age_histogram": ages, "route_summary": route_summary, "entity_heat": entity_heat, "seed_topics": seeds,
+    "host_stats": host_stats, "contested": contested, "trust_balance": balance, "age_histogram": ages, "route_summary": route_summary, "entity_heat": entity_heat, "entity_topics": entity_topics, "seed_topics": seeds,
     "consolidation_topics": consolidation, "store_size": size, "eviction_survivors": survivors, "polarity_of_triples": polarity, "validity_filter": validity, "dictionary_decode": decoded,
     "month_labels": months, "voice_merge": merged_voices,
 }
@@ -165,6 +170,12 @@ SQL = {
     "entity_heat": f"""WITH {sample.EVIDENCE_SQL}, items AS (SELECT DISTINCT e.claim_id, e.row, e.weight, unnest(list_concat(t.ss, t.os)) AS stem FROM evidence e JOIN topics t ON t.row = e.row),
         known AS (SELECT claim_id, unnest(list_concat(s, o)) AS stem FROM claims)
         SELECT claim_id, stem, round(sum(weight), 6) AS heat FROM items WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.claim_id = items.claim_id AND k.stem = items.stem) GROUP BY claim_id, stem""",
+    "entity_topics": f"""WITH {sample.EVIDENCE_SQL}, placed AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY weight DESC, first_row) AS place FROM evidence),
+        items AS (SELECT DISTINCT e.claim_id, e.row, e.weight, e.place, unnest(list_concat(t.ss, t.os)) AS stem FROM placed e JOIN topics t ON t.row = e.row),
+        known AS (SELECT claim_id, unnest(list_concat(s, o)) AS stem FROM claims),
+        heat AS (SELECT claim_id, stem, round(sum(weight), 9) AS heat, min(place) AS first FROM items WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.claim_id = items.claim_id AND k.stem = items.stem) GROUP BY claim_id, stem),
+        hot AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY heat DESC, first, stem) AS place FROM heat)
+        SELECT h.claim_id, h.place::INTEGER AS place, c.subject || ' ' || stem AS topic FROM hot h JOIN claims c ON c.claim_id = h.claim_id WHERE h.place <= 16""",
     "seed_topics": f"""WITH {sample.CLAIMS_SQL}, {_WAYS}, every AS (
           SELECT claim_id, 0 AS pos, trim(subject || ' ' || object) AS topic FROM claims UNION ALL SELECT claim_id, 1, subject FROM claims UNION ALL SELECT claim_id, 2, object FROM claims
           UNION ALL SELECT claim_id, 3 + 3 * k + j, trim(subject || ' ' || object) || ' ' || phrase FROM claims, ways),
