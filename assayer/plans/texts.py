@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import nlp, readings, shared, text
-from assayer.operators import claims, gate, ingest, resolve, score, search, store, topics
+from assayer.operators import claims, gate, ingest, resolve, score, search, session, store, topics
 from assayer.plans import library, sample
 from assayer.sources import outline
 from assayer.streaming import ingest as stream
@@ -150,6 +150,20 @@ def deliberated(spark, sf_dir):
     return out.verdicts.select("claim_id", "verdict", "resolved", *[F.round(f"{s}_share", 6).alias(f"{s}_share") for s in score.STANCES], "hosts", "items")
 
 
+def replayed(spark, sf_dir):
+    """All claims asked twice in a session: how each was answered then, and by which route. Resolved ones are replayed without a search."""
+    parsed = shared.stored(claims.with_areas(claims.parse(_asked(spark, sf_dir))).withColumn("claim_id", F.col("request_id") * 100 + F.col("place")))
+    return replays(parsed, _shelves(spark, sf_dir))
+
+
+def replays(parsed: DataFrame, shelves: resolve.Library) -> DataFrame:
+    held = session.Session.begin(parsed.sparkSession)
+    first, again = (held.answer(parsed, shelves, library.NOW) for _ in range(2))
+    routes = held.routes.select("key", "hits", F.size("steps").cast("long").alias("n_steps"))
+    both = first.rounds.select("claim_id", F.col("rounds").alias("rounds_first")).join(again.rounds, "claim_id").join(again.verdicts, "claim_id").join(parsed.select("claim_id", "key"), "claim_id")
+    return both.join(routes, "key").select("claim_id", "key", "verdict", "resolved", "rounds_first", "rounds", "hits", "n_steps")
+
+
 def _voices(asked: DataFrame, out: resolve.Outcome) -> DataFrame:
     steps = out.steps.join(asked.select("claim_id", "request_id", (F.col("area") * claims.AREA_SIZE).alias("offset")), "claim_id")
     return claims.voices(out.evidence, steps).join(asked.select("claim_id", "request_id"), "claim_id")
@@ -226,7 +240,7 @@ QUERIES = {
     "ip_policy": ip_policy, "url_policy": url_policy, "topic_counts": topic_counts, "outline_round_trip": routes_by_outline,
     "suffix_gate": suffix_gate, "doc_size_filter": doc_sizes, "sentence_split": sentence_split, "injection_filter": injection_filter, "token_stats": token_stats, "stem_sets": stem_sets, "idf_table": idf_table,
     "tfidf_topk": tfidf_topk, "clean_pages": clean_pages, "parse_report": parse_report, "ensemble_triples": ensemble, "qa_pairs": qa_pairs, "ingest_stats": ingest_stats, "documents_heard": heard, "resolve_quick": resolve_quick,
-    "resolve_deliberated": deliberated, "voices": voices, "resolve_long": resolve_long, "stream_ingest_upsert": stream_upsert,
+    "resolve_deliberated": deliberated, "resolve_replayed": replayed, "voices": voices, "resolve_long": resolve_long, "stream_ingest_upsert": stream_upsert,
 }
 
 _STEMS = f"stems AS MATERIALIZED (SELECT doc_id, {nlp.sql_stems('text')} AS stems FROM documents)"

@@ -76,6 +76,16 @@ def test_saved_routes_answer_at_once(spark):
     assert first.memory.filter("hits > 0").count() == min(12, first.evidence.count())
 
 
+def test_session_replays_what_it_has_resolved(spark):
+    """The second time, resolved claims are answered by their routes, which count it; the others are searched again and their routes replaced."""
+    asked = claims.parse(spark.createDataFrame([(1, "Walks improve mood."), (2, "Walks improve mood."), (3, "Stone circles improve weather.")], "request_id int, text string")).withColumn("claim_id", F.col("request_id"))
+    found = resolve.Library.of(library.docs(spark), library.trust(spark))
+    got = {r["claim_id"]: r for r in texts.replays(asked, found).collect()}
+    assert {k: (r["resolved"], r["rounds_first"] > 0, r["rounds"] > 0) for k, r in got.items()} == {1: (True, True, False), 2: (True, True, False), 3: (False, True, True)}
+    assert {k: r["hits"] for k, r in got.items()} == {1: 1, 2: 1, 3: 1}
+    assert all(0 < r["n_steps"] <= 32 for r in got.values())
+
+
 def test_reflection_of_a_claim_does_not_depend_on_others(spark):
     """A claim's cycles and shares are the same alone and beside claims about other things that go on longer or end before."""
     found = resolve.Library.of(library.docs(spark), library.trust(spark))
