@@ -7,7 +7,9 @@ verified by a banded alignment.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import free_names, table
+from assayer.llm.common import free_names, stored, table
 
 Q, EDIT_SHARE = 8, 0.1
 #: An index of q-grams is broadcast for at most so many characters of items; more items go in further blocks.
@@ -235,26 +237,40 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iter
         yield held
 
 
+def _by_blocks(out: DataFrame, text_col: str, blocks: Iterable[list[tuple[int, str]]], share: float) -> DataFrame:
+    """out with `leaks` behind, one block's index in memory at a time: what it finds is written, then its index is taken from all workers."""
+    row, block = free_names(out, "row", "block")
+    kept, found = stored(out.withColumn(row, F.monotonically_increasing_id())), []
+    for k, items in enumerate(blocks):
+        index = out.sparkSession.sparkContext.broadcast(Index(items, share))
+        leaks = kept.select(row, F.col(text_col).cast("string").alias("text")).mapInArrow(_marked(index), f"`{row}` long, leaks {LEAKS}")
+        found.append(stored(leaks.filter(F.size("leaks") > 0).withColumn(block, F.lit(k))))
+        index.destroy()
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(block, "leaks"))), lambda part: part["leaks"])
+    leaks = reduce(DataFrame.unionByName, found).groupBy(row).agg(F.flatten(parts).alias("leaks"))
+    return kept.join(leaks, row, "left").drop(row).withColumn("leaks", F.coalesce("leaks", F.array().cast(LEAKS)))
+
+
 def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", share: float = EDIT_SHARE, most: int = BLOCK_CHARS) -> DataFrame:
     """docs with `leaks` behind: an array of (item_id, start, end, edits, similarity), places in code points.
 
     An item stands where a passage is within a tenth (`share`) of its length in edits, A-Z and white space compared as
     their lower case and as spaces. Items shorter than q must stand as they are; null and empty items stand nowhere; null
     and empty texts have no leaks. Rows stay one for one; a column called leaks is replaced. The items are taken in
-    blocks of 4 million characters, each an index that is broadcast.
+    blocks of 4 million characters; the index of a block is broadcast. Of several blocks, one is in memory at a time, and
+    each reads the texts once; the documents are stored first, so that their rows keep their numbers.
     """
     out = docs.drop("leaks")
-    before, copy = free_names(out, "before", "copy")
+    blocks = _blocks(benchmark, item_col, "text", most)
+    first = list(islice(blocks, 2))
+    if not first:
+        return out.withColumn("leaks", F.array().cast(LEAKS))
+    if len(first) > 1:
+        return _by_blocks(out, text_col, chain(first, blocks), share)
+    (copy,) = free_names(out, "copy")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-    marked = out.withColumn("leaks", F.array().cast(LEAKS))
-    for k, items in enumerate(_blocks(benchmark, item_col, "text", most)):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(items, share))
-        if k == 0:
-            marked = out.withColumn(copy, F.col(text_col).cast("string")).mapInArrow(_marked(shared), f"{fields}, leaks {LEAKS}")
-        else:
-            more = marked.withColumnRenamed("leaks", before).withColumn(copy, F.col(text_col).cast("string"))
-            marked = more.mapInArrow(_marked(shared), f"{fields}, {before} {LEAKS}, leaks {LEAKS}").withColumn("leaks", F.concat(before, "leaks")).drop(before)
-    return marked
+    index = docs.sparkSession.sparkContext.broadcast(Index(first[0], share))
+    return out.withColumn(copy, F.col(text_col).cast("string")).mapInArrow(_marked(index), f"{fields}, leaks {LEAKS}")
 
 
 def op6(spark, sf_dir):

@@ -97,6 +97,31 @@ def test_clashing_columns(spark):
     assert [(r["before"], r["__text"], len(r["leaks"])) for r in got] == [("x", "y", 2), ("x", "y", 0)]
 
 
+def test_blocks_leave_no_index_behind(spark, docs, documents, monkeypatch):
+    """Many blocks give the rows of one, items in the order of the blocks, and each index is taken back before the next is made."""
+    passage = next(r[1].split("\n")[-1] for r in documents if r[1] and r[0] % 6 == 2 and r[0] < 90)
+    bench = spark.createDataFrame([(k, passage if k % 3 == 0 else f"item number {k} that stands nowhere in them") for k in range(9)], "item_id long, text string").coalesce(1)
+    held, most, made = [0], [0], type(spark.sparkContext.broadcast(0))
+    class Counted(made):
+        def destroy(self, *args):
+            held[0] -= 1
+            super().destroy(*args)
+    def broadcast(value, of=spark.sparkContext.broadcast):
+        out = of(value)
+        if isinstance(value, Index):
+            held[0] += 1
+            most[0] = max(most[0], held[0])
+            out.__class__ = Counted
+        return out
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    whole = {(r["doc_id"], str(sorted(r["leaks"]))) for r in decontaminate.mark(docs, bench).collect()}
+    held[0] = most[0] = 0
+    parts = decontaminate.mark(docs, bench, most=1).collect()
+    assert most[0] == 1 and held[0] == 0
+    assert {(r["doc_id"], str(sorted(r["leaks"]))) for r in parts} == whole and len(parts) == len(documents)
+    assert all([x["item_id"] for x in r["leaks"]] == sorted(x["item_id"] for x in r["leaks"]) for r in parts)
+
+
 def test_case_and_space():
     index = Index([(1, "The Quick brown fox jumps over the lazy dog")])
     (leak,) = index.leaks("xx THE quick\nbrown fox jumps over the lazy DOG yy")
