@@ -43,12 +43,12 @@ def _seconds(iso: Column) -> Column:
     return F.coalesce(F.unix_micros(F.try_to_timestamp(iso)) / 1e6, F.lit(0.0))
 
 
-def parse_wiki(responses: DataFrame, host: str, body: str = "body") -> DataFrame:
+def parse_wiki(responses: DataFrame, host: Column | str, body: str = "body") -> DataFrame:
     """(locator, text, added) of the pages in JSON responses; pages without a title or an extract are left out."""
-    pages = responses.select(F.explode(F.from_json(body, WIKI)["query"]["pages"]).alias("p"))
+    pages = responses.select((F.lit(host) if isinstance(host, str) else host).alias("h"), F.explode(F.from_json(body, WIKI)["query"]["pages"]).alias("p"))
     slug = F.substring(F.regexp_replace("p.title", SLUG, "_"), 1, LONGEST_SLUG)
     fine = F.coalesce((F.length(slug) > 0) & (F.trim("p.extract") != ""), F.lit(False))
-    return pages.filter(fine).select(F.concat(F.lit(f"{host}/wiki/"), slug).alias("locator"), F.col("p.extract").alias("text"), _seconds(F.col("p.touched")).alias("added"))
+    return pages.filter(fine).select(F.concat("h", F.lit("/wiki/"), slug).alias("locator"), F.col("p.extract").alias("text"), _seconds(F.col("p.touched")).alias("added"))
 
 
 def parse_preprints(responses: DataFrame, body: str = "body") -> DataFrame:
