@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions import nlp
 from assayer.functions.lexicon import STANCES
+from assayer.functions.ranges import running
 from assayer.functions.shared import stored
 
 PRIOR, PARTIAL, THRESHOLD, LEAST_HOSTS = 0.15, 0.25, 0.60, 2
@@ -53,8 +54,12 @@ def corroborate(triples: DataFrame, heard: DataFrame | None = None, counted: Dat
     """
     own = keyed(triples)
     heard = voices(own) if heard is None else heard
-    counted = numbers(heard) if counted is None else counted
-    joined = own.join(heard.join(counted, TOPIC), [*TOPIC, "host"]).drop(*TOPIC)
+    return _corroborated(own, heard, numbers(heard) if counted is None else counted).drop(*TOPIC)
+
+
+def _corroborated(own: DataFrame, heard: DataFrame, counted: DataFrame) -> DataFrame:
+    """Rows with a topic, host and pol, with syn, ant and corr."""
+    joined = own.join(heard.join(counted, TOPIC), [*TOPIC, "host"])
     pol = F.col("pol")
     syn = (F.coalesce(_side(pol, "n", 1), F.col("n0")) - 1).cast("int")
     ant = F.coalesce(_side(pol, "n", -1) - _side(pol, "h", -1), F.lit(0)).cast("int")
@@ -85,21 +90,64 @@ def evidence(claims: DataFrame, triples: DataFrame, now: float) -> DataFrame:
     return weighed(candidates(claims, triples), now)
 
 
-def weighed(found: DataFrame, now: float) -> DataFrame:
-    """The evidence that candidates (with corr) come to."""
+def _graded(found: DataFrame, now: float) -> DataFrame:
+    """Candidates with stance, topic, recency and part, what a weight is made of beside trust and corr."""
     none = F.size("co") == 0
     full = none | F.arrays_overlap("co", F.array_union("os", "ss"))
     stance = F.when(~full | (F.col("pol") == 0) | (F.col("cpol") == 0), "neutral").when(F.col("pol") == F.col("cpol"), "for").otherwise("against")
-    weight = F.round(F.col("trust") * F.col("corr") * nlp.recency("added", now) * F.when(full, 1.0).otherwise(PARTIAL), 12)
     topic = F.when(full & ~none, F.array_sort(F.array_intersect("os", "co"))).otherwise(F.col("os"))
-    graded = found.withColumns({"stance": stance, "weight": weight, "topic": topic})
+    return found.withColumns({"stance": stance, "topic": topic, "recency": nlp.recency("added", now), "part": F.when(full, 1.0).otherwise(PARTIAL)})
+
+
+def _weight() -> Column:
+    return F.round(F.col("trust") * F.col("corr") * F.col("recency") * F.col("part"), 12)
+
+
+def _whole(weight: str) -> Column:
+    """The 12 places of a weight above those of any row."""
+    return F.round(F.col(weight) * 1e12).cast("decimal(18,0)").cast("decimal(38,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)")
+
+
+def ahead(weight: str, row: str) -> Column:
+    """A number that is larger for the heavier, then for the lesser row (not negative), and that hash aggregates hold, as they can't a struct."""
+    return (_whole(weight) - F.col(row).cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
+def light_evidence(claims: DataFrame, triples: DataFrame, now: float) -> DataFrame:
+    """evidence of triples with topics, without the triple: claim_id, host, stance, row, weight, first_row, and the topic of the row.
+
+    Rows that no claim meets aren't corroborated, and a voice is named by 128 bits, so what is sorted and held for a
+    candidate is of fixed width but for its host, and no aggregate needs a sort.
+    """
+    own = keyed(triples)
+    heard = voices(own)
+    return _lightest(candidates(claims, own), heard, numbers(heard), now)
+
+
+def _lightest(found: DataFrame, heard: DataFrame, counted: DataFrame, now: float) -> DataFrame:
+    voice = {"v1": F.xxhash64("ss", "topic"), "v2": F.xxhash64(F.lit(1), "ss", "topic")}
+    pairs = _graded(found, now).withColumns(voice).select("claim_id", "host", *TOPIC, *voice, "stance", "pol", "trust", "recency", "part", "row")
+    given = _corroborated(pairs, heard, counted).withColumn("weight", _weight()).withColumn("ahead", ahead("weight", "row"))
+    firsts = [F.max_by(t, "ahead").alias(t) for t in TOPIC]
+    best = given.groupBy("claim_id", "host", *voice, "stance").agg(F.max("weight").alias("weight"), F.max("ahead").alias("ahead"), F.min("row").alias("first_row"), *firsts)
+    return best.select("claim_id", "host", "stance", (_whole("weight") - F.col("ahead")).cast("long").alias("row"), "weight", "first_row", *TOPIC)
+
+
+def weighed(found: DataFrame, now: float) -> DataFrame:
+    """The evidence that candidates (with corr) come to."""
+    graded = _graded(found, now).withColumn("weight", _weight())
     fields = ["row", "subject", "predicate", "object", "source", "added", "trust", "pol", "corr", "weight"]
     best = graded.groupBy("claim_id", "host", "ss", "topic", "stance").agg(F.max_by(F.struct(*fields), F.struct("weight", -F.col("row"))).alias("best"), F.min("row").alias("first_row"))
     return best.select("claim_id", *[F.col(f"best.{f}").alias(f) for f in fields], "host", "stance", "first_row")
 
 
+def ranked_by_ranges(found: DataFrame) -> DataFrame:
+    """ranked of evidence of any size: no task orders all of a claim's."""
+    return running(stored(found), ["claim_id"], [F.desc("weight"), F.asc("first_row")], {"place": F.lit(1).cast("long")})
+
+
 def ranked(found: DataFrame) -> DataFrame:
-    """Evidence with place, from 1 for the heaviest of its claim."""
+    """Evidence with place, from 1 for the heaviest of its claim, where a claim's evidence is one task's."""
     return found.withColumn("place", F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("weight"), "first_row")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions import nlp
 from assayer.functions.lexicon import STANCE_PHRASES, STANCES
-from assayer.operators.score import ranked, verdicts
+from assayer.operators.score import TOPIC, ahead, ranked, verdicts
 
 LAYERS = (32, 16, 8, 4)
 DOCS_PER_TOPIC, MOST_EXTRA = 3, 5
@@ -38,9 +38,24 @@ def entity_heat(claims: DataFrame, found: DataFrame, searched: DataFrame | None
     return heat.withColumn("place", F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("heat"), "first", "stem"))).drop("first")
 
 
+def topic_heat(claims: DataFrame, found: DataFrame, told: DataFrame) -> DataFrame:
+    """entity_heat of light evidence, whose weights are summed by topic before a topic (told: t1, t2, ss, os) meets its stems."""
+    known = claims.select("claim_id", F.explode(F.array_union("s", "o")).alias("stem"))
+    summed = found.withColumn("ahead", ahead("weight", "first_row")).groupBy("claim_id", *TOPIC).agg(F.sum("weight").alias("weight"), F.max("ahead").alias("ahead"))
+    items = summed.join(told, TOPIC).select("claim_id", "weight", "ahead", F.explode(F.array_union("ss", "os")).alias("stem"))
+    fresh = items.join(known.distinct(), ["claim_id", "stem"], "left_anti")
+    heat = fresh.groupBy("claim_id", "stem").agg(F.round(F.sum("weight"), 9).alias("heat"), F.max("ahead").alias("first"))
+    return heat.withColumn("place", F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("heat"), F.desc("first"), "stem"))).drop("first")
+
+
 def entities(claims: DataFrame, found: DataFrame, searched: DataFrame | None, most: int) -> DataFrame:
     """(claim_id, place, topic): the subject with the hottest stems."""
-    hot = entity_heat(claims, found, searched).filter(F.col("place") <= most)
+    return hottest(claims, entity_heat(claims, found, searched), most)
+
+
+def hottest(claims: DataFrame, heat: DataFrame, most: int) -> DataFrame:
+    """(claim_id, place, topic): the subject with each of the first stems by heat."""
+    hot = heat.filter(F.col("place") <= most)
     return hot.join(claims.select("claim_id", "subject"), "claim_id").select("claim_id", "place", F.concat_ws(" ", "subject", "stem").alias("topic"))
 
 

@@ -19,12 +19,12 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.triples(spark, sf_dir).withColumn("host", nlp.host("source")).withColumn("trust", F.col("trust_q") / 255.0)
 
 
-def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.evidence(sample.claims(spark), sample.weighed(spark, sf_dir), sample.NOW)
+def _evidence(spark: SparkSession, sf_dir: str, rows: bool = True) -> DataFrame:
+    return sample.light_evidence(spark, sf_dir, rows)[0]
 
 
 def _tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.tally(sample.claims(spark), _evidence(spark, sf_dir))
+    return score.tally(sample.claims(spark), _evidence(spark, sf_dir, rows=False))
 
 
 def verdicts(spark, sf_dir):
@@ -36,7 +36,7 @@ def shares(spark, sf_dir):
 
 
 def ranked(spark, sf_dir):
-    return score.ranked(_evidence(spark, sf_dir)).select("claim_id", "place", "row", "stance", F.round("weight", 9).alias("weight"))
+    return score.ranked_by_ranges(_evidence(spark, sf_dir).drop(*score.TOPIC)).select("claim_id", "place", "row", "stance", F.round("weight", 9).alias("weight"))
 
 
 def corroboration(spark, sf_dir):
@@ -81,12 +81,12 @@ def route_summary(spark, sf_dir):
 
 
 def entity_heat(spark, sf_dir):
-    return topics.entity_heat(sample.claims(spark), _evidence(spark, sf_dir)).select("claim_id", "stem", F.round("heat", 6).alias("heat"))
+    return topics.topic_heat(sample.claims(spark), *sample.light_evidence(spark, sf_dir)).select("claim_id", "stem", F.round("heat", 6).alias("heat"))
 
 
 def entity_topics(spark, sf_dir):
     claims_ = sample.claims(spark)
-    return topics.entities(claims_, _evidence(spark, sf_dir), None, topics.LAYERS[1]).select("claim_id", "place", "topic")
+    return topics.hottest(claims_, topics.topic_heat(claims_, *sample.light_evidence(spark, sf_dir)), topics.LAYERS[1]).select("claim_id", "place", "topic")
 
 
 def seeds(spark, sf_dir):
