@@ -27,7 +27,7 @@ UPPER, BUCKET_BITS = 2, 10
 CHUNK, ASKING = 1 << 20, 1 << 23
 CODED = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.binary()), ("word", pa.string()), ("gram", pa.int64()), ("n", pa.int64()), ("bucket", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
 TEXT, WORD, LOW, ASKED = range(4)
-ANSWERED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("logs", pa.binary())])
+ANSWERED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("logs", pa.binary())])
 SCORED = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())])))])
 
 
@@ -99,9 +99,28 @@ def _record(kind: int, size: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind), pa.int32()) if f.name == "kind" else columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in CODED], schema=CODED)
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers of one type, byte by byte of all of them, compressed."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def widened(held: bytes, n: int, kind) -> np.ndarray:
+    """The n numbers that were squeezed."""
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(held, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    offsets = (bounds * values.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+    return pa.array([squeezed(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+
+
+def _steps(code: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Codes as differences to the one before, but for the first of each bucket."""
+    steps = np.diff(code, prepend=0)
+    steps[first] = code[first]
+    return steps
 
 
 def _count(batches):
@@ -129,7 +148,7 @@ def _count(batches):
         order = np.argsort(at, kind="stable")
         found, first = np.unique(at[order], return_index=True)
         bounds = np.append(first, len(code))
-        yield _record(ASKED, len(found), chunk=pa.array(np.full(len(found), chunk)), bucket=pa.array(found), grams=_packed(code[order], bounds), counts=_packed(n[order].astype(np.int32), bounds))
+        yield _record(ASKED, len(found), chunk=pa.array(np.full(len(found), chunk)), bucket=pa.array(found), n=pa.array(np.diff(bounds)), grams=_packed(_steps(code[order], first), bounds), counts=_packed(n[order].astype(np.int32), bounds))
 
     for held in _chunks(rows(batches, "id", "held_out", "train", "text"), 3):
         texts = [r[3].lower() for r in held]
@@ -236,12 +255,13 @@ def _answer(shared):
     """The log10 probabilities of the grams that all chunks ask of a bucket."""
 
     def run(asked: pa.Table) -> pa.Table:
-        wanted = [np.frombuffer(x, np.int64) for x in asked.column("grams").to_pylist()]
-        code, n = _merged(list(zip(wanted, (np.frombuffer(x, np.int32).astype(np.int64) for x in asked.column("counts").to_pylist()), strict=True)))
+        sizes = asked.column("n").to_pylist()
+        wanted = [np.cumsum(widened(x, k, np.int64)) for x, k in zip(asked.column("grams").to_pylist(), sizes, strict=True)]
+        code, n = _merged(list(zip(wanted, (widened(x, k, np.int32).astype(np.int64) for x, k in zip(asked.column("counts").to_pylist(), sizes, strict=True)), strict=True)))
         known = n > 0
         model = Model([shorter(code[known], n[known], k) for k in range(UPPER + 1, ORDER + 1)], shared.value)
         logs = model.logs(code).astype(np.float32)
-        return pa.table([asked.column("chunk"), asked.column("bucket"), pa.chunked_array([pa.array([logs[np.searchsorted(code, x)].tobytes() for x in wanted], pa.binary())])], schema=ANSWERED)
+        return pa.table([asked.column("chunk"), asked.column("bucket"), asked.column("n"), pa.chunked_array([pa.array([squeezed(logs[np.searchsorted(code, x)]) for x in wanted], pa.binary())])], schema=ANSWERED)
 
     return run
 
@@ -256,7 +276,8 @@ def _score(shared):
         distinct = [np.unique(codes(t)[0]) for _, _, t in asked]
         code = np.unique(np.concatenate(distinct))
         found = np.empty(len(code), np.float32)
-        found[np.argsort(bucket(code), kind="stable")] = np.concatenate([np.frombuffer(x, np.float32) for x in answers.sort_by("bucket").column("logs").to_pylist()])
+        told = answers.sort_by("bucket")
+        found[np.argsort(bucket(code), kind="stable")] = np.concatenate([widened(x, k, np.float32) for x, k in zip(told.column("logs").to_pylist(), told.column("n").to_pylist(), strict=True)])
         out = []
         for (ids, held_out, own), part in zip(asked, distinct, strict=True):
             at, first = codes(own)
@@ -301,8 +322,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     coded = stored(own.select("id", "held_out", train_col, as_bytes("text").alias("text")).mapInArrow(_count, "kind int, chunk long, id long, held_out boolean, text binary, word string, gram long, n long, bucket int, grams binary, counts binary"))
     words, known, upper = train(coded)
     context = docs.sparkSession.sparkContext
-    asked = coded.filter(F.col("kind") == ASKED).select("chunk", "bucket", "grams", "counts")
-    answers = asked.groupBy("bucket").applyInArrow(_answer(context.broadcast(upper)), "chunk long, bucket int, logs binary")
+    asked = coded.filter(F.col("kind") == ASKED).select("chunk", "bucket", "n", "grams", "counts")
+    answers = asked.groupBy("bucket").applyInArrow(_answer(context.broadcast(upper)), "chunk long, bucket int, n long, logs binary")
     texts = coded.filter(F.col("kind") == TEXT).select("chunk", "id", "held_out", "text")
     schema = "id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word: string, n: int>>"
     scored = stored(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(context.broadcast(known)), schema).withColumn("at", F.monotonically_increasing_id()))

@@ -94,3 +94,16 @@ def test_rare_contexts_are_kept(spark):
     plain.nodes = plain.counts.keys()
     for key, text in [*docs[:3], *docs[-2:]]:
         assert got[key] == pytest.approx(plain.score(text.encode()), rel=1e-4)
+
+
+def test_what_is_shuffled_is_squeezed():
+    rng = np.random.default_rng(3)
+    code = np.unique(rng.integers(0, 2**54, 20_000))
+    first = np.array([0, 7000, 7001])
+    held = lm_score._packed(lm_score._steps(code, first), np.append(first, len(code))).to_pylist()
+    parts = [np.cumsum(lm_score.widened(x, n, np.int64)) for x, n in zip(held, np.diff(np.append(first, len(code))), strict=True)]
+    assert np.array_equal(np.concatenate(parts), code)
+    assert sum(map(len, held)) < 0.85 * code.nbytes  # made-up codes are far apart, which real ones aren't
+    logs = np.log10(rng.integers(1, 9, 5000) / 9).astype(np.float32)
+    assert np.array_equal(lm_score.widened(lm_score.squeezed(logs), len(logs), np.float32), logs) and len(lm_score.squeezed(logs)) < logs.nbytes / 2
+    assert lm_score.widened(lm_score.squeezed(code[:0]), 0, np.int64).size == 0
