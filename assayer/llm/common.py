@@ -24,6 +24,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(table_: DataFrame) -> None:
+    """Deletes the files of a stored table that nothing will read again, where later tables are stored themselves."""
+    spark = table_.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table_.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def hot_join(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
     """left joined with right (stored, one row per key; `rows`: how many rows of left have it), so that no task gets all rows of a hot key.
 

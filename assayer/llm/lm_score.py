@@ -18,14 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import as_bytes, held_out, rows, stored, table
+from assayer.llm.common import as_bytes, dropped, held_out, rows, stored, table
 
 ORDER, BITS, EDGE = 5, 9, 256
 NODE_SHARE = 2.0**-18
 UPPER, BUCKET_BITS = 2, 10
 #: Symbols that are counted at once; symbols of the texts that ask together.
 CHUNK, ASKING = 1 << 20, 1 << 23
-CODED = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.binary()), ("word", pa.string()), ("gram", pa.int64()), ("n", pa.int64()), ("bucket", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
+CODED = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("texts", pa.binary()), ("word", pa.string()), ("gram", pa.int64()), ("n", pa.int64()), ("bucket", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
 TEXT, WORD, LOW, ASKED = range(4)
 ANSWERED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("logs", pa.binary())])
 SCORED = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())])))])
@@ -116,6 +116,21 @@ def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.array([squeezed(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
 
 
+def bundled(records: list[tuple]) -> bytes:
+    """(id, held_out, text) of some texts as one compressed piece, behind its length before."""
+    ids, held_out, texts = zip(*records, strict=True)
+    batch = pa.record_batch([pa.array(ids, pa.int64()), pa.array(held_out, pa.bool_()), pa.array(texts, pa.large_binary())], names=["id", "held_out", "text"])
+    plain = batch.serialize()
+    return plain.size.to_bytes(8, "little") + pa.compress(plain, codec="zstd", asbytes=True)
+
+
+def unbundled(held: bytes) -> list[list]:
+    """The ids, held_out and texts that were bundled."""
+    plain = pa.decompress(pa.py_buffer(held)[8:], int.from_bytes(held[:8], "little"), codec="zstd")
+    schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.large_binary())])
+    return [c.to_pylist() for c in pa.ipc.read_record_batch(plain, schema).columns]
+
+
 def _steps(code: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Codes as differences to the one before, but for the first of each bucket."""
     steps = np.diff(code, prepend=0)
@@ -161,7 +176,7 @@ def _count(batches):
         if len(learnt) < len(held):
             code, n = grams([t for t, r in zip(texts, held, strict=True) if not r[2]])
             parts.append((code, np.zeros_like(n)))
-        yield _record(TEXT, len(held), chunk=pa.array(np.full(len(held), chunk)), id=pa.array([r[0] for r in held], pa.int64()), held_out=pa.array([r[1] for r in held], pa.bool_()), text=pa.array(texts, pa.binary()))
+        yield _record(TEXT, 1, chunk=pa.array([chunk], pa.int64()), texts=pa.array([bundled([(r[0], r[1], t) for r, t in zip(held, texts, strict=True)])], pa.binary()))
         size += sum(map(len, texts))
         if len(parts) >= 8:
             parts[:] = [_merged(parts)]
@@ -272,7 +287,7 @@ def _score(shared):
         below = known["total"] + 0.5 * (known["distinct"] + 1)
         logs = _word_logs(known, below)
         end = float(np.log10((known["ends"] + 0.5) / below))
-        asked = [([r[0] for r in held], [r[1] for r in held], [r[2] for r in held]) for held in _chunks(rows(texts.to_batches(), "id", "held_out", "text"), 2)]
+        asked = [unbundled(x) for x in texts.column("texts").to_pylist()]
         distinct = [np.unique(codes(t)[0]) for _, _, t in asked]
         code = np.unique(np.concatenate(distinct))
         found = np.empty(len(code), np.float32)
@@ -319,14 +334,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out(id_col, modulus, remainder), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     train_col = (~F.col("held_out") & F.col("id").isNotNull()).alias("train")
-    coded = stored(own.select("id", "held_out", train_col, as_bytes("text").alias("text")).mapInArrow(_count, "kind int, chunk long, id long, held_out boolean, text binary, word string, gram long, n long, bucket int, grams binary, counts binary"))
+    coded = stored(own.select("id", "held_out", train_col, as_bytes("text").alias("text")).mapInArrow(_count, "kind int, chunk long, texts binary, word string, gram long, n long, bucket int, grams binary, counts binary"))
     words, known, upper = train(coded)
     context = docs.sparkSession.sparkContext
     asked = coded.filter(F.col("kind") == ASKED).select("chunk", "bucket", "n", "grams", "counts")
     answers = asked.groupBy("bucket").applyInArrow(_answer(context.broadcast(upper)), "chunk long, bucket int, n long, logs binary")
-    texts = coded.filter(F.col("kind") == TEXT).select("chunk", "id", "held_out", "text")
+    texts = coded.filter(F.col("kind") == TEXT).select("chunk", "texts")
     schema = "id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word: string, n: int>>"
     scored = stored(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(context.broadcast(known)), schema).withColumn("at", F.monotonically_increasing_id()))
+    dropped(coded)  # what comes next reads the words and the scores, which are stored
     log = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / (known["total"] + 0.5 * (known["distinct"] + 1)))
     rare = scored.select("at", F.inline("rare")).join(words, "word", "left").groupBy("at").agg(F.sum(F.col("n") * log).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("also"))
     return scored.drop("rare").join(rare, "at", "left").select(

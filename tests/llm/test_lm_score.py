@@ -1,6 +1,8 @@
 import math
+import os
 import zlib
 from collections import Counter, defaultdict
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -107,3 +109,21 @@ def test_what_is_shuffled_is_squeezed():
     logs = np.log10(rng.integers(1, 9, 5000) / 9).astype(np.float32)
     assert np.array_equal(lm_score.widened(lm_score.squeezed(logs), len(logs), np.float32), logs) and len(lm_score.squeezed(logs)) < logs.nbytes / 2
     assert lm_score.widened(lm_score.squeezed(code[:0]), 0, np.int64).size == 0
+
+
+def test_texts_travel_in_compressed_bundles(spark):
+    records = [(None, False, b""), (7, True, "ü 日本 ".encode() * 500), (2**40, False, b"\0 bytes " * 3000)]
+    held = lm_score.bundled(records)
+    assert list(zip(*lm_score.unbundled(held), strict=True)) == records
+    assert len(held) < sum(len(t) for _, _, t in records) / 10
+
+
+def test_counted_texts_are_dropped_once_scored(docs, monkeypatch):
+    """What is left in the shared folder are the words and the scores."""
+    tables = []
+    monkeypatch.setattr(lm_score, "stored", lambda df, own=lm_score.stored: tables.append(own(df)) or tables[-1])
+    out = lm_score.score(docs)
+    counted = [t for t in tables if "grams" in t.columns]
+    files = [urlparse(f).path for t in counted for f in t.inputFiles()]
+    assert counted and not any(map(os.path.exists, files))
+    assert out.count() == docs.count()
