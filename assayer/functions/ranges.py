@@ -8,6 +8,30 @@ from pyspark.sql import functions as F
 from assayer.functions.shared import stored
 
 
+#: The bits of monotonically_increasing_id below the partition's number.
+PLACE_BITS = 33
+
+
+def dealt(rows: DataFrame, order: list[Column], at: str, ranges: int | None = None) -> DataFrame:
+    """rows by ranges of the order, sorted and written there, with `at`: the range above PLACE_BITS, the place in it from 0 below."""
+    by_range = rows.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order)
+    return stored(by_range.withColumn(at, F.monotonically_increasing_id()))
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with `name`, their place from 1 in an order of all rows that leaves no ties.
+
+    Rows move and are sorted once, as they are dealt; a place is then that in the range and what the ranges before hold.
+    rows are read twice, to find the ranges and to deal them.
+    """
+    placed = dealt(rows, order, "at_")
+    held = placed.groupBy(F.shiftright("at_", PLACE_BITS).alias("range_")).agg(F.count(F.lit(1)).alias("held_"))
+    ahead = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are ranges
+    carried = stored(held.select("range_", F.coalesce(F.sum("held_").over(ahead), F.lit(0)).alias("before_")))
+    joined = placed.withColumn("range_", F.shiftright("at_", PLACE_BITS)).join(F.broadcast(carried), "range_")
+    return joined.select(*rows.columns, (F.col("at_").bitwiseAND(F.lit(2**PLACE_BITS - 1)) + 1 + F.col("before_")).alias(name))
+
+
 def running(rows: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """rows with, for each named sum, the sum over the rows of the same keys up to and with this one, in that order.
 

@@ -19,11 +19,12 @@ SIGNS, TOPIC = (1, -1, 0), ["t1", "t2"]
 def with_topics(triples: DataFrame) -> DataFrame:
     """triples with ss and os (stems of subject and object), pol, host and trust, which hold for any claim.
 
-    Each distinct name is reduced to stems once; polarity, host and trust are expressions over the row.
+    Each distinct name is reduced to stems, and valued as an object, once; the verb's polarity, host and trust are expressions over the row.
     """
-    names = stored(triples.select(F.explode(F.array("subject", "object")).alias("name")).distinct().withColumn("stems", nlp.stems("name")))
-    out = triples.join(names.select(F.col("name").alias("subject"), F.col("stems").alias("ss")), "subject").join(names.select(F.col("name").alias("object"), F.col("stems").alias("os")), "object")
-    return out.select(*triples.columns, "ss", "os").withColumns({"pol": nlp.polarity("predicate", "object"), "host": nlp.host("source"), "trust": F.col("trust_q") / 255.0})
+    names = stored(triples.select(F.explode(F.array("subject", "object")).alias("name")).distinct().withColumns({"stems": nlp.stems("name"), "worth_": nlp.worth("name")}))
+    out = triples.join(names.select(F.col("name").alias("subject"), F.col("stems").alias("ss")), "subject").join(names.select(F.col("name").alias("object"), F.col("stems").alias("os"), "worth_"), "object")
+    told = {"pol": nlp.spoken_polarity("predicate", F.col("worth_")), "host": nlp.host("source"), "trust": F.col("trust_q") / 255.0}
+    return out.select(*triples.columns, "ss", "os", "worth_").withColumns(told).drop("worth_")
 
 
 def _side(pol: Column, prefix: str, sign: int) -> Column:
