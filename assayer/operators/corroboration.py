@@ -58,8 +58,10 @@ class Corroboration:
 
     def corroborate(self, triples: DataFrame) -> DataFrame:
         """triples with syn, ant and corr by the tables, which must have taken in all that the triples say; only the buckets of their topics are read."""
-        topics = stored(score.keyed(triples).select(*score.TOPIC).distinct())
+        return score.corroborate(triples, *self.told_of(score.keyed(triples)))
+
+    def told_of(self, own: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The voices and numbers of the topics (t1, t2) of rows, counted from the rows where nothing is kept."""
+        topics = stored(own.select(*score.TOPIC).distinct())
         voices, numbers = self._of(self.voices, topics), self._of(self.numbers, topics)
-        if voices is None or numbers is None:
-            return score.corroborate(triples)
-        return score.corroborate(triples, voices, numbers)
+        return score.told_of(own) if voices is None or numbers is None else (voices, numbers)

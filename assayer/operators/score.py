@@ -46,6 +46,12 @@ def numbers(heard: DataFrame) -> DataFrame:
     return heard.groupBy(*TOPIC).agg(*[F.sum(f"h{s}").alias(f"n{s}") for s in SIGNS])
 
 
+def told_of(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """voices and numbers of rows with their topic."""
+    heard = voices(own)
+    return heard, numbers(heard)
+
+
 def corroborate(triples: DataFrame, heard: DataFrame | None = None, counted: DataFrame | None = None) -> DataFrame:
     """triples with syn, ant and corr.
 
@@ -121,11 +127,11 @@ def light_evidence(claims: DataFrame, triples: DataFrame, now: float) -> DataFra
     candidate is of fixed width but for its host, and no aggregate needs a sort.
     """
     own = keyed(triples)
-    heard = voices(own)
-    return _lightest(candidates(claims, own), heard, numbers(heard), now)
+    return lightest(candidates(claims, own), *told_of(own), now)
 
 
-def _lightest(found: DataFrame, heard: DataFrame, counted: DataFrame, now: float) -> DataFrame:
+def lightest(found: DataFrame, heard: DataFrame, counted: DataFrame, now: float) -> DataFrame:
+    """The same of candidates with their topic, by voices and numbers."""
     voice = {"v1": F.xxhash64("ss", "topic"), "v2": F.xxhash64(F.lit(1), "ss", "topic")}
     pairs = _graded(found, now).withColumns(voice).select("claim_id", "host", *TOPIC, *voice, "stance", "pol", "trust", "recency", "part", "row")
     given = _corroborated(pairs, heard, counted).withColumn("weight", _weight()).withColumn("ahead", ahead("weight", "row"))

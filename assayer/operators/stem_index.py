@@ -46,8 +46,9 @@ class StemIndex(Folder):
         """Adds a batch of triples (row, subject, predicate, object, source, added, trust_q, with topics) as a segment, or returns None for none.
 
         A triple that is there already, with a later `added` or higher `trust_q`, is simply added: probes take the best of its postings.
+        triples are read twice, to find the ranges of stems and to deal them, and should be stored if they are costly.
         """
-        postings = stored(triples.select(*COLUMNS).withColumn("stem", F.explode("ss")))
+        postings = triples.select(*COLUMNS).withColumn("stem", F.explode("ss"))
         if postings.isEmpty():
             return None
         held = self.files()
@@ -98,8 +99,11 @@ class StemIndex(Folder):
             return found
         return [f for f in found if (at := bisect_left(stems, f["low"])) < len(stems) and stems[at] <= f["high"]]
 
-    def probe(self, claims: DataFrame) -> DataFrame | None:
-        """The postings of the stems of claims (s), each triple once a stem with its latest `added` and highest `trust_q`; None for no files."""
+    def probe(self, claims: DataFrame, light: bool = False) -> DataFrame | None:
+        """The postings of the stems of claims (s), each triple once a stem with its latest `added` and highest `trust_q`; None for no files.
+
+        Light ones have 128 bits (k1, k2) in the place of the triple.
+        """
         asked = stored(claims.select(F.explode("s").alias("stem")).distinct())
         known = sorted(r["stem"] for r in asked.limit(MOST_STEMS + 1).collect())
         few = len(known) <= MOST_STEMS
@@ -108,7 +112,9 @@ class StemIndex(Folder):
             return None
         rows = self._read(files)
         some = rows.filter(F.col("stem").isin(known)) if few and len(known) <= 1000 else rows.join(asked, "stem", "left_semi")
-        return _best(some)
+        if light:
+            some = some.withColumns({"k1": F.xxhash64(*store.KEY), "k2": F.xxhash64(F.lit(1), *store.KEY)}).drop(*store.KEY)
+        return _best(some, ["k1", "k2"] if light else store.KEY)
 
     def evidence(self, claims: DataFrame, now: float, corroborate=score.corroborate) -> DataFrame | None:
         """score.evidence of claims over the triples of the index, from the postings of their stems; None where no file has any.
@@ -119,12 +125,21 @@ class StemIndex(Folder):
         if postings is None:
             return None
         facts = stored(postings.withColumn("trust", F.col("trust_q") / 255.0))
-        corr = corroborate(facts.dropDuplicates(store.KEY)).select("row", "corr")
-        return score.weighed(score.met(claims, facts.join(corr, "row")), now)
+        return score.weighed(score.met(claims, corroborate(facts)), now)
+
+    def light_evidence(self, claims: DataFrame, now: float, told_of=score.told_of) -> DataFrame | None:
+        """score.light_evidence in the same way: what is moved for a posting is of fixed width but for its stems and host, and nothing is sorted.
+
+        told_of can be that of kept tables. Claims (a few) are broadcast, so that no task gets all postings of a stem.
+        """
+        postings = self.probe(claims, light=True)
+        if postings is None:
+            return None
+        own = stored(score.keyed(postings.withColumn("trust", F.col("trust_q") / 255.0)).drop("trust_q", "k1", "k2"))
+        return score.lightest(score.met(F.broadcast(claims), own), *told_of(own), now)
 
 
-def _best(postings: DataFrame) -> DataFrame:
-    """Postings with each triple once a stem."""
-    rest = [F.first(c).alias(c) for c in ("ss", "os", "pol", "host")]
-    best = postings.groupBy("stem", *store.KEY).agg(F.min("row").alias("row"), F.max("added").alias("added"), F.max("trust_q").alias("trust_q"), *rest)
-    return best.select(*COLUMNS, "stem")
+def _best(postings: DataFrame, key: list[str] = store.KEY) -> DataFrame:
+    """Postings with each triple once a stem. Its topics follow from it, and are grouped by since hash aggregates can't hold lists as values."""
+    best = postings.groupBy("stem", *key, "ss", "os", "pol", "host").agg(F.min("row").alias("row"), F.max("added").alias("added"), F.max("trust_q").alias("trust_q"))
+    return best.select("row", *key, *[c for c in COLUMNS[1:] if c not in store.KEY], "stem")

@@ -40,8 +40,8 @@ def evidence(spark, sf_dir):
         batch = triples.filter(F.col("row") % BATCHES == k)
         index.add(batch)
         kept.take_in(batch)
-    found = index.evidence(sample.claims(spark), sample.NOW, kept.corroborate)
-    return score.ranked(found).select("claim_id", "place", "row", "stance", F.round("weight", 9).alias("weight"))
+    found = index.light_evidence(sample.claims(spark), sample.NOW, kept.told_of).drop(*score.TOPIC)
+    return score.ranked_by_ranges(found).select("claim_id", "place", "row", "stance", F.round("weight", 9).alias("weight"))
 
 
 def memory(spark, sf_dir):

@@ -85,6 +85,20 @@ def test_index_gives_the_same_evidence(spark, tmp_path, claims):
     assert {p.name for p in (tmp_path / "i/data").iterdir()} <= {f["segment"] for n in index.names() for f in spark.read.parquet(str(tmp_path / "i" / n / "files")).collect()}
 
 
+def test_light_evidence_of_the_index(spark, tmp_path, claims):
+    index, kept, so_far = StemIndex(spark, str(tmp_path / "i")), Corroboration(spark, str(tmp_path / "c"), buckets=4), []
+    assert index.light_evidence(claims, NOW) is None
+    for batch in batches(11, 2, 20):
+        so_far += batch
+        index.add(upserted(spark, batch))
+        kept.take_in(upserted(spark, batch))
+    fields = ["claim_id", "host", "stance", "row", "weight", "first_row"]
+    want = sorted(map(tuple, score.evidence(claims, score.corroborate(upserted(spark, so_far)), NOW).select(*fields).collect()))
+    light = index.light_evidence(claims, NOW, kept.told_of)
+    assert sorted(map(tuple, light.select(*fields).collect())) == want and want
+    assert "SortAggregate" not in light._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_few_claims_read_few_files(spark, tmp_path, claims):
     rows = [(k, f"{a}{b}ing word", "improve", "focus", "a.example.org/x", 1.9e9, 9) for k, (a, b) in enumerate((a, b) for a in "abcdefghijklmnop" for b in "rstu" for _ in range(20))]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
