@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.functions import nlp
+from assayer.functions import nlp, shared
 from assayer.functions.lexicon import STANCE_PHRASES, STANCES
 from assayer.functions.text import sql_is_directive
 from assayer.operators import analytics, claims, score, store, topics
@@ -124,7 +124,7 @@ def validity(spark, sf_dir):
 
 def decoded(spark, sf_dir):
     strings, coded = store.encode(sample.triples(spark, sf_dir).select(*store.KEY, "trust_q"))
-    return store.decode(strings, coded).select(*store.KEY, "trust_q")
+    return store.decode(strings, shared.stored(coded)).select(*store.KEY, "trust_q")
 
 
 def months(spark, sf_dir):
