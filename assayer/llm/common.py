@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +34,23 @@ def dropped(table_: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, which gives the memory that it has freed back to the system at its end.
+
+    A worker runs tasks of one stage after another, and would hold what its largest task needed, so executors of a job of
+    several stages would need the sum of them.
+    """
+
+    def run_and_release(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+            trim(0)
+
+    return run_and_release
+
+
 def hot_join(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
     """left joined with right (stored, one row per key; `rows`: how many rows of left have it), so that no task gets all rows of a hot key.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import free_names, stored, table
+from assayer.llm.common import free_names, lean, stored, table
 
 Q, EDIT_SHARE = 8, 0.1
 #: An index of q-grams is broadcast for at most so many characters of items; more items go in further blocks.
@@ -222,7 +222,7 @@ def _marked(shared):
                 out = [index.leaks(t) if t else [] for t in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, _LEAK)], names=[*part.schema.names[:-1], "leaks"])
 
-    return run
+    return lean(run)
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[list[tuple[int, str]]]:

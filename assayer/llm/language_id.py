@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import as_bytes, free_names, held_out, rows, table
+from assayer.llm.common import as_bytes, free_names, held_out, lean, rows, table
 
 FEATURES, SMOOTHING, SHARP, AMBIGUOUS = 8192, 0.5, 4.0, 0.005
 CHUNK = 1 << 19
@@ -128,7 +128,7 @@ class Coder:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Coder:
     """Learns from all rows with a language and a text. What reaches the driver is a number for each language and feature."""
     sums = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), as_bytes(text_col).alias("text"))
-    found = sums.mapInArrow(_count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
+    found = sums.mapInArrow(lean(_count), "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
     counts = np.zeros((len(langs), FEATURES))
     counts[np.searchsorted(langs, found["lang"]) if len(langs) else [], found["feature"].to_numpy(int)] = found["n"].to_numpy(float)
@@ -148,7 +148,7 @@ def _predict(coder):
                 more = [pa.array([r[k] for r in out], f.type) for k, f in enumerate(PREDICTED)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *more], names=[*part.schema.names[:-1], *PREDICTED.names])
 
-    return run
+    return lean(run)
 
 
 def identify(docs: DataFrame, coder: Coder, text_col: str = "text") -> DataFrame:

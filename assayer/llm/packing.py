@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import as_bytes, rows, stored, table
+from assayer.llm.common import as_bytes, lean, rows, stored, table
 
 WINDOW, END = 4096, 2
 K1, SLOPE, QUERY_TERMS = 1.2, 0.75, 24
@@ -135,7 +135,7 @@ def _encoded(path: str, kind: str, end: int, size: int, by_word: bool):
         terms = np.flatnonzero(spread)  # the partition's document frequencies, in rows of their own
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(np.full(len(terms), -1)), pa.array(spread[terms]), pa.nulls(len(terms), pa.binary())], schema=ENCODED)
 
-    return run
+    return lean(run)
 
 
 class Shard:
@@ -257,7 +257,7 @@ def _packed(shared, window: int, kind: str, with_ids: bool):
         windows.end()
         yield windows.batch()
 
-    return run
+    return lean(run)
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end: int = END, by_word: bool = True, with_ids: bool = False) -> DataFrame:

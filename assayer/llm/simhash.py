@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import as_bytes, hot_join, stored, table
+from assayer.llm.common import as_bytes, hot_join, lean, stored, table
 from assayer.llm.components import components
 
 BITS, SHINGLE, SEED, NEAR = 64, 3, 42, 2
@@ -49,7 +49,7 @@ def _fingerprints(size: int):
             out = [fingerprint(t, size) for at in range(0, batch.num_rows, 256) for t in texts.slice(at, 256).to_pylist()]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(np.array(out, np.uint64).view(np.int64))], names=[*batch.schema.names[:-1], "print"])
 
-    return run
+    return lean(run)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -179,7 +179,7 @@ def _sent(shared, near: int):
             target = np.concatenate(to) if to else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(target, pa.int32()), pa.array(target != own[row]), batch.column(3).take(pa.array(row))], schema=SENT)
 
-    return run
+    return lean(run)
 
 
 def _linked(near: int):
@@ -212,7 +212,7 @@ def _linked(near: int):
                     found.meet(leaf)
         yield from ended()
 
-    return run
+    return lean(run)
 
 
 def clusters(distinct: DataFrame, near: int = NEAR) -> DataFrame:
@@ -220,7 +220,7 @@ def clusters(distinct: DataFrame, near: int = NEAR) -> DataFrame:
     size = distinct.count()
     parts = max(1, min(MOST_RANGES, -(-size // RANGE)))
     ordered = distinct.select("print", gray_order(F.col("print")).alias("rank")).repartitionByRange(parts, "rank").sortWithinPartitions("rank")
-    leaves = stored(ordered.select("print").mapInArrow(_leaves, "range int, low long, high long, prints binary"))
+    leaves = stored(ordered.select("print").mapInArrow(lean(_leaves), "range int, low long, high long, prints binary"))
     upper = leaves.groupBy("range").agg(F.expr("bit_and(low)").alias("low"), F.expr("bit_or(high)").alias("high")).toArrow().sort_by("range")  # MOST_RANGES rows at most
     numbers, low, high = (upper.column(k).to_numpy() for k in ("range", "low", "high"))
     shared = distinct.sparkSession.sparkContext.broadcast((numbers, Tree(low.view(np.uint64), high.view(np.uint64))))
