@@ -45,7 +45,7 @@ def evidence(spark, sf_dir):
 
 
 def memory(spark, sf_dir):
-    attempts, held = sample.attempts(spark, sf_dir), stream.memory_at(spark, _folder(spark))
+    attempts, held = shared.stored(sample.attempts(spark, sf_dir)), stream.memory_at(spark, _folder(spark))
     for k in range(BATCHES):
         stream.upsert_batch(held, attempts.filter(F.col("trust_q") % BATCHES == k))
     return held.load()[1].select(*store.KEY, "added", "trust_q")
