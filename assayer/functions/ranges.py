@@ -32,6 +32,20 @@ def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     return joined.select(*rows.columns, (F.col("at_").bitwiseAND(F.lit(2**PLACE_BITS - 1)) + 1 + F.col("before_")).alias(name))
 
 
+def last(placed: DataFrame, at: str, values: dict[str, Column]) -> DataFrame:
+    """Rows that `dealt` has dealt with, for each named value, the last that isn't null up to this row.
+
+    A range is one task's, and gets what the ranges before end with.
+    """
+    ranged = placed.withColumn("range_", F.shiftright(at, PLACE_BITS))
+    own = Window.partitionBy("range_").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = ranged.groupBy("range_").agg(*[F.max_by(value, F.when(value.isNotNull(), F.col(at))).alias(name) for name, value in values.items()])
+    before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are ranges
+    carried = stored(ends.select("range_", *[F.last(name, ignorenulls=True).over(before).alias(f"{name}_before") for name in values]))
+    joined = ranged.withColumns({name: F.last(value, ignorenulls=True).over(own) for name, value in values.items()}).join(F.broadcast(carried), "range_")
+    return joined.select(*placed.columns, *[F.coalesce(name, f"{name}_before").alias(name) for name in values])
+
+
 def running(rows: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """rows with, for each named sum, the sum over the rows of the same keys up to and with this one, in that order.
 
