@@ -27,6 +27,11 @@ def with_topics(triples: DataFrame) -> DataFrame:
     return out.select(*triples.columns, "ss", "os", "worth_").withColumns(told).drop("worth_")
 
 
+def with_topics_of_few(triples: DataFrame) -> DataFrame:
+    """with_topics of rows so few that no name is worth a shuffle to be reduced once."""
+    return triples.withColumns({"ss": nlp.stems("subject"), "os": nlp.stems("object"), "pol": nlp.polarity("predicate", "object"), "host": nlp.host("source"), "trust": F.col("trust_q") / 255.0})
+
+
 def _side(pol: Column, prefix: str, sign: int) -> Column:
     return F.when(pol == 1, F.col(f"{prefix}{sign}")).when(pol == -1, F.col(f"{prefix}{-sign}"))
 

@@ -31,7 +31,7 @@ def entity_heat(claims: DataFrame, found: DataFrame, searched: DataFrame | None
     """
     known = claims.select("claim_id", F.explode(F.array_union("s", "o")).alias("stem"))
     if searched is not None:
-        known = known.unionByName(searched.select("claim_id", F.explode(nlp.stems("topic")).alias("stem")))
+        known = known.unionByName(searched.select("claim_id", F.explode("stems" if "stems" in searched.columns else nlp.stems("topic")).alias("stem")))
     items = ranked(found).select("claim_id", "place", "weight", F.explode(F.array_union(nlp.stems("subject"), nlp.stems("object"))).alias("stem"))
     fresh = items.join(known.distinct(), ["claim_id", "stem"], "left_anti")
     heat = fresh.groupBy("claim_id", "stem").agg(F.round(F.sum("weight"), 9).alias("heat"), F.min("place").alias("first"))
